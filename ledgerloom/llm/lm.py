@@ -166,13 +166,26 @@ def score_rows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, table:
             yield pa.record_batch([pa.array(v, from_pandas=True) for v in cols.values()], list(cols))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent tokens, at most TABLE: those over the least step of a logarithmic scale of counts that leaves so few."""
+    step = F.floor(F.log2("c") * 64)
+    steps = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, total = 1 << 20, 0
+    for s, n in steps:
+        total += n
+        if total > TABLE:
+            break
+        least = s
+    return counts.where(step >= least)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Score every whole text with an add-one unigram base and a log-bilinear model, both learnt from the texts whose
     crc32(doc_id) mod 7 is not 2.
 
     Counts of all training tokens come from one aggregation over the corpus. The model predicts a token's class from the
     class before it (768 frequent tokens, 256 classes of the others) and the token inside a class by absolute discounting, so
-    probabilities sum to 1 over all tokens, one unseen token a class included. Counts of the 131,072 most frequent tokens go to
+    probabilities sum to 1 over all tokens, one unseen token a class included. Counts of at most 131,072 most frequent tokens go to
     every task; those of the rarer ones come by a join on 64-bit token hashes, with only sums by document behind it.
     The driver holds that table, the classes' sums and at most 1024 x 1024 class pair counts, whatever the corpus.
 
@@ -185,7 +198,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     training = rows.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("text")
     counts = cut_lineage(training.mapInArrow(count_tokens, "h long, suffix int, c long").groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c")))
-    top = counts.orderBy(F.desc("c"), "h").limit(TABLE).toPandas()
+    top = frequent(counts).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     own = np.where(np.arange(len(h)) < OWN - 1, np.arange(len(h)), -1)
     if END in h:  # the end has a class of its own, however few texts there are
