@@ -8,37 +8,48 @@ from pyspark.sql.window import Window
 
 from .kit import spread
 
-CHECK_BITS, SHARE_BITS = 24, 12
-#: A share of the digests has three tables of eight cells.
-TABLES, CELLS = 3, 8
-SHARES = 4
+CHECK_BITS = 24
+#: Below this the product with a digest's 36 bits stays in 63.
+CHECK_FACTOR, CHECK_SHIFT = 119_304_647, 20
+#: A sketch has shares, of three tables of four cells each.
+TABLES, CELLS, SHARES = 3, 4, 4
+#: Sketches for a share that does not come apart: finer shares of it, and the first bit of its digests' places.
+LARGER = ((4, 18), (16, 24))
+FIRST_PLACE = 12
+#: Lines are cut further where a sentence ends and the next begins with one of these, about every fifth time.
+CUT = r"([.!?]) ([A-DÉ])"
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines; a line is cut further behind a full stop, exclamation or question mark with a blank, so that one edit inside a long line leaves
-    the rest of it. Blank ones are left out."""
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?]) ", "$1\n"), "\n"), lambda p: F.trim(p) != "")
+    """Lines; a long line is cut further at some sentence starts (chosen by their letter, so that cuts stay where they are
+    when text before them changes): one edit in a line then leaves the rest of it. Blank ones are left out."""
+    return F.filter(F.split(F.regexp_replace(text, CUT, "$1\n$2"), "\n"), lambda p: F.trim(p) != "")
+
+
+def check(h: Column) -> Column:
+    """24 bits that a digest's 36 determine."""
+    return F.shiftright(h * CHECK_FACTOR, CHECK_SHIFT).bitwiseAND((1 << CHECK_BITS) - 1)
 
 
 def digests(text: Column) -> Column:
-    """The distinct paragraphs' digests: 36 bits of md5, then 24 bits of the md5 of those, by which a lone digest in a cell is known."""
-    part = lambda x, n: F.conv(F.substring(F.md5(x), 1, n), 16, 10).cast("long")
-    hashed = F.transform(paragraphs(text), lambda p: part(p, 9))
-    return F.array_sort(F.transform(F.array_distinct(hashed), lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(part(h.cast("string"), 6))))
+    """The distinct paragraphs' digests: 36 bits of md5, then the check by which a lone digest in a cell is known."""
+    hashed = F.array_distinct(F.transform(paragraphs(text), lambda p: F.conv(F.substring(F.md5(p), 1, 9), 16, 10).cast("long")))
+    return F.array_sort(F.transform(hashed, lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(check(h))))
+
 
+def share(ds: Column, number: Column, shares: int, first_bit: int = 0) -> Column:
+    return F.filter(ds, lambda d: F.shiftright(d, CHECK_BITS + first_bit).bitwiseAND(shares - 1) == number)
 
-def place(d: Column, table: Column | int) -> Column:
-    """A digest's cell in a table."""
-    return F.call_function("shiftright", d, F.lit(CHECK_BITS + SHARE_BITS) + F.lit(3) * table if isinstance(table, Column) else F.lit(CHECK_BITS + SHARE_BITS + 3 * table)).bitwiseAND(F.lit(CELLS - 1))
 
+def cells_of(part: Column, first: int) -> Column:
+    """Cells (c: how many digests, x: their exclusive or) of a share; a digest is in one cell of each table."""
 
-def sketch(ds: Column, shares: Column) -> Column:
-    """Cells (c: how many digests, x: their exclusive or) of every share; `shares` is a power of 2."""
-    dealt = F.transform(F.sequence(F.lit(0), shares - 1), lambda b: F.filter(ds, lambda d: F.shiftright(d, CHECK_BITS).bitwiseAND(shares.cast("long") - 1) == b))
-    numbers = F.array(*[F.lit(j) for j in range(TABLES * CELLS)])
-    own = lambda part, j: F.filter(part, lambda d: place(d, F.floor(j / CELLS).cast("int")) == j % CELLS)
-    cell = lambda members: F.struct(F.size(members).alias("c"), F.aggregate(members, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d)).alias("x"))
-    return F.transform(dealt, lambda part: F.transform(numbers, lambda j: cell(own(part, j))))
+    def cell(table: int, at: int) -> Column:
+        here = lambda d: F.shiftright(d, CHECK_BITS + first + 2 * table).bitwiseAND(CELLS - 1) == at
+        put = lambda a, d: F.when(here(d), F.struct((a["c"] + 1).alias("c"), a["x"].bitwiseXOR(d).alias("x"))).otherwise(a)
+        return F.aggregate(part, F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x")), put)
+
+    return F.array(*[cell(t, k) for t in range(TABLES) for k in range(CELLS)])
 
 
 def let(value: Column, use) -> Column:
@@ -46,59 +57,69 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def subtract(a: Column, b: Column) -> Column:
-    cell = lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["x"].bitwiseXOR(y["x"]).alias("x"))
-    return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, cell))
+def numbers(n: int) -> Column:
+    return F.array(*[F.lit(i) for i in range(n)])
+
 
+def sketch(ds: Column) -> Column:
+    return F.transform(F.transform(numbers(SHARES), lambda b: share(ds, b, SHARES)), lambda part: cells_of(part, FIRST_PLACE))
 
-def lone(cell: Column, j: Column) -> Column:
-    """Whether a cell holds one digest: count 1 or -1, its own check, its own place."""
-    d, h = cell["x"], F.shiftright(cell["x"], CHECK_BITS)
-    check = F.conv(F.substring(F.md5(h.cast("string")), 1, 6), 16, 10).cast("long")
-    return (F.abs(cell["c"]) == 1) & (place(d, F.floor(j / CELLS).cast("int")) == j % CELLS) & (d.bitwiseAND((1 << CHECK_BITS) - 1) == check)
 
+def less(cell: Column, other: Column) -> Column:
+    return F.struct((cell["c"] - other["c"]).alias("c"), cell["x"].bitwiseXOR(other["x"]).alias("x"))
 
-def peel(cells: Column, rounds: int = 10) -> Column:
+
+def peel(cells: Column, first: int, rounds: int = 8) -> Column:
     """How many digests a share's cells give back when lone ones are taken out until none is left; null if some stay."""
+    shift = lambda d, j: F.call_function("shiftright", d, F.lit(CHECK_BITS + first) + 2 * F.floor(j / CELLS).cast("int"))
+    here = lambda d, j: shift(d, j).bitwiseAND(CELLS - 1) == j % CELLS
+    sure = lambda d: d.bitwiseAND((1 << CHECK_BITS) - 1) == check(F.shiftright(d, CHECK_BITS))
+    # A cell is lone if its count is 1 or -1 and what it holds has its own check and belongs there.
+    lone = lambda c, j: F.when((F.abs(c["c"]) == 1) & here(c["x"], j) & sure(c["x"]), c)
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(F.transform(state["cells"], lambda c, j: F.when(lone(c, j), c)), lambda c: c.isNotNull()))
+        pure = F.array_distinct(F.array_compact(F.transform(state["cells"], lone)))
 
         def without(found: Column) -> Column:
-            hits = lambda j: F.filter(found, lambda p: place(p["x"], F.floor(j / CELLS).cast("int")) == j % CELLS)
-            less = lambda c, h: F.aggregate(h, c, lambda a, p: F.struct((a["c"] - p["c"]).alias("c"), a["x"].bitwiseXOR(p["x"]).alias("x")))
-            cells = F.transform(state["cells"], lambda c, j: less(c, hits(j)))
+            rest = F.transform(state["cells"], lambda c, j: F.aggregate(found, c, lambda a, p: F.when(here(p["x"], j), less(a, p)).otherwise(a)))
             return F.when(F.size(found) == 0, F.struct(state["cells"], state["n"], F.lit(True).alias("still"))).otherwise(
-                F.struct(cells.alias("cells"), (state["n"] + F.size(found)).alias("n"), F.lit(False).alias("still")))
+                F.struct(rest.alias("cells"), (state["n"] + F.size(found)).alias("n"), F.lit(False).alias("still")))
 
         return F.when(state["still"], state).otherwise(let(pure, without))
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), F.lit(False).alias("still"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
-    return let(end, lambda s: F.when(F.forall(s["cells"], lambda c: (c["c"] == 0) & (c["x"] == 0)), s["n"]))
+    empty = lambda c: (c["c"] == 0) & (c["x"] == 0)
+    in_use = F.size(F.filter(cells, lambda c: ~empty(c)))
+    # More than three quarters of the cells in use: given up at once.
+    return F.when(in_use * 4 <= 3 * TABLES * CELLS, let(end, lambda s: F.when(F.forall(s["cells"], empty), s["n"])))
 
 
-def decoded(difference: Column) -> Column:
-    """Number of differing digests, or null where a share does not come apart. A share with over three quarters of its
-    cells in use is given up at once."""
-    full = lambda cells: F.size(F.filter(cells, lambda c: (c["c"] != 0) | (c["x"] != 0))) * 4 > 3 * TABLES * CELLS
-    each = F.transform(difference, lambda cells: F.when(~full(cells), peel(cells)))
-    return F.when(~F.exists(difference, full), F.aggregate(each, F.lit(0), lambda a, n: a + n))
+def difference(a: Column, b: Column, first: int) -> Column:
+    return let(F.zip_with(a, b, less), lambda cells: peel(cells, first))
 
 
-def larger(a: Column, b: Column, times: int) -> Column:
-    """Shares for about 8 / `times` differing digests each."""
-    need = (F.size(a) + F.size(b)) * times / 8
-    return F.least(F.lit(1 << SHARE_BITS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), need))))).cast("int")
+def again(a: Column, b: Column, finer: int, first: int) -> Column:
+    """A share's difference from a larger sketch: of each of its finer shares, built anew."""
+    one = lambda k: difference(cells_of(share(a, k, finer, 2), first), cells_of(share(b, k, finer, 2), first), first)
+    return F.aggregate(F.transform(numbers(finer), one), F.lit(0), lambda n, x: n + x)
 
 
 def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """1 - differing digests / digests of both, from the sketches; where they do not come apart, from larger ones built
-    anew, up to three times; what fails then is settled by comparing the digests themselves."""
-    tries = [decoded(subtract(sketch_a, sketch_b))] + [let(larger(a, b, t), lambda n: decoded(subtract(sketch(a, n), sketch(b, n)))) for t in (1, 4)]
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    """1 - differing digests / digests of both, from the sketches. A share that does not come apart is sketched anew with
+    4 times, then 16 times the cells; what fails then is settled by comparing that share's digests themselves."""
+
+    def retried(x: Column, y: Column) -> Column:
+        exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+        return F.coalesce(*[again(x, y, finer, first) for finer, first in LARGER], exact)
+
+    def one(k: Column) -> Column:
+        from_sketch = difference(F.element_at(sketch_a, k + 1), F.element_at(sketch_b, k + 1), FIRST_PLACE)
+        return F.coalesce(from_sketch, let(share(a, k, SHARES), lambda x: let(share(b, k, SHARES), lambda y: retried(x, y))))
+
+    differing = F.aggregate(F.transform(numbers(SHARES), one), F.lit(0), lambda n, x: n + x)
     total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(1 - F.coalesce(*tries, exact) / total)
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - differing / total)
 
 
 def written(ds: Column, cells: Column) -> Column:
@@ -128,7 +149,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprint every whole text and its edited text, whose last half is the start of the next document.
 
-    A fingerprint is an invertible Bloom lookup sketch of the text's distinct paragraphs' digests: 4 shares of 3 x 8 cells, each with a count
+    A fingerprint is an invertible Bloom lookup sketch of the text's distinct paragraphs' digests: 4 shares of 3 x 4 cells, each with a count
     and an exclusive or. Two sketches are subtracted cell by cell and peeled; the digests that come out are the paragraphs that differ.
 
     Defined cases: null text is empty; texts without paragraphs have equal fingerprints and likeness 1; a lone document is its own next; rows of
@@ -139,8 +160,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
     digested = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("b"))
-    four = F.lit(SHARES)
-    sketched = digested.select("*", sketch(F.col("a"), four).alias("sa"), sketch(F.col("e"), four).alias("se"), sketch(F.col("b"), four).alias("sb"))
+    sketched = digested.select("*", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
     a, e, b, sa, se, sb = (F.col(x) for x in ("a", "e", "b", "sa", "se", "sb"))
     return sketched.select(
         "doc_id", "n_chars", "edited_sha256", written(a, sa).alias("fingerprint"), written(e, se).alias("edited_fingerprint"),
@@ -156,9 +176,9 @@ def fingerprint_sql() -> str:
     n AS (SELECT d.i, d.doc_id, d.text, coalesce(e.text, f.text) AS next_text FROM d LEFT JOIN d e ON e.i = d.i + 1 CROSS JOIN (SELECT text FROM d WHERE i = 1) f),
     t AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM n),
     u AS (SELECT i, 'a' AS k, text AS t FROM t UNION ALL SELECT i, 'e', edited FROM t UNION ALL SELECT i, 'b', next_text FROM t),
-    p AS (SELECT DISTINCT i, k, {digest.format("p")} AS h FROM (SELECT i, k, unnest(string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))) AS p FROM u) WHERE trim(p) <> ''),
-    g AS (SELECT i, k, h, (h << {CHECK_BITS}) | ('0x' || substr(md5(h::VARCHAR), 1, 6))::BIGINT AS x FROM p),
-    c AS (SELECT i, k, (h & {SHARES - 1}) * {TABLES * CELLS} + t * {CELLS} + ((h >> ({SHARE_BITS} + 3 * t)) & {CELLS - 1}) AS cell, x FROM g, range({TABLES}) r(t)),
+    p AS (SELECT DISTINCT i, k, {digest.format("p")} AS h FROM (SELECT i, k, unnest(string_split(regexp_replace(t, '{CUT}', '\\1' || chr(10) || '\\2', 'g'), chr(10))) AS p FROM u) WHERE trim(p) <> ''),
+    g AS (SELECT i, k, h, (h << {CHECK_BITS}) | (((h * {CHECK_FACTOR}) >> {CHECK_SHIFT}) & {(1 << CHECK_BITS) - 1}) AS x FROM p),
+    c AS (SELECT i, k, (h & {SHARES - 1}) * {TABLES * CELLS} + t * {CELLS} + ((h >> ({FIRST_PLACE} + 2 * t)) & {CELLS - 1}) AS cell, x FROM g, range({TABLES}) r(t)),
     s AS (SELECT i, k, cell, count(*) AS n, bit_xor(x) AS x FROM c GROUP BY ALL),
     z AS (SELECT t.i, k.k, string_agg(hex(coalesce(s.n, 0)) || ':' || hex(coalesce(s.x, 0)), ',' ORDER BY r.cell) AS cells
         FROM t CROSS JOIN (VALUES ('a'), ('e')) k(k) CROSS JOIN range({cells}) r(cell) LEFT JOIN s ON s.i = t.i AND s.k = k.k AND s.cell = r.cell GROUP BY ALL),
