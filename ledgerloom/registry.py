@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .plans import profiles, time
+
+
+def _all() -> dict:
+    return time.queries() | profiles.queries()
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
