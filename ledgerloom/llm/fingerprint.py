@@ -69,30 +69,29 @@ def less(cell: Column, other: Column) -> Column:
     return F.struct((cell["c"] - other["c"]).alias("c"), cell["x"].bitwiseXOR(other["x"]).alias("x"))
 
 
-def peel(cells: Column, first: int, rounds: int = 8) -> Column:
-    """How many digests a share's cells give back when lone ones are taken out until none is left; null if some stay."""
-    shift = lambda d, j: F.call_function("shiftright", d, F.lit(CHECK_BITS + first) + 2 * F.floor(j / CELLS).cast("int"))
-    here = lambda d, j: shift(d, j).bitwiseAND(CELLS - 1) == j % CELLS
+def peel(cells: Column, first: int) -> Column:
+    """How many digests a share's cells give back when lone ones are taken out, one at a time, until none is left; null if some stay."""
+    none = F.lit(0).cast("long")
     sure = lambda d: d.bitwiseAND((1 << CHECK_BITS) - 1) == check(F.shiftright(d, CHECK_BITS))
-    # A cell is lone if its count is 1 or -1 and what it holds has its own check and belongs there.
-    lone = lambda c, j: F.when((F.abs(c["c"]) == 1) & here(c["x"], j) & sure(c["x"]), c)
+    # A cell is lone if its count is 1 or -1 and what it holds has its own check. The first one's digest, with its count's sign; 0: none.
+    lone = lambda cs: F.aggregate(cs, none, lambda f, c: F.when(f != 0, f).when((F.abs(c["c"]) == 1) & sure(c["x"]), c["x"] * c["c"]).otherwise(none))
 
-    def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.array_compact(F.transform(state["cells"], lone)))
-
-        def without(found: Column) -> Column:
-            rest = F.transform(state["cells"], lambda c, j: F.aggregate(found, c, lambda a, p: F.when(here(p["x"], j), less(a, p)).otherwise(a)))
-            return F.when(F.size(found) == 0, F.struct(state["cells"], state["n"], F.lit(True).alias("still"))).otherwise(
-                F.struct(rest.alias("cells"), (state["n"] + F.size(found)).alias("n"), F.lit(False).alias("still")))
+    def places(d: Column) -> Column:
+        at = [F.call_function("shiftleft", F.lit(1 << CELLS * t), F.shiftright(d, CHECK_BITS + first + 2 * t).bitwiseAND(CELLS - 1).cast("int")) for t in range(TABLES)]
+        return at[0].bitwiseOR(at[1]).bitwiseOR(at[2])
 
-        return F.when(state["still"], state).otherwise(let(pure, without))
+    def step(state: Column, _: Column) -> Column:
+        found = F.struct(F.abs(state["d"]).alias("d"), F.signum(state["d"]).cast("int").alias("s"), places(F.abs(state["d"])).alias("at"))
+        taken = lambda c, j, p: F.when(F.call_function("shiftright", p["at"], j).bitwiseAND(1) == 1, F.struct((c["c"] - p["s"]).alias("c"), c["x"].bitwiseXOR(p["d"]).alias("x"))).otherwise(c)
+        rest = let(found, lambda p: F.transform(state["cells"], lambda c, j: taken(c, j, p)))
+        return F.when(state["d"] == 0, state).otherwise(let(rest, lambda cs: F.struct(cs.alias("cells"), (state["n"] + 1).alias("n"), lone(cs).alias("d"))))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), F.lit(False).alias("still"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), lone(cells).alias("d"))
+    end = F.aggregate(numbers(TABLES * CELLS), start, step)
     empty = lambda c: (c["c"] == 0) & (c["x"] == 0)
     in_use = F.size(F.filter(cells, lambda c: ~empty(c)))
-    # More than three quarters of the cells in use: given up at once.
-    return F.when(in_use * 4 <= 3 * TABLES * CELLS, let(end, lambda s: F.when(F.forall(s["cells"], empty), s["n"])))
+    # More than five sixths of the cells in use: given up at once.
+    return F.when(in_use == 0, 0).when(in_use * 6 <= 5 * TABLES * CELLS, let(end, lambda s: F.when(F.forall(s["cells"], empty), s["n"])))
 
 
 def difference(a: Column, b: Column, first: int) -> Column:
