@@ -14,18 +14,23 @@ W = Window.partitionBy
 one = "*"
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of money in decimals, so that it does not depend on the order of rows."""
+    return F.sum(x.cast("decimal(18,4)")).cast("double")
+
+
 def merchant_profile(df: DataFrame) -> DataFrame:
     a = F.col("amount")
     stats = df.groupBy("target").agg(
-        F.count(one).alias("n"), F.count_distinct("source").alias("users"), F.sum(a).alias("total"), F.avg(a).alias("mean"), F.percentile(a, 0.5).alias("median"), F.max(a).alias("max"),
+        F.count(one).alias("n"), F.count_distinct("source").alias("users"), exact_sum(a).alias("total"), (exact_sum(a) / F.count(a)).alias("mean"), F.percentile(a, 0.5).alias("median"), F.max(a).alias("max"),
         F.percentile(a, 0.95).alias("p95"), F.percentile(a, 0.99).alias("p99"), F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("std"), F.count_if(F.col("label") == 1).alias("fraud"),
         F.count_if(F.col("label") != 2).alias("labeled"), F.avg((F.col("source_province") != F.col("transaction_province")).cast("int")).alias("out_province_ratio"))
     return stats.withColumn("cv", S.safe_div(F.col("std"), F.col("mean")))
 
 
-MERCHANT = """SELECT target, count(*) AS n, count(DISTINCT source) AS users, sum(amount) AS total, avg(amount) AS mean, median(amount) AS median, max(amount) AS max, quantile_cont(amount, 0.95) AS p95,
+MERCHANT = """SELECT target, count(*) AS n, count(DISTINCT source) AS users, sum(amount::DECIMAL(18,4))::DOUBLE AS total, sum(amount::DECIMAL(18,4))::DOUBLE / count(amount) AS mean, median(amount) AS median, max(amount) AS max, quantile_cont(amount, 0.95) AS p95,
     quantile_cont(amount, 0.99) AS p99, coalesce(stddev_samp(amount), 0) AS std, count(*) FILTER (label = 1) AS fraud, count(*) FILTER (label <> 2) AS labeled,
-    avg((source_province <> transaction_province)::INT) AS out_province_ratio, coalesce(coalesce(stddev_samp(amount), 0) / nullif(avg(amount), 0), 0) AS cv FROM li GROUP BY target"""
+    avg((source_province <> transaction_province)::INT) AS out_province_ratio, coalesce(coalesce(stddev_samp(amount), 0) / nullif(sum(amount::DECIMAL(18,4))::DOUBLE / count(amount), 0), 0) AS cv FROM li GROUP BY target"""
 
 
 def effective_amount(p: DataFrame) -> DataFrame:
@@ -155,8 +160,8 @@ def queries() -> dict:
         "amount_bins": (lambda s, d: li(s, d).groupBy("level1", "target").agg(F.avg("amount").alias("m")).groupBy("level1").agg(F.count(one).alias("merchants"), *[F.percentile("m", q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]).where("merchants >= 4"),
             f"WITH {LI}, m AS (SELECT level1, target, avg(amount) AS m FROM li GROUP BY 1, 2) SELECT level1, count(*) AS merchants, quantile_cont(m, 0.25) AS q25, quantile_cont(m, 0.5) AS q50, quantile_cont(m, 0.75) AS q75 FROM m GROUP BY 1 HAVING count(*) >= 4"),
         "dup_keys": (lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(one).alias("n")).where("n > 1"), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
-        "category_report": (lambda s, d: li(s, d).groupingSets([["level1"], ["level1", "level2"]], "level1", "level2").agg(F.grouping("level2").cast("int").alias("is_level1"), F.count(one).alias("n"), F.sum("amount").alias("total"), F.avg("amount").alias("mean"), F.avg(cross().cast("int")).alias("out_ratio")),
-            f"WITH {LI} SELECT level1, level2, grouping(level2)::INT AS is_level1, count(*) AS n, sum(amount) AS total, avg(amount) AS mean, avg((source_province <> transaction_province)::INT) AS out_ratio FROM li GROUP BY GROUPING SETS ((level1), (level1, level2))"),
+        "category_report": (lambda s, d: li(s, d).groupingSets([["level1"], ["level1", "level2"]], "level1", "level2").agg(F.grouping("level2").cast("int").alias("is_level1"), F.count(one).alias("n"), exact_sum(F.col("amount")).alias("total"), (exact_sum(F.col("amount")) / F.count("amount")).alias("mean"), F.avg(cross().cast("int")).alias("out_ratio")),
+            f"WITH {LI} SELECT level1, level2, grouping(level2)::INT AS is_level1, count(*) AS n, sum(amount::DECIMAL(18,4))::DOUBLE AS total, sum(amount::DECIMAL(18,4))::DOUBLE / count(amount) AS mean, avg((source_province <> transaction_province)::INT) AS out_ratio FROM li GROUP BY GROUPING SETS ((level1), (level1, level2))"),
         "location_source_edges": (location_edges, f"WITH {EDGES} SELECT * FROM e"),
         "location_cosine_pairs": (lambda s, d: cosine_pairs(location_edges(s, d)), f"WITH {EDGES}, k AS (SELECT location, sqrt(count(*)) AS norm FROM e GROUP BY 1), p AS (SELECT a.location AS a, b.location AS b, count(*) AS dot FROM e a JOIN e b USING (source) WHERE a.location < b.location GROUP BY 1, 2) SELECT a, b, dot / (x.norm * y.norm) AS cosine FROM p JOIN k x ON x.location = a JOIN k y ON y.location = b WHERE dot / (x.norm * y.norm) >= 0.10"),
         "dominant_block": (lambda s, d: li(s, d).groupBy("source", "location").agg(F.count(one).alias("n")).withColumn("ratio", F.col("n") / F.sum("n").over(W("source"))).withColumn("_r", F.row_number().over(W("source").orderBy(F.desc("n"), F.desc("ratio"), "location"))).where("_r = 1").drop("_r"),
@@ -190,7 +195,7 @@ def queries() -> dict:
         "publish_merchant": (lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("target"), F.col("p_name").alias("merchant_name"), F.col("p_type").alias("behavior_level1"), F.col("p_brand").alias("behavior_level2")), "SELECT p_partkey AS target, p_name AS merchant_name, p_type AS behavior_level1, p_brand AS behavior_level2 FROM part"),
         "publish_user": (lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("source"), F.col("n_name").alias("province"), F.col("c_mktsegment").alias("attribute")), "SELECT c_custkey AS source, n_name AS province, c_mktsegment AS attribute FROM customer JOIN nation ON c_nationkey = n_nationkey"),
         "dim_extract": (lambda s, d: ev(s, d).groupBy("source").agg(F.min_by(F.struct("target", "amount"), "seq").alias("f")).select("source", "f.target", "f.amount"), f"WITH {EV} SELECT source, arg_min(target, seq) AS target, arg_min(amount, seq) AS amount FROM ev GROUP BY 1"),
-        "summary_metrics": (lambda s, d: li(s, d).agg(F.count(one).alias("n"), F.count_distinct("source").alias("users"), F.count_distinct("target").alias("merchants"), F.sum("amount").alias("total")), f"WITH {LI} SELECT count(*) AS n, count(DISTINCT source) AS users, count(DISTINCT target) AS merchants, sum(amount) AS total FROM li"),
+        "summary_metrics": (lambda s, d: li(s, d).agg(F.count(one).alias("n"), F.count_distinct("source").alias("users"), F.count_distinct("target").alias("merchants"), exact_sum(F.col("amount")).alias("total")), f"WITH {LI} SELECT count(*) AS n, count(DISTINCT source) AS users, count(DISTINCT target) AS merchants, sum(amount::DECIMAL(18,4))::DOUBLE AS total FROM li"),
         "star_join_unmatched": (lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").agg(F.count(one).alias("n"), F.count_if(F.col("o_orderkey").isNull()).alias("unmatched")), "SELECT count(*) AS n, count(*) FILTER (o_orderkey IS NULL) AS unmatched FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"),
         "top_volume_entities": (lambda s, d: ev(s, d).groupBy("source").agg(F.count(one).alias("n")).orderBy(F.desc("n"), "source").limit(5000), f"WITH {EV} SELECT source, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, source LIMIT 5000"),
         "dominant_customer": (lambda s, d: li(s, d).select("target", "source", "source_province").distinct().groupBy("target", "source_province").agg(F.count(one).alias("n")).withColumn("_r", F.row_number().over(W("target").orderBy(F.desc("n"), "source_province"))).where("_r = 1").drop("_r"), f"WITH {LI}, u AS (SELECT DISTINCT target, source, source_province FROM li) SELECT target, source_province, count(*) AS n FROM u GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY target ORDER BY count(*) DESC, source_province) = 1"),

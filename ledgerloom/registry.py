@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import profiles, time
+from .plans import profiles, refine, time
 
 
 def _all() -> dict:
-    return time.queries() | profiles.queries()
+    return time.queries() | profiles.queries() | refine.queries()
 
 
 def queries() -> dict:
