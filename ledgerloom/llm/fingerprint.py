@@ -1,15 +1,8 @@
-"""Document fingerprints as invertible Bloom lookup sketches: rows are dealt and paired by Spark, sketched in Arrow batches."""
+"""Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,145 +13,138 @@ CHECK_BITS = 24
 CHECK_FACTOR, CHECK_SHIFT = 119_304_647, 20
 #: A sketch has shares, of three tables of four cells each.
 TABLES, CELLS, SHARES = 3, 4, 4
+#: Sketches for a share that does not come apart: finer shares of it, and the first bit of its digests' places.
+LARGER = ((4, 18), (16, 24))
 FIRST_PLACE = 12
-#: Larger sketches for a share that does not come apart: digests a finer share gets on average, and the first bit of their places.
-LARGER = ((4, 18), (1, 24))
-MOST_FINER = 1024
 #: Lines are cut further where a sentence ends and the next begins with one of these, about every fifth time.
 CUT = r"([.!?]) ([A-DÉ])"
-#: Texts of one step, in code points; a longer text is a step of its own.
-STEP_CHARS = 4_000_000
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def paragraphs(text: str) -> list[str]:
+def paragraphs(text: Column) -> Column:
     """Lines; a long line is cut further at some sentence starts (chosen by their letter, so that cuts stay where they are
     when text before them changes): one edit in a line then leaves the rest of it. Blank ones are left out."""
-    return [p for p in re.sub(CUT, r"\1\n\2", text).split("\n") if p.strip(" ")]
-
-
-def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, digest) of the distinct paragraphs of every text; a digest is 36 bits of md5."""
-    of = [{int(hashlib.md5(p.encode()).hexdigest()[:9], 16) for p in paragraphs(t)} for t in texts]
-    row = np.repeat(np.arange(len(texts)), [len(x) for x in of])
-    return row, np.fromiter((h for x in of for h in x), np.int64, len(row))
-
-
-def checked(h: np.ndarray) -> np.ndarray:
-    """Digests with the 24 bits that they determine, by which a lone one in a cell is known."""
-    return h << CHECK_BITS | (h * CHECK_FACTOR >> CHECK_SHIFT) & ((1 << CHECK_BITS) - 1)
-
-
-def places(h: np.ndarray, first: int) -> np.ndarray:
-    """A digest's cell in each table."""
-    return np.stack([t * CELLS + (h >> (first + 2 * t) & (CELLS - 1)) for t in range(TABLES)])
-
-
-def cells_of(group: np.ndarray, h: np.ndarray, groups: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of every group of digests: how many are in it, and their exclusive or."""
-    at = (group * (TABLES * CELLS) + places(h, first)).ravel()
-    xor = np.zeros(groups * TABLES * CELLS, np.int64)
-    np.bitwise_xor.at(xor, at, np.tile(checked(h), TABLES))
-    return np.bincount(at, minlength=len(xor)).reshape(groups, -1), xor.reshape(groups, -1)
-
-
-def peel(count: np.ndarray, xor: np.ndarray, first: int) -> np.ndarray:
-    """How many digests each group's subtracted cells give back when lone ones are taken out, round by round; -1 if some stay."""
-    found = np.zeros(len(count), np.int64)
-    for _ in range(TABLES * CELLS):
-        g, j = np.nonzero((np.abs(count) == 1) & (checked(xor >> CHECK_BITS) == xor) & (xor != 0))
-        if not len(g):
-            break
-        lone = pd.DataFrame({"g": g, "d": xor[g, j], "s": count[g, j]}).drop_duplicates(["g", "d"])
-        g, d, s = (lone[c].to_numpy() for c in "gds")
-        for at in places(d >> CHECK_BITS, first):
-            np.subtract.at(count, (g, at), s)
-            np.bitwise_xor.at(xor, (g, at), d)
-        found += np.bincount(g, minlength=len(found))
-    return np.where((count == 0).all(1) & (xor == 0).all(1), found, -1)
-
-
-def symmetric(group: np.ndarray, h: np.ndarray, groups: int) -> np.ndarray:
-    """How many digests of a group only one side has, from the digests of both sides themselves."""
-    once = ~pd.DataFrame({"g": group, "h": h}).duplicated(keep=False).to_numpy()
-    return np.bincount(group[once], minlength=groups)
-
-
-def differing(a: tuple, b: tuple, sketch_a: tuple, sketch_b: tuple, rows: int) -> np.ndarray:
-    """Digests of a row in one of two texts only, from the difference of their sketches. A share that does not come apart is sketched anew
-    with as many cells as its digests may need, then with more; what fails then is settled by that share's digests themselves."""
-    got = peel(sketch_a[0] - sketch_b[0], sketch_a[1] ^ sketch_b[1], FIRST_PLACE)
-    sides = [(row * SHARES + (h & (SHARES - 1)), h) for row, h in (a, b)]
-    for each, first in LARGER:
-        failed = np.flatnonzero(got < 0)
-        if not len(failed):
-            break
-        number = np.full(len(got), -1)
-        number[failed] = np.arange(len(failed))
-        left = [(number[g[k]], h[k]) for g, h in sides for k in [number[g] >= 0]]
-        size = sum(np.bincount(g, minlength=len(failed)) for g, _ in left)
-        finer = np.minimum(MOST_FINER, 1 << np.ceil(np.log2(np.maximum(size / each, 2))).astype(np.int64))
-        start = np.cumsum(finer) - finer
-        (ca, xa), (cb, xb) = (cells_of(start[g] + (h >> 2 & (finer[g] - 1)), h, int(finer.sum()), first) for g, h in left)
-        part = peel(ca - cb, xa ^ xb, first)
-        got[failed] = np.where(np.minimum.reduceat(part, start) < 0, -1, np.add.reduceat(part, start))
-    g, h = (np.concatenate(x) for x in zip(*sides, strict=True))
-    k = got[g] < 0
-    got = np.where(got < 0, symmetric(g[k], h[k], len(got)), got)
-    return got.reshape(rows, SHARES).sum(1)
-
-
-def written(size: np.ndarray, count: np.ndarray, xor: np.ndarray) -> list[str]:
-    """A sketch as text: number of digests, then count:digest of each cell in hex."""
-    rows = zip(size.tolist(), count.reshape(len(size), -1).tolist(), xor.reshape(len(size), -1).tolist(), strict=True)
-    return [f"{n}/" + ",".join([f"{c:X}:{x:X}" for c, x in zip(cs, xs, strict=True)]) for n, cs, xs in rows]
+    return F.filter(F.split(F.regexp_replace(text, CUT, "$1\n$2"), "\n"), lambda p: F.trim(p) != "")
+
+
+def check(h: Column) -> Column:
+    """24 bits that a digest's 36 determine."""
+    return F.shiftright(h * CHECK_FACTOR, CHECK_SHIFT).bitwiseAND((1 << CHECK_BITS) - 1)
+
+
+def digests(text: Column) -> Column:
+    """The distinct paragraphs' digests: 36 bits of md5, then the check by which a lone digest in a cell is known."""
+    hashed = F.array_distinct(F.transform(paragraphs(text), lambda p: F.conv(F.substring(F.md5(p), 1, 9), 16, 10).cast("long")))
+    return F.transform(hashed, lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(check(h)))
+
+
+def share(ds: Column, number: Column, shares: int, first_bit: int = 0) -> Column:
+    return F.filter(ds, lambda d: F.shiftright(d, CHECK_BITS + first_bit).bitwiseAND(shares - 1) == number)
+
+
+def cells_of(part: Column, first: int) -> Column:
+    """Cells (c: how many digests, x: their exclusive or) of a share; a digest is in one cell of each table."""
+
+    def cell(table: int, at: int) -> Column:
+        here = lambda d: F.shiftright(d, CHECK_BITS + first + 2 * table).bitwiseAND(CELLS - 1) == at
+        put = lambda a, d: F.when(here(d), F.struct((a["c"] + 1).alias("c"), a["x"].bitwiseXOR(d).alias("x"))).otherwise(a)
+        return F.aggregate(part, F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x")), put)
+
+    return F.array(*[cell(t, k) for t in range(TABLES) for k in range(CELLS)])
+
+
+def let(value: Column, use) -> Column:
+    """Evaluate `value` once and use it several times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def numbers(n: int) -> Column:
+    return F.array(*[F.lit(i) for i in range(n)])
 
 
-def fingerprints(ids: pa.Array, texts: list[str], following: list[str]) -> pa.RecordBatch:
-    n = [len(t) for t in texts]
-    edited = [t[: k - k // 2] + f[: k // 2] for t, f, k in zip(texts, following, n, strict=True)]
-    sets = [digests(x) for x in (texts, edited, following)]
-    sketches = [cells_of(row * SHARES + (h & (SHARES - 1)), h, len(n) * SHARES, FIRST_PLACE) for row, h in sets]
-    sizes = [np.bincount(row, minlength=len(n)) for row, _ in sets]
+def sketch(ds: Column) -> Column:
+    return F.transform(F.transform(numbers(SHARES), lambda b: share(ds, b, SHARES)), lambda part: cells_of(part, FIRST_PLACE))
 
-    def likeness(k: int) -> np.ndarray:
-        total = sizes[0] + sizes[k]
-        return np.where(total == 0, 1.0, 1 - differing(sets[0], sets[k], sketches[0], sketches[k], len(n)) / np.maximum(total, 1))
 
-    near = [likeness(1), likeness(2)]
-    sha = [hashlib.sha256(e.encode()).hexdigest() for e in edited]
-    return pa.RecordBatch.from_pydict({"doc_id": ids, "n_chars": n, "edited_sha256": sha, "fingerprint": written(sizes[0], *sketches[0]), "edited_fingerprint": written(sizes[1], *sketches[1]), "near_edited": near[0], "near_next": near[1]})
+def less(cell: Column, other: Column) -> Column:
+    return F.struct((cell["c"] - other["c"]).alias("c"), cell["x"].bitwiseXOR(other["x"]).alias("x"))
 
 
-def in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch in steps of bounded text."""
-    for batch in batches:
-        texts, following = (batch.column(c).to_pylist() for c in ("text", "next_text"))
-        begin, chars = 0, 0
-        for i in range(batch.num_rows):
-            chars += len(texts[i]) + len(following[i])
-            if chars > STEP_CHARS or i + 1 == batch.num_rows:
-                yield fingerprints(batch.column("doc_id").slice(begin, i + 1 - begin), texts[begin : i + 1], following[begin : i + 1])
-                begin, chars = i + 1, 0
+def peel(cells: Column, first: int) -> Column:
+    """How many digests a share's cells give back when lone ones are taken out, one at a time, until none is left; null if some stay."""
+    none = F.lit(0).cast("long")
+    sure = lambda d: d.bitwiseAND((1 << CHECK_BITS) - 1) == check(F.shiftright(d, CHECK_BITS))
+    # A cell is lone if its count is 1 or -1 and what it holds has its own check. The first one's digest, with its count's sign; 0: none.
+    lone = lambda cs: F.aggregate(cs, none, lambda f, c: F.when(f != 0, f).when((F.abs(c["c"]) == 1) & sure(c["x"]), c["x"] * c["c"]).otherwise(none))
+
+    def places(d: Column) -> Column:
+        at = [F.call_function("shiftleft", F.lit(1 << CELLS * t), F.shiftright(d, CHECK_BITS + first + 2 * t).bitwiseAND(CELLS - 1).cast("int")) for t in range(TABLES)]
+        return at[0].bitwiseOR(at[1]).bitwiseOR(at[2])
+
+    def step(state: Column, _: Column) -> Column:
+        found = F.struct(F.abs(state["d"]).alias("d"), F.signum(state["d"]).cast("int").alias("s"), places(F.abs(state["d"])).alias("at"))
+        taken = lambda c, j, p: F.when(F.call_function("shiftright", p["at"], j).bitwiseAND(1) == 1, F.struct((c["c"] - p["s"]).alias("c"), c["x"].bitwiseXOR(p["d"]).alias("x"))).otherwise(c)
+        rest = let(found, lambda p: F.transform(state["cells"], lambda c, j: taken(c, j, p)))
+        return F.when(state["d"] == 0, state).otherwise(let(rest, lambda cs: F.struct(cs.alias("cells"), (state["n"] + 1).alias("n"), lone(cs).alias("d"))))
+
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), lone(cells).alias("d"))
+    end = F.aggregate(numbers(TABLES * CELLS), start, step)
+    empty = lambda c: (c["c"] == 0) & (c["x"] == 0)
+    in_use = F.size(F.filter(cells, lambda c: ~empty(c)))
+    # More than five sixths of the cells in use: given up at once.
+    return let(in_use, lambda n: F.when(n == 0, 0).when(n * 6 <= 5 * TABLES * CELLS, let(end, lambda s: F.when(F.forall(s["cells"], empty), s["n"]))))
+
+
+def difference(a: Column, b: Column, first: int) -> Column:
+    return let(F.zip_with(a, b, less), lambda cells: peel(cells, first))
+
+
+def again(a: Column, b: Column, finer: int, first: int) -> Column:
+    """A share's difference from a larger sketch: of each of its finer shares, built anew."""
+    one = lambda k: difference(cells_of(share(a, k, finer, 2), first), cells_of(share(b, k, finer, 2), first), first)
+    # Once one finer share fails, the others are not sketched.
+    return F.aggregate(numbers(finer), F.lit(0), lambda n, k: F.when(n.isNotNull(), n + one(k)))
+
+
+def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """1 - differing digests / digests of both, from the sketches. A share that does not come apart is sketched anew with
+    4 times, then 16 times the cells; what fails then is settled by comparing that share's digests themselves."""
+
+    def retried(x: Column, y: Column) -> Column:
+        exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+        return F.coalesce(*[again(x, y, finer, first) for finer, first in LARGER], exact)
+
+    def one(k: Column) -> Column:
+        from_sketch = difference(F.element_at(sketch_a, k + 1), F.element_at(sketch_b, k + 1), FIRST_PLACE)
+        return F.coalesce(from_sketch, let(share(a, k, SHARES), lambda x: let(share(b, k, SHARES), lambda y: retried(x, y))))
+
+    differing = F.aggregate(F.transform(numbers(SHARES), one), F.lit(0), lambda n, x: n + x)
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - differing / total)
+
+
+def written(ds: Column, cells: Column) -> Column:
+    """A sketch as text: number of digests, then count:digest of each cell in hex."""
+    return F.concat(F.size(ds).cast("string"), F.lit("/"), F.array_join(F.transform(F.flatten(cells), lambda c: F.concat(F.hex(c["c"]), F.lit(":"), F.hex(c["x"]))), ","))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the text of the next document by descending doc_id (after the last, the first).
+    """doc_id, text, its digests `a`, and text and digests `b` of the next document by descending doc_id (after the last, the first).
 
     Rows are dealt by ranges of doc_id; a range finds the next row by a window of its own, and its last row takes the first of the next range,
     one row a range, so no task sees more than a range.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("a", digests(F.col("text")))
     ranges = 4 * spread(docs)
     bounds = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
     rows = text.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>"), lambda b: b < F.col("doc_id"))))
-    first = rows.groupBy("_range").agg(F.max(F.struct("doc_id", "text")).alias("_first"))
+    first = rows.groupBy("_range").agg(F.max(F.struct("doc_id", "text", "a")).alias("_first"))
     # One row a range: these two windows see at most `ranges` rows.
     down = Window.orderBy(F.desc("_range"))
-    follow = first.select("_range", F.coalesce(F.lead("_first").over(down), F.first("_first").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))["text"].alias("_follow"))
+    follow = first.select("_range", F.coalesce(F.lead("_first").over(down), F.first("_first").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_follow"))
     order = Window.partitionBy("_range").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    led = rows.withColumn("_lead", F.lead("text").over(order))
-    return led.join(follow.hint("shuffle_hash"), "_range").select("doc_id", "text", F.coalesce("_lead", "_follow").alias("next_text"))
+    led = rows.withColumn("_lead", F.lead(F.struct("doc_id", "text", "a")).over(order))
+    following = led.join(follow.hint("shuffle_hash"), "_range").withColumn("_lead", F.coalesce("_lead", "_follow"))
+    return following.select("doc_id", "text", "a", F.col("_lead.text").alias("next_text"), F.col("_lead.a").alias("b"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -166,13 +152,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     A fingerprint is an invertible Bloom lookup sketch of the text's distinct paragraphs' digests: 4 shares of 3 x 4 cells, each with a count
     and an exclusive or. Two sketches are subtracted cell by cell and peeled; the digests that come out are the paragraphs that differ.
-    The same in array functions took more processor time than is allowed, see README; hence Arrow batches, which hold no state between rows.
 
     Defined cases: null text is empty; texts without paragraphs have equal fingerprints and likeness 1; a lone document is its own next; rows of
     one doc_id are ordered by descending text; a null doc_id comes last; no rows give no rows; other columns are ignored.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    return with_next(docs).mapInArrow(in_steps, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    rows = with_next(docs).select("doc_id", "a", "b", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    digested = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
+    sketched = digested.select("*", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
+    a, e, b, sa, se, sb = (F.col(x) for x in ("a", "e", "b", "sa", "se", "sb"))
+    return sketched.select(
+        "doc_id", "n_chars", "edited_sha256", written(a, sa).alias("fingerprint"), written(e, se).alias("edited_fingerprint"),
+        likeness(a, e, sa, se).alias("near_edited"), likeness(a, b, sa, sb).alias("near_next"))
 
 
 def fingerprint_sql() -> str:
