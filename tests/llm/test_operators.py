@@ -192,6 +192,18 @@ def test_fingerprints(spark, texts):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_likeness_is_that_of_the_digests(spark):
+    """Sketches that come apart at once, after larger ones and not at all give what the paragraphs themselves give."""
+    rng = np.random.default_rng(5)
+    lines = [f"line {k} of {k % 7} words" for k in range(3000)]
+    rows = [(i, "\n".join(lines[k] for k in rng.choice(3000, n)), "en", "s") for i, n in enumerate((0, 1, 2, 9, 40, 41, 200, 700, 2500))]
+    rows += [(9, rows[8][1] + "\nnew", "en", "s"), (10, rows[8][1], "en", "s")]
+    near = {r["doc_id"]: r["near_next"] for r in fingerprint.fingerprint_documents(frame(spark, rows)).collect()}
+    for (i, text, *_), (_, other, *_) in zip(rows, [rows[-1], *rows[:-1]], strict=True):
+        a, b = ({p for p in t.split("\n") if p} for t in (text, other))
+        assert near[i] == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)
+
+
 def test_pages():
     page = "<html><body><header><h1>Site</h1></header><nav><a>x</a></nav><div class='cookie-banner'>We use cookies.</div><article><h1>T</h1><p>One &amp; two,\n three. Long enough to be read as text.<p>Four</article><div id='comments'><p>Great post, really.</p></div><footer>f</footer></body></html>"
     assert pages.main_text(page) == "T\n\nOne & two, three. Long enough to be read as text.\n\nFour"
