@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import profiles, refine, time
+from .plans import profiles, refine, time, users
 
 
 def _all() -> dict:
-    return time.queries() | profiles.queries() | refine.queries()
+    return time.queries() | profiles.queries() | refine.queries() | users.queries()
 
 
 def queries() -> dict:
