@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from ledgerloom.operators import assign
-from ledgerloom.plans import refine
+from ledgerloom.plans import refine, users
 from ledgerloom.sources.views import txn_ev, txn_li
 
 DATA = "/root/testdata/sf0.001"
@@ -60,3 +60,10 @@ def test_prefix_blocks(spark):
     assert sorted(map(tuple, got.itertuples(index=False))) == [(1, 1, 4, 4, "same_source"), (1, 5, 5, 1, "isolated_fraud"), (2, 6, 6, 1, "isolated_fraud")]
     facts = txn_ev(spark, DATA)
     assert refine.prefix_blocks(refine.fraud_runs(facts)).toPandas()["rows"].sum() == facts.where("label = 1").count()
+
+
+def test_swaps_pair_ranks_of_reversed_moves(spark):
+    p = [(1, "a", "b", 0.5), (2, "a", "b", 0.9), (3, "b", "a", 0.1), (4, "a", "c", 0.7), (5, "b", "a", 0.1), (6, "a", "b", 0.2)]
+    got = users.user_swaps(spark.createDataFrame(p, "source long, old string, new string, gain double")).collect()
+    assert sorted((r["rank"], r["source"], r["back_source"], r["gain"]) for r in got) == [(1, 2, 3, 1.0), (2, 1, 5, 0.6)]
+    assert users.user_swaps(spark.createDataFrame([], "source long, old string, new string, gain double")).count() == 0
