@@ -16,13 +16,17 @@ TABLES, CELLS, SHARES = 3, 4, 4
 #: Sketches for a share that does not come apart: finer shares of it, and the first bit of its digests' places.
 LARGER = ((4, 18), (16, 24))
 FIRST_PLACE = 12
-#: Lines are cut further where a sentence ends and the next begins with one of these, about every fifth time.
-CUT = r"([.!?]) ([A-DÉ])"
+#: Marks that end a sentence in some script, quotes and brackets that may close behind them, and blanks, for a character class of Java and RE2.
+MARKS = ".!?…‥‽؟۔।॥։።፧፨။។៕།׃᠃᠉。！？｡．\u037e"
+CLOSING = r"\x22\x27)\]}”’“‘»«›‹」』）】》〉"
+BLANKS = r" \t\x{A0}\x{3000}"
+#: Lines are cut further at each sentence end: marks with blanks behind them (left out), or with a character that is not ASCII, as in scripts
+#: without blanks ("3.5" and "a.b" stay whole).
+CUT = rf"([{MARKS}]+[{CLOSING}]*)(?:[{BLANKS}]+|([^\x00-\x7F{MARKS}{CLOSING}{BLANKS}]))"
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines; a long line is cut further at some sentence starts (chosen by their letter, so that cuts stay where they are
-    when text before them changes): one edit in a line then leaves the rest of it. Blank ones are left out."""
+    """Lines; a line is cut further at each sentence end: one edit in a line then leaves the rest of it. Blank ones are left out."""
     return F.filter(F.split(F.regexp_replace(text, CUT, "$1\n$2"), "\n"), lambda p: F.trim(p) != "")
 
 

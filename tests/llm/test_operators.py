@@ -204,6 +204,26 @@ def test_likeness_is_that_of_the_digests(spark):
         assert near[i] == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)
 
 
+def test_every_sentence_end_cuts_a_line(spark):
+    """Whatever letter or script the next sentence starts with, in Spark and in the SQL's pattern; one edit leaves the rest of a line."""
+    import duckdb
+
+    cases = {
+        "Some words. The rest! is it? Zoë left (so.) “Yes.” 9 of 3.5 at a.b ends.": ["Some words.", "The rest!", "is it?", "Zoë left (so.)", "“Yes.”", "9 of 3.5 at a.b ends."],
+        "今天下雨。我们回家！「好吗？」他说。": ["今天下雨。", "我们回家！", "「好吗？」", "他说。"],
+        "यह एक है। वह दो है। Это три. Вот… так": ["यह एक है।", "वह दो है।", "Это три.", "Вот…", "так"],
+        "هل هذا؟ نعم. Ժամ։ Վերջ": ["هل هذا؟", "نعم.", "Ժամ։", "Վերջ"],
+    }
+    got = {r["text"]: r["p"] for r in frame(spark, [(i, t, "x", "s") for i, t in enumerate(cases)]).select("text", fingerprint.paragraphs(F.col("text")).alias("p")).collect()}
+    assert got == cases
+    for text, pieces in cases.items():
+        assert duckdb.execute("SELECT string_split(regexp_replace(?, ?, '\\1' || chr(10) || '\\2', 'g'), chr(10))", [text, fingerprint.CUT]).fetchone()[0] == pieces
+    line = [f"Sentence number {i} of many." for i in range(40)]
+    rows = [(1, " ".join([*line[:20], "Other words here.", *line[21:]]), "en", "s"), (2, " ".join(line), "en", "s")]
+    near = {r["doc_id"]: r["near_next"] for r in fingerprint.fingerprint_documents(frame(spark, rows)).collect()}
+    assert near[2] == pytest.approx(1 - 2 / 80)
+
+
 def test_pages():
     page = "<html><body><header><h1>Site</h1></header><nav><a>x</a></nav><div class='cookie-banner'>We use cookies.</div><article><h1>T</h1><p>One &amp; two,\n three. Long enough to be read as text.<p>Four</article><div id='comments'><p>Great post, really.</p></div><footer>f</footer></body></html>"
     assert pages.main_text(page) == "T\n\nOne & two, three. Long enough to be read as text.\n\nFour"
