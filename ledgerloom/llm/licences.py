@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of well-known licence notices (as `normalise` leaves them) and their identifiers.
+# Whole sentences of well-known licence notices (as `normalise` leaves them) and their identifiers. At ";" an end
+# may stand inside the sentence.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache-2.0/notice",
     "licensed under the apache license version 2 0 the license": "apache-2.0/notice",
     "you may not use this file except in compliance with the license": "apache-2.0/compliance",
     "you may obtain a copy of the license at": "apache-2.0/copy",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "apache-2.0/as-is",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2.0/as-is",
     "released under the mit license": "mit/notice",
     "licensed under the mit license": "mit/notice",
     "this project is licensed under the mit license": "mit/notice",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit/grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit/grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit/notice-kept",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0/notice",
     "licensed under the gnu general public license version 3": "gpl-3.0/notice",
     "licensed under the gnu general public license version 2": "gpl-2.0/notice",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0/grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2.0/grant",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl/warranty",
+    "this program is free software; you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation; either version 3 of the license or at your option any later version": "gpl-3.0/grant",
+    "this program is free software; you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license or at your option any later version": "gpl-2.0/grant",
+    "this program is distributed in the hope that it will be useful but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": "gpl/warranty",
     "you should have received a copy of the gnu general public license along with this program": "gpl/copy",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd/grant",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd/no-endorsement",
@@ -66,7 +69,7 @@ RULES = [
 ]
 #: Every known sentence has one of these words; a text without them has no licence sentence.
 ANCHORS = ("licens", "permission", "permitted", "copyright", "reserved", "public domain", "warranty", "redistribut")
-#: Ends of sentences: a line break, or a full stop, exclamation or question mark with white space behind it.
+#: Ends of sentences in the SQL: a line break, or a full stop, exclamation or question mark with white space behind it.
 BREAK = r"[.!?;]+[\s]|[\n\r]+"
 
 
@@ -75,6 +78,27 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+#: A character that stands for an end inside a text; then: what ends a sentence (also a colon, and the address that notices set without a mark),
+#: and lines without a letter or digit, which part paragraphs (a single line break does not: notices are wrapped).
+END = "\x01"
+ENDS = r"[.!?;:]+\s|https?://[^\s\x01]+"
+BLANK_LINES = r"\n(?:[^\p{L}\p{N}\n\x01]*\n)+"
+
+
+def clauses(text: Column) -> Column:
+    """A text in normalised words, with END at ends of sentences and paragraphs and a line feed at single line breaks."""
+    lines = F.regexp_replace(F.translate(F.lower(text), END, " "), r"\r\n?", "\n")
+    parted = F.regexp_replace(F.regexp_replace(lines, BLANK_LINES, END), ENDS, END)
+    return F.regexp_replace(parted, r"[^\p{L}\p{N}\n\x01]+", " ")
+
+
+def sentence_pattern() -> str:
+    """Any known sentence, on one line or wrapped, between two ends or line breaks; the longest first."""
+    gap = {" ": r"(?: ?\n ?| )", "; ": r"[ \n\x01]+"}
+    wrapped = ["".join(gap.get(x, x) for x in re.split("(;? )", s)) for s in sorted(SENTENCES, key=len, reverse=True)]
+    return rf"(?<=^ ?|[\n\x01] ?)(?:{'|'.join(wrapped)})(?= ?(?:[\n\x01]|$))"
+
+
 def rule_patterns() -> list[tuple[str, str]]:
     """Each rule as a pattern over `;a;b;c;`, the text's sequence of identifiers; identifiers of other sentences may stand between."""
     return [(name, ";" + ";(.*;)?".join(x.replace(".", "[.]") for x in ids) + ";") for name, ids in RULES]
@@ -83,8 +107,8 @@ def rule_patterns() -> list[tuple[str, str]]:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """Licences that each whole text names.
 
-    Sentences are cut at line breaks and sentence ends, normalised, and looked up in a fixed table; the identifiers found,
-    in text order, are matched with the ordered rules. `licences` has every licence whose rule matches, once, in rule
+    Whole sentences of a fixed table are found in the normalised words, on one line or wrapped over several (also behind the marks
+    of comments): they start and end at sentence ends, paragraphs or line breaks. The identifiers found, in text order, are matched with the ordered rules. `licences` has every licence whose rule matches, once, in rule
     order (the most specific rule first); `licence` is the first.
 
     Defined cases: null, empty or licence-free text: no sentence, empty lists, licence null; sentences that repeat count
@@ -92,9 +116,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_sentences, sentence_ids (joined by ;), licences (joined by ;), licence.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    pieces = F.split(text, BREAK)
-    found = F.filter(F.transform(pieces, lambda s: F.try_element_at(known, normalise(s))), lambda x: x.isNotNull())
+    known = F.create_map(*[F.lit(x) for s, i in SENTENCES.items() for x in (s.replace(";", ""), i)])
+    pieces = F.regexp_extract_all(clauses(text), F.lit(sentence_pattern()), F.lit(0))
+    found = F.transform(pieces, lambda s: F.try_element_at(known, normalise(s)))
     has_anchor = F.lower(text).rlike("|".join(ANCHORS))
     ids = docs.select("doc_id", F.when(has_anchor, found).otherwise(F.array().cast("array<string>")).alias("_ids"))
     flat = ids.select("doc_id", F.size("_ids").alias("n_sentences"), F.array_join("_ids", ";").alias("sentence_ids"))
@@ -105,7 +129,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The same scan for DuckDB."""
+    """The scan for DuckDB line by line, as the given tables have their notices; it does not find wrapped ones."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({q(k)}, {q(v)})" for k, v in SENTENCES.items())
     hits = ", ".join(f"CASE WHEN regexp_matches(s, {q(p)}) THEN {q(name)} END" for name, p in rule_patterns())

@@ -237,6 +237,39 @@ def test_licences(spark):
     assert all(any(a in s for a in licences.ANCHORS) for s in licences.SENTENCES)
 
 
+NOTICES = {
+    "MIT (full)": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "Apache-2.0 (header)": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language.""",
+    "GPL-3.0-or-later (header)": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+}
+NOTICES["GPL-2.0-or-later (header)"] = NOTICES["GPL-3.0-or-later (header)"].replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2").replace("program.  If not, see <https://www.gnu.org/licenses/>", "program; if not, write to the Free Software Foundation")
+
+
+def test_whole_notices_wrapped_or_not(spark):
+    import textwrap
+
+    wrap = lambda t, lead, end: end.join(lead + line for p in t.split("\n\n") for line in [*textwrap.wrap(p.strip(), 72), ""])
+    forms = [lambda t: t, lambda t: " ".join(t.split()), lambda t: wrap(t, "", "\n"), lambda t: wrap(t, " * ", "\n"), lambda t: wrap(t, "# ", "\r\n"), lambda t: "Title\nCopyright (c) 2020 Somebody\n" + wrap(t, "", "\n")]
+    rows = [(10 * i + j, form(t), name, "s") for i, (name, t) in enumerate(NOTICES.items()) for j, form in enumerate(forms)]
+    rows.append((99, "Copyright 2020 A Name\nAll rights reserved.\nReleased under\nthe MIT License. Not released under the MIT License.", "All", "s"))
+    got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, rows)).collect()}
+    assert {i: got[i]["licence"] for i, _, name, _ in rows if i != 99} == {i: name for i, _, name, _ in rows if i != 99}
+    assert got[99]["sentence_ids"] == "reserved/notice;mit/notice"
+
+
 def test_pipeline_is_its_stages(spark, tmp_path):
     import corpus_pipeline
 
