@@ -130,8 +130,8 @@ def select(found: list[Node], smooth: int = 1, share: float = 0.35) -> list[str]
 
     Every tag path has a text ratio (characters a node) and a punctuation ratio (marks a node). Along the page both are
     smoothed over `smooth` neighbours with Gaussian weights and multiplied; a path's score is the mean of its nodes'. Paths over
-    `share` of the mean score by characters are content. Of the elements that hold seven tenths of the content, the
-    innermost is the article; in it, headings and nodes of other paths stay if they are not mostly links.
+    `share` of the mean score by characters are content. The innermost <article> that holds seven tenths of the
+    content, or else the innermost element that holds all of it, is the article; in it, headings and nodes of other paths stay if they are not mostly links.
     """
     texts = [SPACES.sub(" ", "".join(n.parts)).strip() for n in found]
     rows = [(n, t) for n, t in zip(found, texts, strict=True) if t]
@@ -172,7 +172,7 @@ def select(found: list[Node], smooth: int = 1, share: float = 0.35) -> list[str]
                     outside[e] = [x for x in n.chain if x < e]
     article = max((e for e, c in held.items() if c >= 0.7 * total), default=None)
     if article is not None and article not in named:
-        article = max((e for e in outside[article] if e in named), default=article)
+        article = max((e for e in outside[article] if e in named), default=max((e for e, c in held.items() if c == total), default=None))
     wide = article is None or any(n.chain and n.chain[-1] == article and n.path.count("/") <= 1 for n, _ in rows)
     out = []
     for n, t in rows:

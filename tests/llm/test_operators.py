@@ -230,6 +230,19 @@ def test_pages():
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<script>x</script>") == ""
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "td"])
+def test_pages_without_article_are_whole(tag):
+    """Unequal sibling parts, and paragraphs around a long blockquote, all stay; surroundings go."""
+    p = [f"Paragraph {i} has some words, and more of them; it is read as text." for i in range(8)]
+    inner = lambda ps: "".join(f"<p>{x}</p>" for x in ps)
+    parts = f"<{tag}>{inner(p[:6])}</{tag}><{tag}>{inner(p[6:])}</{tag}>"
+    parts = f"<table><tr>{parts}</tr></table>" if tag == "td" else parts
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{parts}<footer>Some footer, with a mark.</footer></body></html>"
+    assert pages.main_text(page) == "\n\n".join(p)
+    quoted = f"<body><div>{inner(p[:1])}<blockquote>{inner(p[1:7])}</blockquote>{inner(p[7:])}</div><div class='comments'><p>Nice text, really.</p></div></body>"
+    assert pages.main_text(quoted) == "\n\n".join(p)
+
+
 def test_licences(spark):
     rows = [(1, "Text here.\nReleased under the MIT License.\nAll rights reserved.", "en", "s"), (2, None, None, None), (3, "Licensed under CC BY-NC 4.0.", "en", "s")]
     got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, rows)).collect()}
