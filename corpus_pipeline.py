@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import language, mixing, neardup, packing
-from ledgerloom.llm.kit import read, shared_folder
+from ledgerloom.llm.kit import read, shared_folder, word_count
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,17 +17,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id; documents without text are their own class."""
-    classes = neardup.jaccard_join(docs)
-    first = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each class of near copies, that with the least doc_id (null last); rows without text are their own class.
+
+    Rows are told apart by a number of their own, written with them: a doc_id may be null or repeated, with one text or several.
+    """
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    classes = neardup.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("least")
+    first = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(least).select("least._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    same = (F.col("d.doc_id") == F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    found = docs.alias("d").join(taken.alias("t"), same).select("d.*", "_copies")
+    """Every document as many times as the mix takes it; that depends on its doc_id, source and size alone, any of which may repeat or be null."""
+    taken = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size"))
+    found = sized.alias("d").join(taken.alias("t"), same).select("d.*", "_copies")
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -294,3 +294,35 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     sets = [shingles(r["text"]) for r in one.collect()]
     assert not any(x and y and 5 * len(x & y) >= 4 * len(x | y) for x, y in itertools.combinations(sets, 2))
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_against_brute_force_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = [r.asDict() for r in docs.orderBy("doc_id").limit(60).collect()]
+    other = lambda r, **new: {**r, **new}
+    odd = [other(some[0]), other(some[0]), other(some[1], doc_id=None), other(some[2], doc_id=None, text=some[2]["text"] + " " + " ".join(f"{w}x" for w in some[3]["text"].split()))]
+    odd += [other(some[4], doc_id=some[5]["doc_id"]), other(some[6], doc_id=some[7]["doc_id"], text=" ".join(reversed(some[6]["text"].split()))), other(some[8], source=None, text=some[8]["text"] + "\n" + some[9]["text"])]
+    odd += [other(odd[5], doc_id=None), other(odd[3])]
+    spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in some + odd], docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    sf, plain = str(tmp_path), lambda df: Counter(tuple(r) for r in df.collect())
+    kept = corpus_pipeline.known_language(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    rows = kept.collect()
+    assert any(r["doc_id"] is None for r in rows)
+    sets, group = [shingles(r["text"]) for r in rows], list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+    one = corpus_pipeline.one_of_a_group(spark, kept, sf)
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    ids = Counter(min((r for r, g in zip(rows, group, strict=True) if g == k), key=order)["doc_id"] for k in set(group))
+    assert Counter(r["doc_id"] for r in one.collect()) == ids and None in ids and max(ids.values()) > 1
+    assert not plain(one) - plain(kept)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    copies = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.mix_sources(one).collect()}
+    want = Counter({t: n * copies[t[docs.columns.index("doc_id")], t[docs.columns.index("source")], words(t[docs.columns.index("text")])] for t, n in plain(one).items()})
+    mixed = corpus_pipeline.mixed_sources(spark, one, sf)
+    assert plain(mixed) == +want
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sum(r["n_tokens"] for r in got) == sum(n * (words(t[docs.columns.index("text")]) + 1) for t, n in want.items())
