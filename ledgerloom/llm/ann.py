@@ -44,12 +44,22 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarra
     return np.packbits((x - mean) @ projection >= 0, axis=1)
 
 
+def lift(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows with one more coordinate that makes all as long as the longest: the angle to a query, which has 0 there, then ranks them as the
+    inner product does. 0: rows are equally long as they are."""
+    return np.column_stack([x, np.sqrt(np.maximum(0, longest**2 - (x * x).sum(axis=1)))]) if longest else x
+
+
+def lift_query(q: np.ndarray, longest: float) -> np.ndarray:
+    return np.column_stack([q, np.zeros(len(q))]) if longest else q
+
+
 def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int32)
 
 
-def learn_radius(sample: np.ndarray, codes: np.ndarray, k: int, share: float = 0.985, probes: int = 400) -> int:
-    """The Hamming radius that holds `share` of the true k nearest of some sample rows inside the sample (in a larger
+def learn_radius(sample: np.ndarray, codes: np.ndarray, query_codes: np.ndarray, k: int, share: float = 0.985, probes: int = 400) -> int:
+    """The Hamming radius that holds `share` of the true k nearest (by inner product) of some sample rows inside the sample (in a larger
     table the nearest are nearer, so the radius errs to the safe side)."""
     rows = np.arange(len(sample))[:: max(1, len(sample) // probes)]
     found = []
@@ -57,7 +67,7 @@ def learn_radius(sample: np.ndarray, codes: np.ndarray, k: int, share: float = 0
         s = sample @ sample[i]
         s[i] = -np.inf
         near = np.argpartition(-s, min(k, len(s) - 1))[:k] if len(s) > 1 else np.zeros(0, int)
-        found.append(distances(codes[near], codes[i]))
+        found.append(distances(codes[near], query_codes[i]))
     found = np.sort(np.concatenate(found)) if found else np.zeros(1, int)
     return int(found[min(len(found) - 1, int(share * len(found)))]) if len(found) else 0
 
@@ -90,8 +100,8 @@ class MultiIndex:
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, model: tuple, k: int) -> tuple[list, list, list]:
-    mean, projection, radius = model
-    index, coded = MultiIndex(encode(x, mean, projection)), encode(q, mean, projection)
+    mean, projection, radius, longest = model
+    index, coded = MultiIndex(encode(lift(x, longest), mean, projection)), encode(lift_query(q, longest), mean, projection)
     bits, out = projection.shape[1], ([], [], [])
     slim = x.astype(np.float32)
     for i in range(len(q)):
@@ -118,7 +128,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 16_38
     """The k nearest by inner product of each row whose vec_id is divisible by `every`, among all other rows.
 
     The rotation, the codes' centre and the radius are learnt on the `sample` rows of least hash (a bound, as for a
-    classifier); every row is indexed. Rows are dealt by hash into blocks of about `block` and queries into blocks of
+    classifier); every row is indexed. Rows of unequal lengths get a coordinate that makes them equally long before they are coded. Rows are dealt by hash into blocks of about `block` and queries into blocks of
     about `queries`; each pair of blocks is a task that builds the substring tables of its rows, probes them, and reranks
     what lies within the radius by the original vectors in double precision. The radius grows for a query that finds fewer than
     k. A task returns k rows a query, which are merged by rank; found pairs are never rows.
@@ -139,11 +149,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 16_38
     rows = rows.where(F.size("embedding") == dims).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     s = np.array([r["embedding"] for r in got])
-    s = s / np.linalg.norm(s, axis=1, keepdims=True)
-    bits = -(-dims // 32) * 64  # two rotations, in whole 64-bit words
-    mean, projection = learn_rotation(s, rotations=-(-bits // dims))
+    square = F.aggregate("embedding", F.lit(0.0), lambda n, v: n + v * v)
+    least, most = (float(v) for v in rows.agg(F.min(square), F.max(square)).first())
+    longest = float(np.sqrt(most)) if least < most * (1 - 1e-4) else 0.0
+    lifted = lift(s, longest)
+    lifted = lifted / np.linalg.norm(lifted, axis=1, keepdims=True)
+    bits = -(-lifted.shape[1] // 32) * 64  # two rotations, in whole 64-bit words
+    mean, projection = learn_rotation(lifted, rotations=-(-bits // lifted.shape[1]))
     projection = projection[:, :bits]
-    model = (mean, projection, learn_radius(s, encode(s, mean, projection), k))
+    if longest:  # queries lie elsewhere than lifted rows: only angles at the origin keep the order
+        mean = np.zeros_like(mean)
+    model = (mean, projection, learn_radius(s, encode(lifted, mean, projection), encode(lift_query(s, longest), mean, projection), k), longest)
     total = sum(sizes.values())
     n_rows, n_queries = max(1, -(-total // block)), max(1, -(-total // every // queries))
     q = rows.where(F.col("vec_id") % every == 0)

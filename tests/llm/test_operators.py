@@ -174,6 +174,23 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("deviation", [0.5, 1.0])
+def test_nearest_recall_with_unequal_lengths(spark, deviation):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x *= np.exp(deviation * rng.normal(size=(6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(rows).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & found[q])
+    assert hits >= 0.95 * 20 * len(found), hits / 20 / len(found)
+
+
 def test_index_returns_every_code_within_the_radius():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
