@@ -2,46 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
-SUB = 8
+from .kit import cut_lineage, spread
+
+#: A code has 64 substrings of 16 bits.
+SUBSTRINGS, SUB = 64, 16
+BITS = SUBSTRINGS * SUB
 
 
 @lru_cache
 def masks(radius: int) -> np.ndarray:
-    """All bytes with at most `radius` bits."""
-    return np.array([m for m in range(256) if m.bit_count() <= radius], np.uint8)
+    """All 16-bit numbers with at most `radius` bits."""
+    every = np.arange(1 << SUB)
+    return every[np.bitwise_count(every) <= radius]
 
 
-def learn_rotation(sample: np.ndarray, rotations: int = 2, rounds: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(sample: np.ndarray, rounds: int = 6, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) of iterative quantisation: principal axes, then rotations that bring the data near their signs.
 
-    With `rotations` rotations from different starts a code has as many bits for each dimension.
+    Rotations from different starts are laid side by side until a code has BITS bits.
     """
     rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
     x = sample - mean
-    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :BITS]
     y, out = x @ axes, []
-    for _ in range(rotations):
-        r = np.linalg.qr(rng.normal(size=(x.shape[1],) * 2))[0]
+    for _ in range(-(-BITS // axes.shape[1])):
+        r = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
             r = (u @ w).T
         out.append(axes @ r)
-    return mean, np.concatenate(out, axis=1)
+    return mean, np.concatenate(out, axis=1)[:, :BITS]
 
 
-def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Codes as bytes; a direction's code does not depend on its length."""
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return np.packbits((x - mean) @ projection >= 0, axis=1)
+def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Codes as rows of substrings; a direction's code does not depend on its length."""
+    out = np.empty((len(x), SUBSTRINGS), np.uint16)
+    for i in range(0, len(x), rows):
+        part = x[i : i + rows]
+        part = (part / np.linalg.norm(part, axis=1, keepdims=True) - mean).astype(np.float32)
+        out[i : i + rows] = np.packbits(part @ projection.astype(np.float32) >= 0, axis=1).view(np.uint16)
+    return out
 
 
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -54,126 +65,171 @@ def lift_query(q: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([q, np.zeros(len(q))]) if longest else q
 
 
-def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int32)
-
-
-def learn_radius(sample: np.ndarray, codes: np.ndarray, query_codes: np.ndarray, k: int, share: float = 0.985, probes: int = 400) -> int:
-    """The Hamming radius that holds `share` of the true k nearest (by inner product) of some sample rows inside the sample (in a larger
-    table the nearest are nearer, so the radius errs to the safe side)."""
-    rows = np.arange(len(sample))[:: max(1, len(sample) // probes)]
-    found = []
-    for i in rows:
-        s = sample @ sample[i]
-        s[i] = -np.inf
-        near = np.argpartition(-s, min(k, len(s) - 1))[:k] if len(s) > 1 else np.zeros(0, int)
-        found.append(distances(codes[near], query_codes[i]))
-    found = np.sort(np.concatenate(found)) if found else np.zeros(1, int)
-    return int(found[min(len(found) - 1, int(share * len(found)))]) if len(found) else 0
+def needed_radius(codes: np.ndarray, query_codes: np.ndarray) -> np.ndarray:
+    """The least probing radius at which each code is met by its query: a substring j that differs in d bits is probed from m d + j on."""
+    apart = np.bitwise_count(codes ^ query_codes).astype(np.int64)
+    return (apart * SUBSTRINGS + np.arange(SUBSTRINGS)).min(axis=1)
 
 
 class MultiIndex:
     """One inverted list for each value of each substring of the codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.words = np.ascontiguousarray(codes).view(np.uint64)
-        self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
-        self.first = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is within the radius: with m substrings, radius = m r + a, one of the first a + 1
-        substrings differs in at most r bits or one of the others in at most r - 1 (pigeonhole); then whole codes count."""
-        m = self.codes.shape[1]
-        r, a = divmod(min(radius, m * SUB), m)
-        hit = np.zeros(len(self.codes), bool)
-        for j in range(m):
+        self.rows = len(codes)
+        columns = np.ascontiguousarray(codes.T)
+        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.first = np.zeros((SUBSTRINGS, (1 << SUB) + 1), np.int32)
+        for j, c in enumerate(columns):
+            np.cumsum(np.bincount(c, minlength=1 << SUB), out=self.first[j, 1:])
+
+    def probe(self, codes: np.ndarray, radius: int) -> np.ndarray:
+        """(query x row): which rows each query meets. With m substrings and radius = m r + a, the first a + 1 substrings are probed at up to r
+        differing bits and the others at up to r - 1; by the pigeonhole principle every code within the radius is met."""
+        hit = np.zeros((len(codes), self.rows), bool)
+        r, a = divmod(radius, SUBSTRINGS)
+        for j in range(SUBSTRINGS):
             near = r if j <= a else r - 1
             if near < 0:
-                continue
-            first, order = self.first[j], self.order[:, j]
-            for v in code[j] ^ masks(near):
-                hit[order[first[v] : first[int(v) + 1]]] = True
-        rows = np.flatnonzero(hit)
-        d = np.bitwise_count(self.words[rows] ^ code.view(np.uint64)).sum(axis=1, dtype=np.int32)
-        return rows[d <= radius]
-
-
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, model: tuple, k: int) -> tuple[list, list, list]:
-    mean, projection, radius, longest = model
-    index, coded = MultiIndex(encode(lift(x, longest), mean, projection)), encode(lift_query(q, longest), mean, projection)
-    bits, out = projection.shape[1], ([], [], [])
-    slim = x.astype(np.float32)
-    for i in range(len(q)):
-        r = radius
-        while True:
-            rows = index.within(coded[i], r)
-            rows = rows[ids[rows] != qids[i]]
-            if len(rows) >= k or r >= bits:
                 break
-            r += 4
-        if len(rows) > 4 * k:  # floats in single precision first, with a margin; the exact measure decides
-            rough = slim[rows] @ q[i].astype(np.float32)
-            least = np.partition(rough, len(rough) - k)[len(rough) - k]
-            rows = rows[rough >= least - 1e-4 * max(1.0, float(np.abs(rough).max()))]
-        exact = (x[rows] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[rows], -exact))[:k]
-        out[0].append(np.full(len(best), qids[i]))
-        out[1].append(ids[rows][best])
-        out[2].append(exact[best])
-    return out
-
-
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 16_384, queries: int = 1_024, sample: int = 20_000) -> DataFrame:
+            first = self.first[j]
+            if len(masks(near)) <= self.rows:
+                values = codes[:, j, None] ^ masks(near)
+            else:  # fewer values are in the list than would be probed
+                held = np.flatnonzero(np.diff(first))
+                values = np.where(np.bitwise_count(held ^ codes[:, j, None].astype(np.int64)) <= near, held, -1)
+            lo = first[values]
+            many = np.where(values >= 0, first[values + 1] - lo, 0)
+            q, p = np.nonzero(many)
+            lo, many = lo[q, p], many[q, p]
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.zeros(0, int)
+            hit[np.repeat(q, many), self.order[j, at]] = True
+        return hit
+
+
+class Block:
+    """Some rows with their index; `model` is (mean, projection, radius, longest)."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, model: tuple):
+        self.ids, self.x, self.slim, self.model = ids, x, x.astype(np.float32), model
+        self.index = MultiIndex(encode(lift(x, model[3]), *model[:2]))
+
+    def search(self, qids: np.ndarray, q: np.ndarray, k: int, queries: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the k best rows that each query meets; a query that meets fewer than k probes further, to the end if need be."""
+        mean, projection, radius, longest = self.model
+        out: tuple[list, list, list] = ([], [], [])
+        enough = min(k, len(self.ids) - 1)
+        for i in range(0, len(q), queries):
+            coded = encode(lift_query(q[i : i + queries], longest), mean, projection)
+            hit, r = self.index.probe(coded, radius), radius
+            few = np.flatnonzero(hit.sum(axis=1) <= enough)
+            while len(few) and r < BITS:
+                r = min(BITS, r + SUBSTRINGS)
+                hit[few] = self.index.probe(coded[few], r)
+                few = few[hit[few].sum(axis=1) <= enough]
+            for n, met in enumerate(hit, i):
+                rows = np.flatnonzero(met)
+                rows = rows[self.ids[rows] != qids[n]]
+                if len(rows) > 4 * k:  # floats in single precision first, with a margin; the exact measure decides
+                    rough = self.slim[rows] @ q[n].astype(np.float32)
+                    least = np.partition(rough, len(rough) - k)[len(rough) - k]
+                    rows = rows[rough >= least - 1e-4 * max(1.0, float(np.abs(rough).max()))]
+                exact = (self.x[rows] * q[n]).sum(axis=1)
+                best = np.lexsort((self.ids[rows], -exact))[:k]
+                out[0].append(np.full(len(best), qids[n]))
+                out[1].append(self.ids[rows][best])
+                out[2].append(exact[best])
+        return tuple(np.concatenate(x) for x in out)
+
+
+def dense(column: pa.Array) -> np.ndarray:
+    """Lists of equal lengths as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def search_blocks(batches: Iterator[pa.RecordBatch], model: tuple, k: int) -> Iterator[pa.RecordBatch]:
+    """A partition sorted by block, rows before queries: the index of a block is built once, and its queries stream past it."""
+    current, held, ready = None, [], None
+    for t in batches:
+        block, query, ids, x = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), dense(t.column(3))
+        edge = np.flatnonzero((block[1:] != block[:-1]) | (query[1:] != query[:-1])) + 1
+        for a, z in zip([0, *edge], [*edge, len(block)], strict=True):
+            if a == z:
+                continue
+            if block[a] != current:
+                current, held, ready = block[a], [], None
+            if not query[a]:
+                held.append((ids[a:z], x[a:z]))
+            elif held:
+                ready = ready or Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), model)
+                found = ready.search(ids[a:z], x[a:z], k)
+                yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def true_nearest(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> list:
+    """The exact k nearest of a few queries among all rows: (query, vec_id, embedding)."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            own, x = t.column(0).to_numpy(), dense(t.column(1))
+            s = x @ q.T
+            s[own[:, None] == ids] = -np.inf
+            at = np.argpartition(-s, min(k, len(s)) - 1, axis=0)[:k] if len(s) else np.zeros((0, len(q)), int)
+            n = np.broadcast_to(np.arange(len(q)), at.shape).ravel()
+            yield pa.record_batch([pa.array(n, pa.int32()), pa.array(own[at.ravel()], pa.int64()), pa.array(s[at.ravel(), n], pa.float64()), t.column(1).take(pa.array(at.ravel()))], ["n", "vec_id", "s", "embedding"])
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    found = rows.mapInArrow(best, f"n int, vec_id long, s double, embedding {kind}").where(F.col("s") > F.lit(float("-inf")))
+    order = Window.partitionBy("n").orderBy(F.desc("s"), "vec_id")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("n", "embedding").collect()
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.97, block: int = 16_384, sample: int = 4_096, probes: int = 200) -> DataFrame:
     """The k nearest by inner product of each row whose vec_id is divisible by `every`, among all other rows.
 
-    The rotation, the codes' centre and the radius are learnt on the `sample` rows of least hash (a bound, as for a
-    classifier); every row is indexed. Rows of unequal lengths get a coordinate that makes them equally long before they are coded. Rows are dealt by hash into blocks of about `block` and queries into blocks of
-    about `queries`; each pair of blocks is a task that builds the substring tables of its rows, probes them, and reranks
-    what lies within the radius by the original vectors in double precision. The radius grows for a query that finds fewer than
-    k. A task returns k rows a query, which are merged by rank; found pairs are never rows.
+    Rotations and the codes' centre are learnt on the `sample` rows of least hash (a bound, as for a classifier); every row is indexed. The
+    probing radius is the least at which the codes of the true k nearest of `probes` sample rows, found exactly among all rows, are met with
+    the share `recall`; it shrinks as a table grows and its nearest rows are nearer. Rows of unequal lengths get a coordinate that makes them
+    equally long before they are coded.
+
+    Rows are dealt by hash into blocks of about `block` (more, up to eight times, where the session has fewer shuffle partitions than blocks).
+    A task builds the inverted lists of a block once, streams the queries past it, and reranks the rows they meet by the original vectors in
+    double precision. Every row is in one block; only queries are sent to each block. A task returns k rows a query, which are merged by rank;
+    found pairs are never rows.
 
     Defined cases: vectors that are null, zero, of another length than most, or hold nulls or non-finite numbers take no
     part; rows that repeat a vec_id are one (the least vector); ties go to the smaller vec_id; fewer than k candidates:
     all; no rows give no rows; other columns are ignored. Returns query_id, rank, vec_id, score.
     """
-    spark = vectors.sparkSession
-    e = F.col("embedding").cast("array<double>")
+    spark, sc = vectors.sparkSession, vectors.sparkSession.sparkContext
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "double"
+    e = F.col("embedding").cast(f"array<{kind}>")
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), e.alias("embedding")).where(F.coalesce(fine, F.lit(False)))
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.size("embedding")).count().collect()}
-    dims = max(sizes, key=lambda d: (sizes[d], -d), default=0)
-    schema = "query_id long, vec_id long, score double"
+    rows = cut_lineage(rows.groupBy("vec_id", F.size("embedding").alias("_d")).agg(F.min("embedding").alias("embedding")))
+    square = F.aggregate("embedding", F.lit(0.0), lambda n, v: n + v.cast("double") * v.cast("double"))
+    sizes = {r["_d"]: r for r in rows.groupBy("_d").agg(F.count(F.lit(1)).alias("n"), F.min(square).alias("least"), F.max(square).alias("most")).collect()}
+    dims = max(sizes, key=lambda d: (sizes[d]["n"], -d), default=0)
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == dims).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows, total = rows.where(F.col("_d") == dims).select("vec_id", "embedding"), sizes[dims]["n"]
+    longest = float(np.sqrt(sizes[dims]["most"])) if sizes[dims]["least"] < sizes[dims]["most"] * (1 - 1e-4) else 0.0
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    s = np.array([r["embedding"] for r in got])
-    square = F.aggregate("embedding", F.lit(0.0), lambda n, v: n + v * v)
-    least, most = (float(v) for v in rows.agg(F.min(square), F.max(square)).first())
-    longest = float(np.sqrt(most)) if least < most * (1 - 1e-4) else 0.0
+    ids, s = np.array([r["vec_id"] for r in got]), np.array([r["embedding"] for r in got], np.float64)
     lifted = lift(s, longest)
-    lifted = lifted / np.linalg.norm(lifted, axis=1, keepdims=True)
-    bits = -(-lifted.shape[1] // 32) * 64  # two rotations, in whole 64-bit words
-    mean, projection = learn_rotation(lifted, rotations=-(-bits // lifted.shape[1]))
-    projection = projection[:, :bits]
+    mean, projection = learn_rotation(lifted / np.linalg.norm(lifted, axis=1, keepdims=True))
     if longest:  # queries lie elsewhere than lifted rows: only angles at the origin keep the order
         mean = np.zeros_like(mean)
-    model = (mean, projection, learn_radius(s, encode(lifted, mean, projection), encode(lift_query(s, longest), mean, projection), k), longest)
-    total = sum(sizes.values())
-    n_rows, n_queries = max(1, -(-total // block)), max(1, -(-total // every // queries))
-    q = rows.where(F.col("vec_id") % every == 0)
-    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = deal(rows, "rb", n_rows, "qb", n_queries).groupBy("rb", "qb")
-    right = deal(q, "qb", n_queries, "rb", n_rows).groupBy("rb", "qb")
-
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        dense = lambda t: t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-        query, near, score = search_block(a["vec_id"].to_numpy(), dense(a), b["vec_id"].to_numpy(), dense(b), model, k)
-        return pa.table({"query_id": np.concatenate(query).astype(np.int64), "vec_id": np.concatenate(near).astype(np.int64), "score": np.concatenate(score).astype(np.float64)})
-
-    found = left.cogroup(right).applyInArrow(search, schema)
+    known = true_nearest(rows, ids[:probes], s[:probes], k)
+    radius = 0
+    if known:
+        asked = encode(lift_query(s[[r["n"] for r in known]], longest), mean, projection)
+        need = np.sort(needed_radius(encode(lift(np.array([r["embedding"] for r in known], np.float64), longest), mean, projection), asked))
+        radius = int(need[min(len(need) - 1, int(recall * len(need)))])
+    model = sc.broadcast((mean, projection, radius, longest))
+    blocks = max(1, -(-total // min(8 * block, max(block, total // spread(vectors)))))
+    own = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("query"), "vec_id", "embedding")
+    asking = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("query"), "vec_id", "embedding")
+    dealt = own.union(asking).repartition(8 * blocks, "block").sortWithinPartitions("block", "query")
+    found = dealt.mapInArrow(lambda b: search_blocks(b, model.value, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

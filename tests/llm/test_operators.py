@@ -191,12 +191,50 @@ def test_nearest_recall_with_unequal_lengths(spark, deviation):
     assert hits >= 0.95 * 20 * len(found), hits / 20 / len(found)
 
 
-def test_index_returns_every_code_within_the_radius():
+def test_index_meets_every_code_within_the_radius():
     rng = np.random.default_rng(5)
-    codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
+    codes = rng.integers(0, 1 << 16, (500, ann.SUBSTRINGS)).astype(np.uint16)
+    codes[100:200] = codes[3] ^ (1 << rng.integers(0, 16, (100, ann.SUBSTRINGS))).astype(np.uint16) * (rng.random((100, ann.SUBSTRINGS)) < np.linspace(0, 1, 100)[:, None])
+    apart = np.bitwise_count(codes ^ codes[3]).sum(axis=1)
+    need = ann.needed_radius(codes, np.broadcast_to(codes[3], codes.shape))
     index = ann.MultiIndex(codes)
-    for radius in (0, 5, 17, 24, 64):
-        assert set(index.within(codes[3], radius)) == set(np.flatnonzero(ann.distances(codes, codes[3]) <= radius))
+    for radius in (0, 5, 63, 64, 130, 300, 700, ann.BITS):
+        met = index.probe(codes[3:5], radius)[0]
+        assert not set(np.flatnonzero(apart <= radius)) - set(np.flatnonzero(met))
+        assert (met == (need <= radius)).all()
+
+
+def test_blocks_stream_and_ties_go_to_smaller_ids(spark):
+    """Blocks and their queries over several Arrow batches give what one block gives; extra columns with clashing names do nothing."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    x[400:] = x[:200]
+    rows = spark.createDataFrame([(i, v.tolist(), 1, 2.0) for i, v in enumerate(x)] + [(5, [9.0] * 16, 1, 2.0)], "vec_id long, embedding array<double>, rank int, score double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    got = ann.nearest(rows, k=5, block=100).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(r["query_id"] for r in got) == dict.fromkeys(range(0, 600, 20), 5)
+    hits = 0
+    for r in got:
+        s = x @ x[r["query_id"]]
+        best = [i for i in np.lexsort((np.arange(600), -s)) if i != r["query_id"]][:5]
+        hits += best[r["rank"] - 1] == r["vec_id"]
+    assert hits >= 0.8 * len(got)
+
+
+@pytest.mark.parametrize("n", [2000, 50000])
+def test_index_selects(n):
+    """Figures of the README: recall and the share of rows met, on uniform directions (the hardest case)."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, projection = ann.learn_rotation(x[:4096])
+    codes, ask = ann.encode(x, mean, projection), np.arange(0, n, n // 100)
+    near = np.argpartition(-(x[ask] @ x.T), 21, axis=1)[:, :21]
+    need = np.sort(ann.needed_radius(codes[near.ravel()], np.repeat(codes[ask], 21, axis=0)))
+    met = ann.MultiIndex(codes).probe(codes[ask + 1], int(need[int(0.95 * len(need))]))
+    best = np.argpartition(-(x[ask + 1] @ x.T), 21, axis=1)[:, :21]
+    assert np.take_along_axis(met, best, axis=1).mean() >= 0.9
+    assert met.mean() < (0.2 if n > 2000 else 0.4)
 
 
 def test_fingerprints(spark, texts):
