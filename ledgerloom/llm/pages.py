@@ -28,7 +28,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 AROUND = re.compile(
     r"^(ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|popup|modal|overlay|alert|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|rail|widget\w*|footer|foot|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|byline-links|complementary|contentinfo|navigation)$"
 )
-HEADING = re.compile(r"/h[1-6](/|$)")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？…]")
 SPACES = re.compile(r"[ \t\n\r\f\v ]+")
 
@@ -45,87 +45,122 @@ def surrounds(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 class Node:
-    """A run of text of one block: its tag path, the numbers of its open elements, its text and how much of it is link text."""
+    """A run of text of one block: its tag path, its innermost block element, its text and how much of it is link text."""
 
-    __slots__ = ("chain", "linked", "parts", "path")
+    __slots__ = ("element", "linked", "parts", "path")
 
-    def __init__(self, path: str, chain: tuple[int, ...]):
-        self.path, self.chain, self.parts, self.linked = path, chain, [], 0
+    def __init__(self, path: int, element: int):
+        self.path, self.element, self.parts, self.linked = path, element, [], 0
 
 
-def nodes(page: str) -> list[Node]:
-    """Text nodes of a page in order, without what surrounds the article by its element or name."""
-    out: list[Node] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, surrounding
-    at, number, raw = 0, 0, None
-    node: Node | None = None
+class Page:
+    """Text nodes of a page in order, without what surrounds the article by its element or name.
 
-    def text(s: str) -> None:
-        nonlocal node
-        if not s or (stack and stack[-1][2]):
+    Block elements have numbers in the order they open (0: none) and tag paths have numbers too, both with their parents, so that work grows with
+    the page however deep it nests: open elements are looked up by their tags, and elements close once.
+    """
+
+    def __init__(self, page: str):
+        self.nodes: list[Node] = []
+        self.tags, self.parent = [""], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.depth, self.heading = [0], [False]
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, surrounding, innermost block element, its tag path
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[int] = []  # places of block elements
+        self.node: Node | None = None
+        self.read(page)
+
+    def text(self, s: str) -> None:
+        if not s or (self.stack and self.stack[-1][1]):
             return
-        if node is None:
-            blocks = [(t, n) for t, n, _ in stack if t in BLOCK]
-            node = Node("/".join(t for t, _ in blocks), tuple(n for _, n in blocks))
-            out.append(node)
+        if self.node is None:
+            element, path = self.stack[-1][2:] if self.stack else (0, 0)
+            self.node = Node(path, element)
+            self.nodes.append(self.node)
         s = html.unescape(s)
-        node.parts.append(s)
-        if any(t == "a" for t, _, _ in stack):
-            node.linked += len(s.strip())
+        self.node.parts.append(s)
+        if self.open.get("a"):
+            self.node.linked += len(s.strip())
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if raw:
-            if m[0][:2] == "</" and (m[2] or m[5] or "").lower() == raw:
-                raw = None
-            else:
-                continue
-        else:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+    def push(self, tag: str, away: bool) -> None:
+        element, path = self.stack[-1][2:] if self.stack else (0, 0)
+        self.open.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCK:
-            node = None
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            continue
-        if tag == "br" or tag in VOID:
-            if tag in ("br", "hr") and node is not None:
-                node.parts.append(" ")
-            continue
-        if tag in BLOCK:  # a block ends an open paragraph
-            ends, bounds = CLOSES.get(tag, (set(), set()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends or stack[i][0] == "p":
-                    del stack[i:]
-                    if not ends:
-                        break
-                elif stack[i][0] in bounds or (stack[i][0] in BLOCK and not ends):
-                    break
-        elif tag in CLOSES and stack and stack[-1][0] in CLOSES[tag][0]:
-            stack.pop()
-        number += 1
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        away = bool(stack and stack[-1][2]) or surrounds(tag, attributes, inside)
-        if not attributes.rstrip().endswith("/"):
-            stack.append((tag, number, away))
-            if tag in RAW:
-                raw = tag
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.start() if end else len(page)
-    if not raw:
-        text(page[at:])
-    return out
-
+            self.blocks.append(len(self.stack))
+            self.tags.append(tag)
+            self.parent.append(element)
+            element, under = len(self.tags) - 1, path
+            path = self.paths.setdefault((under, tag), len(self.depth))
+            if path == len(self.depth):
+                self.depth.append(self.depth[under] + 1)
+                self.heading.append(self.heading[under] or (under > 0 and tag in HEADINGS))
+        self.stack.append((tag, away, element, path))
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def innermost(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these, or -1."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def end_others(self, tag: str) -> None:
+        """What an element that opens closes: a block ends an open paragraph, an item the one before it."""
+        ends, bounds = CLOSES.get(tag, (set(), set()))
+        if tag not in BLOCK:
+            if tag in CLOSES and self.stack and self.stack[-1][0] in ends:
+                self.close(len(self.stack) - 1)
+        elif not ends:
+            if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                self.close(self.blocks[-1])
+        else:
+            while (place := self.innermost(ends | {"p"})) > self.innermost(bounds):
+                self.close(place)
 
-def select(found: list[Node], smooth: int = 1, share: float = 0.35) -> list[str]:
+    def read(self, page: str) -> None:
+        at, raw = 0, None
+        for m in TOKEN.finditer(page):
+            if m.start() < at:
+                continue
+            if raw:
+                if m[0][:2] == "</" and (m[2] or m[5] or "").lower() == raw:
+                    raw = None
+                else:
+                    continue
+            else:
+                self.text(page[at : m.start()])
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                continue
+            attributes = m[3] or m[6] or ""
+            if tag in BLOCK:
+                self.node = None
+            if m[1] or m[4]:
+                if self.open.get(tag):
+                    self.close(self.open[tag][-1])
+                continue
+            if tag in VOID:
+                if tag in ("br", "hr") and self.node is not None:
+                    self.node.parts.append(" ")
+                continue
+            self.end_others(tag)
+            away = bool(self.stack and self.stack[-1][1]) or surrounds(tag, attributes, self.innermost({"article", "main"}) >= 0)
+            if not attributes.rstrip().endswith("/"):
+                self.push(tag, away)
+                if tag in RAW:
+                    raw = tag
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    at = end.start() if end else len(page)
+        if not raw:
+            self.text(page[at:])
+
+
+def select(page: Page, smooth: int = 1, share: float = 0.35) -> list[str]:
     """Blocks of the article.
 
     Every tag path has a text ratio (characters a node) and a punctuation ratio (marks a node). Along the page both are
@@ -133,11 +168,10 @@ def select(found: list[Node], smooth: int = 1, share: float = 0.35) -> list[str]
     `share` of the mean score by characters are content. The innermost <article> that holds seven tenths of the
     content, or else the innermost element that holds all of it, is the article; in it, headings and nodes of other paths stay if they are not mostly links.
     """
-    texts = [SPACES.sub(" ", "".join(n.parts)).strip() for n in found]
-    rows = [(n, t) for n, t in zip(found, texts, strict=True) if t]
+    rows = [(n, t) for n in page.nodes if (t := SPACES.sub(" ", "".join(n.parts)).strip())]
     if not rows:
         return []
-    stats: dict[str, list[float]] = {}
+    stats: dict[int, list[float]] = {}
     for n, t in rows:
         s = stats.setdefault(n.path, [0, 0, 0, 0])
         for i, v in enumerate((1, len(t), len(PUNCTUATION.findall(t)), min(n.linked, len(t)))):
@@ -151,40 +185,40 @@ def select(found: list[Node], smooth: int = 1, share: float = 0.35) -> list[str]
         return [sum(w * pad[i + k] for k, w in enumerate(weight)) / sum(weight) for i in range(len(x))]
 
     fused = [a * b for a, b in zip(smoothed(length), smoothed(marks), strict=True)]
-    score: dict[str, float] = {}
+    score: dict[int, float] = {}
     for (n, _), f in zip(rows, fused, strict=True):
         score[n.path] = score.get(n.path, 0) + f / stats[n.path][0]
     chars = sum(len(t) for _, t in rows)
     mean = sum(score[n.path] * len(t) for n, t in rows) / chars
     linky = lambda p: stats[p][3] > 0.5 * stats[p][1]
     content = {p for p in score if score[p] >= share * mean and not linky(p)} or {max(score, key=lambda p: score[p])}
-    held: dict[int, int] = {}
-    named: set[int] = set()
-    outside: dict[int, list[int]] = {}
-    total = 0
+    held = [0] * len(page.tags)
     for n, t in rows:
         if n.path in content:
-            total += len(t)
-            for e, tag in zip(n.chain, n.path.split("/"), strict=True):
-                if tag in CONTAINER:
-                    held[e] = held.get(e, 0) + len(t)
-                    named |= {e} if tag == "article" else set()
-                    outside[e] = [x for x in n.chain if x < e]
-    article = max((e for e, c in held.items() if c >= 0.7 * total), default=None)
-    if article is not None and article not in named:
-        article = max((e for e in outside[article] if e in named), default=max((e for e, c in held.items() if c == total), default=None))
-    wide = article is None or any(n.chain and n.chain[-1] == article and n.path.count("/") <= 1 for n, _ in rows)
+            held[n.element] += len(t)
+    last = list(range(len(held)))  # an element's descendants have the numbers up to this one
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+        last[page.parent[e]] = max(last[page.parent[e]], last[e])
+    holds = [e for e in range(1, len(held)) if held[e] and page.tags[e] in CONTAINER]
+    article = max((e for e in holds if held[e] >= 0.7 * held[0]), default=None)
+    if article is not None and page.tags[article] != "article":
+        above = page.parent[article]
+        while above and page.tags[above] != "article":
+            above = page.parent[above]
+        article = above or max((e for e in holds if held[e] == held[0]), default=None)
+    wide = article is None or any(n.element == article and page.depth[n.path] <= 2 for n, _ in rows)
     out = []
     for n, t in rows:
-        if article is not None and article not in n.chain:
+        if article is not None and not article <= n.element <= last[article]:
             continue
-        if n.path in content or (n.linked <= 0.5 * len(t) and (not wide or HEADING.search(n.path) or not linky(n.path))):
+        if n.path in content or (n.linked <= 0.5 * len(t) and (not wide or page.heading[n.path] or not linky(n.path))):
             out.append(t)
     return out
 
 
 def main_text(page: str | None) -> str:
-    return "\n\n".join(select(nodes(page or "")))
+    return "\n\n".join(select(Page(page or "")))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -285,6 +285,24 @@ def test_pages():
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<script>x</script>") == ""
 
 
+@pytest.mark.parametrize("page", ["<div>x " * 50_000, "<div>x " * 50_000 + "</div>" * 50_000, "<b>" * 50_000 + "<div>x. </div>" * 50_000, "<li><ul>" + "<div>" * 50_000 + "<li>y</li>" * 50_000])
+def test_deep_pages_take_work_in_their_length(page):
+    import time
+
+    began = time.time()
+    assert pages.main_text(page)
+    assert time.time() - began < 30  # about 2 s alone; the cube of the depth took hours
+
+
+def test_pages_through_spark(spark):
+    """Nulls, empties, a long text, repeated rows and extra columns of clashing names."""
+    body = "<article>" + "".join(f"<p>Sentence {i}, of some words &amp; marks.</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "u", body, "x", 7), (1, "u", body, "x", 7), (2, None, None, None, None), (None, "v", "", "y", 0), (3, "w", "<nav>menu</nav>", "", 1)]
+    got = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert [(r["page_id"], r["url"], r["n_chars"]) for r in got] == [(1, "u", n := len("\n\n".join(f"Sentence {i}, of some words & marks." for i in range(20_000)))), (1, "u", n), (2, None, 0), (None, "v", 0), (3, "w", 0)]
+    assert all(len(r["text"]) == r["n_chars"] for r in got)
+
+
 @pytest.mark.parametrize("tag", ["div", "section", "td"])
 def test_pages_without_article_are_whole(tag):
     """Unequal sibling parts, and paragraphs around a long blockquote, all stay; surroundings go."""
