@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks, fmix, word_hashes, words
-from .kit import cut_lineage, spread
+from .kit import cut_lineage, salted_join, spread
 
 HASHES, ROWS = 96, 4
 BANDS = HASHES // ROWS
@@ -241,15 +241,16 @@ def blocks(df: DataFrame, key: str, size: str, member: str) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of (u, v), by alternating large-star and small-star steps, each a sum by
-    node and a join; state is checkpointed, nothing is gathered by node, and the driver sees one sum a round."""
+    node and a join that cuts the edges of a hot node; state is checkpointed, nothing is gathered by node, and the driver sees one sum a round."""
     edges = cut_lineage(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u != v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a != b")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("_n"))
+        large = salted_join(both.where("v > u"), least.where("_n > 0"), ["u"], "_n", state[0], ["v"])
+        large = cut_lineage(large.select(F.col("m").alias("u"), "v").where("u != v").distinct())
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = salted_join(large, low, ["v"], "_n", state[0], ["u"]).select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a != b")
         edges = cut_lineage(small.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -283,13 +284,14 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     reps = cut_lineage(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")))
     bands = reps.select("rep", "sig").mapInArrow(to_bands, "band long, rep long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    placed = bands.join(shared, "band").join(reps.select("rep", "sig"), "rep")
+    placed = salted_join(bands, shared, ["band"], "members", reps.count() * BANDS, ["rep"]).join(reps.select("rep", "sig"), "rep")
     tasks = spread(docs)
     keys = ["band", "i", "j"]
     dealt = blocks(placed, "band", "members", "rep").repartition(tasks, *keys).sortWithinPartitions(*keys)
     forest = dealt.select(*keys, "side", "rep", "sig").mapInArrow(lambda b: prune(b, rule), "u long, v long")
     comps = cut_lineage(components(forest).select(F.col("node").alias("rep"), F.col("root").alias("comp")))
-    members = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").join(reps.select("rep", "copies", "n", "k1", "k2"), "rep")
+    held = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    members = salted_join(comps, held, ["comp"], "members", comps.count(), ["rep"]).join(reps.select("rep", "copies", "n", "k1", "k2"), "rep")
     members = cut_lineage(members)
     chosen = F.broadcast(members) if members.count() <= broadcast_rows else members
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(chosen, "rep")
@@ -300,14 +302,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     linked = components(checked.select(F.col("root").alias("u"), F.col("rep").alias("v"))).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
     links = checked.groupBy("rep").agg(F.sum("links").alias("links")).join(linked, "rep", "left")
     classes = reps.select("n", "k1", "k2", "rep", "copies").join(links, "rep", "left")
-    out = known.alias("d").join(classes.alias("c"), ["n", "k1", "k2"], "left")
-    own = F.col("d.doc_id").isNotNull() & (F.col("n") > 0)
-    return out.select(
-        "d.doc_id",
-        F.when(own, F.coalesce("class_id", "rep")).otherwise(F.col("d.doc_id")).alias("class_id"),
-        F.when(own, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-    )
-
+    shingled = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    out = salted_join(known.where(shingled), classes, ["n", "k1", "k2"], "copies", known.count(), ["doc_id"]).select(
+        "doc_id", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    return out.unionByName(known.where(~shingled).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def join_sql(size: int = 5) -> str:
