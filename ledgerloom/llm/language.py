@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bytesets import chunks
 
@@ -95,26 +94,39 @@ def fit(codes: list[np.ndarray], labels: list[str], landmarks: int = 192, ridge:
 
 
 def learn(docs: DataFrame, each: int = 400, **options) -> Model | None:
-    """Fit on a bounded sample: of every lang the `each` documents with the least hash of doc_id, of those whose
-    crc32(doc_id) mod 5 is not 0, that have a lang and a letter. Only distinct n-gram codes of them reach the driver."""
+    """Fit on a bounded sample: of every lang the `each` different documents with the least hash of doc_id and text, of those whose
+    crc32(doc_id) mod 5 is not 0, that have a lang and a letter.
+
+    No task sorts a language: its count of rows tells under which hash about twice `each` of them lie (more in the next pass, if repeated rows
+    leave too few), and only those are looked at, as distinct n-gram codes.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = docs.where((fold != 0) & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    slim = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    chosen = slim.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= each).select("doc_id", "lang").distinct()
-    # At most `each` rows a language: hence the broadcast.
-    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    rows = texts.mapInArrow(_codes, "doc_id long, lang string, codes binary").collect()
+    hashed = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)).alias("_h"))
+    left = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    factor, rows = 2, []
+    while left:
+        under = F.create_map(*[F.lit(x) for lang, n in left.items() for x in (lang, (1 << 62) * min(factor * each, n) // n)])
+        slim = hashed.where(F.col("_h") <= F.try_element_at(under, F.col("lang"))).groupBy("lang", "_h").agg(F.first("text").alias("text"))
+        got: dict[str, list] = {}
+        for r in slim.select("_h", "lang", "text").mapInArrow(_codes, "h long, lang string, codes binary").collect():
+            got.setdefault(r["lang"], []).append(r)
+        for lang, n in list(left.items()):
+            found = sorted(got.get(lang, ()), key=lambda r: r["h"])
+            if len(found) >= each or factor * each >= n:
+                rows += found[:each]
+                del left[lang]
+        factor *= 4
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["codes"]))
+    rows.sort(key=lambda r: (r["lang"], r["h"], r["codes"]))
     return fit([np.frombuffer(r["codes"], np.int32) for r in rows], [r["lang"] for r in rows], **options)
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         codes = pa.array([np.unique(gram_codes(x)).astype(np.int32).tobytes() for x in texts_of(b.column(2))], pa.binary())
-        yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), codes], ["doc_id", "lang", "codes"])
+        yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), codes], ["h", "lang", "codes"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, rows: int = 128) -> Iterator[pa.RecordBatch]:
