@@ -13,9 +13,10 @@ CHECK_BITS = 24
 CHECK_FACTOR, CHECK_SHIFT = 119_304_647, 20
 #: A sketch has shares, of three tables of four cells each.
 TABLES, CELLS, SHARES = 3, 4, 4
-#: Sketches for a share that does not come apart: finer shares of it, and the first bit of its digests' places.
-LARGER = ((4, 18), (16, 24))
-FIRST_PLACE = 12
+#: First bit of a digest's places in a share, of its finer share, and of the parts of a large share.
+FIRST_PLACE, FIRST_FINER, FIRST_PART = 12, 18, 30
+#: Digests a finer share may hold, most finer shares, rounds of peeling, and the size from which a share is parted first.
+LOAD, FINEST, ROUNDS, LARGE = 3, 64, 5, 96
 #: Marks that end a sentence in some script, quotes and brackets that may close behind them, and blanks, for a character class of Java and RE2.
 MARKS = ".!?…‥‽؟۔।॥։።፧፨။។៕།׃᠃᠉。！？｡．\u037e"
 CLOSING = r"\x22\x27)\]}”’“‘»«›‹」』）】》〉"
@@ -41,17 +42,25 @@ def digests(text: Column) -> Column:
     return F.transform(hashed, lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(check(h)))
 
 
-def share(ds: Column, number: Column, shares: int, first_bit: int = 0) -> Column:
+def share(ds: Column, number: Column, shares: Column | int, first_bit: int = 0) -> Column:
     return F.filter(ds, lambda d: F.shiftright(d, CHECK_BITS + first_bit).bitwiseAND(shares - 1) == number)
 
 
-def cells_of(part: Column, first: int) -> Column:
-    """Cells (c: how many digests, x: their exclusive or) of a share; a digest is in one cell of each table."""
+def place(d: Column, table: int) -> Column:
+    return F.shiftright(d, CHECK_BITS + FIRST_PLACE + 2 * table).bitwiseAND(CELLS - 1)
+
+
+def put(cell: Column, d: Column, sign: Column | int) -> Column:
+    return F.struct((cell["c"] + sign).alias("c"), cell["x"].bitwiseXOR(d).alias("x"))
+
+
+def cells_of(plus: Column, minus: Column | None = None) -> Column:
+    """Cells (c: how many digests, x: their exclusive or) of a share, less those of another; a digest is in one cell of each table."""
 
     def cell(table: int, at: int) -> Column:
-        here = lambda d: F.shiftright(d, CHECK_BITS + first + 2 * table).bitwiseAND(CELLS - 1) == at
-        put = lambda a, d: F.when(here(d), F.struct((a["c"] + 1).alias("c"), a["x"].bitwiseXOR(d).alias("x"))).otherwise(a)
-        return F.aggregate(part, F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x")), put)
+        here = lambda d: place(d, table) == at
+        held = F.aggregate(F.filter(plus, here), F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x")), lambda c, d: put(c, d, 1))
+        return held if minus is None else F.aggregate(F.filter(minus, here), held, lambda c, d: put(c, d, -1))
 
     return F.array(*[cell(t, k) for t in range(TABLES) for k in range(CELLS)])
 
@@ -66,64 +75,67 @@ def numbers(n: int) -> Column:
 
 
 def sketch(ds: Column) -> Column:
-    return F.transform(F.transform(numbers(SHARES), lambda b: share(ds, b, SHARES)), lambda part: cells_of(part, FIRST_PLACE))
+    return F.transform(F.transform(numbers(SHARES), lambda b: share(ds, b, SHARES)), lambda part: cells_of(part))
 
 
 def less(cell: Column, other: Column) -> Column:
     return F.struct((cell["c"] - other["c"]).alias("c"), cell["x"].bitwiseXOR(other["x"]).alias("x"))
 
 
-def peel(cells: Column, first: int) -> Column:
-    """How many digests a share's cells give back when lone ones are taken out, one at a time, until none is left; null if some stay."""
-    none = F.lit(0).cast("long")
+def peel(cells: Column) -> Column:
+    """The digests that a share's cells give back, negative ones of what was subtracted; null if some stay.
+
+    A cell is lone if its count is 1 or -1 and what it holds has its own check. Each round takes all lone digests out of their cells.
+    """
     sure = lambda d: d.bitwiseAND((1 << CHECK_BITS) - 1) == check(F.shiftright(d, CHECK_BITS))
-    # A cell is lone if its count is 1 or -1 and what it holds has its own check. The first one's digest, with its count's sign; 0: none.
-    lone = lambda cs: F.aggregate(cs, none, lambda f, c: F.when(f != 0, f).when((F.abs(c["c"]) == 1) & sure(c["x"]), c["x"] * c["c"]).otherwise(none))
+    used = lambda cs: F.size(F.filter(cs, lambda c: (c["c"] != 0) | (c["x"] != 0)))
 
     def places(d: Column) -> Column:
-        at = [F.call_function("shiftleft", F.lit(1 << CELLS * t), F.shiftright(d, CHECK_BITS + first + 2 * t).bitwiseAND(CELLS - 1).cast("int")) for t in range(TABLES)]
+        at = [F.call_function("shiftleft", F.lit(1 << CELLS * t), place(d, t).cast("int")) for t in range(TABLES)]
         return at[0].bitwiseOR(at[1]).bitwiseOR(at[2])
 
     def step(state: Column, _: Column) -> Column:
-        found = F.struct(F.abs(state["d"]).alias("d"), F.signum(state["d"]).cast("int").alias("s"), places(F.abs(state["d"])).alias("at"))
-        taken = lambda c, j, p: F.when(F.call_function("shiftright", p["at"], j).bitwiseAND(1) == 1, F.struct((c["c"] - p["s"]).alias("c"), c["x"].bitwiseXOR(p["d"]).alias("x"))).otherwise(c)
-        rest = let(found, lambda p: F.transform(state["cells"], lambda c, j: taken(c, j, p)))
-        return F.when(state["d"] == 0, state).otherwise(let(rest, lambda cs: F.struct(cs.alias("cells"), (state["n"] + 1).alias("n"), lone(cs).alias("d"))))
+        held = F.filter(state["cells"], lambda c: (F.abs(c["c"]) == 1) & sure(c["x"]))
+        lone = F.array_distinct(F.transform(held, lambda c: F.struct(c["x"].alias("d"), c["c"].alias("s"), places(c["x"]).alias("at"))))
+        in_cell = lambda p, k: F.call_function("shiftright", p["at"], k).bitwiseAND(1) == 1
+        rest = lambda ps: F.transform(state["cells"], lambda c, k: F.aggregate(ps, c, lambda x, p: F.when(in_cell(p, k), put(x, p["d"], -p["s"])).otherwise(x)))
+        after = lambda ps: F.when(F.size(ps) == 0, state).otherwise(F.struct(rest(ps).alias("cells"), F.concat(state["out"], F.transform(ps, lambda p: p["d"] * p["s"])).alias("out"), F.lit(True).alias("open")))
+        return F.when(state["open"], let(lone, after)).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), lone(cells).alias("d"))
-    end = F.aggregate(numbers(TABLES * CELLS), start, step)
-    empty = lambda c: (c["c"] == 0) & (c["x"] == 0)
-    in_use = F.size(F.filter(cells, lambda c: ~empty(c)))
-    # More than five sixths of the cells in use: given up at once.
-    return let(in_use, lambda n: F.when(n == 0, 0).when(n * 6 <= 5 * TABLES * CELLS, let(end, lambda s: F.when(F.forall(s["cells"], empty), s["n"]))))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("out"), F.lit(True).alias("open"))
+    end = F.aggregate(numbers(ROUNDS), start, step)
+    # Nothing differs, or more than five sixths of the cells are in use: settled at once.
+    return let(used(cells), lambda n: F.when(n == 0, F.array().cast("array<bigint>")).when(n * 6 <= 5 * TABLES * CELLS, let(end, lambda s: F.when(used(s["cells"]) == 0, s["out"]))))
 
 
-def difference(a: Column, b: Column, first: int) -> Column:
-    return let(F.zip_with(a, b, less), lambda cells: peel(cells, first))
+def exact(a: Column, b: Column) -> Column:
+    return F.concat(F.array_except(a, b), F.transform(F.array_except(b, a), lambda d: -d))
 
 
-def again(a: Column, b: Column, finer: int, first: int) -> Column:
-    """A share's difference from a larger sketch: of each of its finer shares, built anew."""
-    one = lambda k: difference(cells_of(share(a, k, finer, 2), first), cells_of(share(b, k, finer, 2), first), first)
-    # Once one finer share fails, the others are not sketched.
-    return F.aggregate(numbers(finer), F.lit(0), lambda n, k: F.when(n.isNotNull(), n + one(k)))
+def larger(a: Column, b: Column) -> Column:
+    """What two shares differ in by a larger sketch: as many finer shares as their digests need, each built anew. A finer share that does not come
+    apart is sketched with 4 times the cells; digests that agree in all those bits, which no sketch parts, are compared themselves."""
+    shares = F.call_function("shiftleft", F.lit(1), F.least(F.lit(FINEST.bit_length() - 1), F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b)) / LOAD)).cast("int"))))
+    four = lambda x, y: F.aggregate(numbers(4), F.array().cast("array<bigint>"), lambda out, k: F.concat(out, let(share(x, k, 4, FIRST_PART + 4), lambda p: let(share(y, k, 4, FIRST_PART + 4), lambda q: F.coalesce(let(cells_of(p, q), peel), exact(p, q))))))
+    one = lambda x, y: F.coalesce(let(cells_of(x, y), peel), four(x, y))
+    return let(shares, lambda n: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: let(share(a, k, n, FIRST_FINER), lambda x: let(share(b, k, n, FIRST_FINER), lambda y: one(x, y))))))
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """1 - differing digests / digests of both, from the sketches. A share that does not come apart is sketched anew with
-    4 times, then 16 times the cells; what fails then is settled by comparing that share's digests themselves."""
+def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """The digests in which two documents differ (negative: of the second), from their sketches; shares that do not come apart are sketched larger.
+
+    A share of over LARGE digests is dealt into 16 parts first, so that no filter runs over a long document for each of many finer shares.
+    """
 
     def retried(x: Column, y: Column) -> Column:
-        exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
-        return F.coalesce(*[again(x, y, finer, first) for finer, first in LARGER], exact)
+        part = lambda k: let(share(x, k, 16, FIRST_PART), lambda p: let(share(y, k, 16, FIRST_PART), lambda q: larger(p, q)))
+        return F.when(F.size(x) + F.size(y) <= LARGE, larger(x, y)).otherwise(F.flatten(F.transform(numbers(16), part)))
 
     def one(k: Column) -> Column:
-        from_sketch = difference(F.element_at(sketch_a, k + 1), F.element_at(sketch_b, k + 1), FIRST_PLACE)
-        return F.coalesce(from_sketch, let(share(a, k, SHARES), lambda x: let(share(b, k, SHARES), lambda y: retried(x, y))))
+        cells = F.zip_with(F.element_at(sketch_a, k + 1), F.element_at(sketch_b, k + 1), less)
+        return F.coalesce(let(cells, peel), let(share(a, k, SHARES), lambda x: let(share(b, k, SHARES), lambda y: retried(x, y))))
 
-    differing = F.aggregate(F.transform(numbers(SHARES), one), F.lit(0), lambda n, x: n + x)
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(1 - differing / total)
+    return F.flatten(F.transform(numbers(SHARES), one))
 
 
 def written(ds: Column, cells: Column) -> Column:
@@ -137,11 +149,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows are dealt by ranges of doc_id; a range finds the next row by a window of its own, and its last row takes the first of the next range,
     one row a range, so no task sees more than a range.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("a", digests(F.col("text")))
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranges = 4 * spread(docs)
     bounds = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    rows = text.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>"), lambda b: b < F.col("doc_id"))))
-    first = rows.groupBy("_range").agg(F.max(F.struct("doc_id", "text", "a")).alias("_first"))
+    held = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>")
+    # How many bounds lie below, by halving.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(bounds)).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at(held, at + s) < F.col("doc_id"), F.lit(False)), at + s).otherwise(at))
+    rows = text.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(below))
+    # The first row of each range: its largest doc_id, then, of the rows of that doc_id alone, the largest text.
+    most = rows.groupBy("_range").agg(F.max("doc_id").alias("_most"))
+    tops = rows.join(F.broadcast(most.withColumnRenamed("_range", "_r")), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_most")))
+    first = tops.groupBy("_range").agg(F.max(F.struct("doc_id", "text")).alias("_first")).select("_range", F.struct("_first.*", digests(F.col("_first.text")).alias("a")).alias("_first"))
+    rows = rows.withColumn("a", digests(F.col("text")))
     # One row a range: these two windows see at most `ranges` rows.
     down = Window.orderBy(F.desc("_range"))
     follow = first.select("_range", F.coalesce(F.lead("_first").over(down), F.first("_first").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_follow"))
@@ -151,25 +171,33 @@ def with_next(docs: DataFrame) -> DataFrame:
     return following.select("doc_id", "text", "a", F.col("_lead.text").alias("next_text"), F.col("_lead.a").alias("b"))
 
 
+def compare(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints, and the digests that their sketches give back: `differs_edited`, `differs_next` (negative
+    ones are the edited or next text's), with the numbers of digests `_a`, `_e` and `_b`."""
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    rows = with_next(docs).select("doc_id", "a", "b", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    digested = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
+    sketched = digested.select("*", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
+    a, e, b, sa, se, sb = (F.col(x) for x in ("a", "e", "b", "sa", "se", "sb"))
+    return sketched.select(
+        "doc_id", "n_chars", "edited_sha256", written(a, sa).alias("fingerprint"), written(e, se).alias("edited_fingerprint"), F.size(a).alias("_a"), F.size(e).alias("_e"), F.size(b).alias("_b"),
+        differing(a, e, sa, se).alias("differs_edited"), differing(a, b, sa, sb).alias("differs_next"))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprint every whole text and its edited text, whose last half is the start of the next document.
 
     A fingerprint is an invertible Bloom lookup sketch of the text's distinct paragraphs' digests: 4 shares of 3 x 4 cells, each with a count
-    and an exclusive or. Two sketches are subtracted cell by cell and peeled; the digests that come out are the paragraphs that differ.
+    and an exclusive or. Two sketches are subtracted cell by cell and peeled; the digests that come out are the paragraphs that differ, and
+    likeness is 1 - differing digests / digests of both.
 
     Defined cases: null text is empty; texts without paragraphs have equal fingerprints and likeness 1; a lone document is its own next; rows of
     one doc_id are ordered by descending text; a null doc_id comes last; no rows give no rows; other columns are ignored.
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (`compare` has the recovered digests).
     """
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    rows = with_next(docs).select("doc_id", "a", "b", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    digested = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
-    sketched = digested.select("*", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
-    a, e, b, sa, se, sb = (F.col(x) for x in ("a", "e", "b", "sa", "se", "sb"))
-    return sketched.select(
-        "doc_id", "n_chars", "edited_sha256", written(a, sa).alias("fingerprint"), written(e, se).alias("edited_fingerprint"),
-        likeness(a, e, sa, se).alias("near_edited"), likeness(a, b, sa, sb).alias("near_next"))
+    likeness = lambda d, total: F.when(total == 0, F.lit(1.0)).otherwise(1 - F.size(d) / total)
+    return compare(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("differs_edited", F.col("_a") + F.col("_e")).alias("near_edited"), likeness("differs_next", F.col("_a") + F.col("_b")).alias("near_next"))
 
 
 def fingerprint_sql() -> str:
