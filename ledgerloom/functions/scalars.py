@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The four ordered amount levels.
 LEVELS = ["low", "low_to_medium", "medium", "high"]
@@ -23,6 +24,20 @@ def percent(x: Column) -> Column:
     return F.when(x.rlike("[%％]"), number / 100).otherwise(number)
 
 
+def relative_level(x: Column) -> Column:
+    """A level against 1 as a percent or plain number; a plain number over 3 is read as a percent."""
+    v = percent(x)
+    return F.when(~x.rlike("[%％]") & (v > 3), v / 100).otherwise(v)
+
+
+def normalized(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """`value` as shares of its group; a group of zeros: even shares; negative values are refused as rows are read."""
+    w = Window.partitionBy(*group)
+    checked = F.when(F.col(value) < 0, F.raise_error(F.lit(f"negative {value}")).cast("double")).otherwise(F.col(value))
+    total = F.sum(value).over(w)
+    return df.withColumn(value, checked).withColumn(value, F.when(total > 0, F.col(value) / total).otherwise(1 / F.count("*").over(w)))
+
+
 def to_bool(x: Column, yes: tuple[str, ...] = ("true", "1", "yes", "y", "t")) -> Column:
     return F.coalesce(F.lower(F.trim(x.cast("string"))).isin(*yes) | (x.try_cast("double") != 0), F.lit(False))
 

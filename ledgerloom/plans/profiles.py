@@ -155,8 +155,8 @@ def queries() -> dict:
         "value_distribution": (lambda s, d: distribution(li(s, d), "level1"), f"WITH {LI} SELECT level1, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM li GROUP BY 1"),
         "group_distribution": (lambda s, d: distribution(li(s, d), "level1", "source_province"), f"WITH {LI} SELECT source_province, level1, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source_province) AS share FROM li GROUP BY 1, 2"),
         "category_amount_share": (lambda s, d: li(s, d).groupBy("level1").agg(F.sum("amount").alias("amount")).withColumn("share", F.col("amount") / F.sum("amount").over(W(F.lit(0)))), f"WITH {LI} SELECT level1, sum(amount) AS amount, sum(amount) / sum(sum(amount)) OVER () AS share FROM li GROUP BY 1"),
-        "category_hhi": (lambda s, d: distribution(li(s, d), "level1", "source").groupBy("source").agg(F.sum(F.col("share") * F.col("share")).alias("hhi")).withColumn("concentration", F.when(F.col("hhi") >= 0.5, "concentrated").when(F.col("hhi") >= 0.25, "moderate").otherwise("diverse")),
-            f"WITH {LI}, c AS (SELECT source, level1, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source) AS p FROM li GROUP BY 1, 2) SELECT source, sum(p * p) AS hhi, CASE WHEN sum(p * p) >= 0.5 THEN 'concentrated' WHEN sum(p * p) >= 0.25 THEN 'moderate' ELSE 'diverse' END AS concentration FROM c GROUP BY 1"),
+        "category_hhi": (lambda s, d: li(s, d).groupBy("source", "level1").agg(F.count(one).alias("n")).groupBy("source").agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("hhi")).withColumn("concentration", F.when(F.col("hhi") >= 0.5, "concentrated").when(F.col("hhi") >= 0.25, "moderate").otherwise("diverse")),
+            f"WITH {LI}, c AS (SELECT source, level1, count(*) AS n FROM li GROUP BY 1, 2) SELECT source, sum(n * n)::DOUBLE / (sum(n) * sum(n))::DOUBLE AS hhi, CASE WHEN sum(n * n)::DOUBLE / (sum(n) * sum(n))::DOUBLE >= 0.5 THEN 'concentrated' WHEN sum(n * n)::DOUBLE / (sum(n) * sum(n))::DOUBLE >= 0.25 THEN 'moderate' ELSE 'diverse' END AS concentration FROM c GROUP BY 1"),
         "amount_bins": (lambda s, d: li(s, d).groupBy("level1", "target").agg(F.avg("amount").alias("m")).groupBy("level1").agg(F.count(one).alias("merchants"), *[F.percentile("m", q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]).where("merchants >= 4"),
             f"WITH {LI}, m AS (SELECT level1, target, avg(amount) AS m FROM li GROUP BY 1, 2) SELECT level1, count(*) AS merchants, quantile_cont(m, 0.25) AS q25, quantile_cont(m, 0.5) AS q50, quantile_cont(m, 0.75) AS q75 FROM m GROUP BY 1 HAVING count(*) >= 4"),
         "dup_keys": (lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(one).alias("n")).where("n > 1"), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
@@ -190,7 +190,6 @@ def queries() -> dict:
         "short_texts": (lambda s, d: table(s, d, "documents").where(S.short_word_count(F.col("text")) < 20).select("doc_id"), "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*')) < 20"),
         "last_per_key": (lambda s, d: ev(s, d).withColumn("_r", F.row_number().over(W("source").orderBy(F.desc("seq")))).where("_r = 1").select("source", "seq", "amount"), f"WITH {EV} SELECT source, seq, amount FROM ev QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq DESC) = 1"),
         "duplicate_names": (lambda s, d: table(s, d, "part").withColumn("norm", S.normalize_name(F.col("p_name"))).withColumn("_r", F.row_number().over(W("norm").orderBy("p_partkey"))).where("_r > 1 OR norm = ''").select("p_partkey", "norm"), r"SELECT p_partkey, norm FROM (SELECT *, regexp_replace(lower(trim(p_name)), '[^\p{L}\p{N}]+', '', 'g') AS norm FROM part) QUALIFY row_number() OVER (PARTITION BY norm ORDER BY p_partkey) > 1 OR norm = ''"),
-        "id_suffix_order": (lambda s, d: table(s, d, "customer").select("c_name", F.regexp_extract("c_name", r"(\d+)$", 1).try_cast("long").alias("suffix")), r"SELECT c_name, try_cast(regexp_extract(c_name, '(\d+)$', 1) AS BIGINT) AS suffix FROM customer"),
         "publish_transaction": (lambda s, d: li(s, d).select("source", "target", "amount", "location", "kind", "label", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "transaction_province", cross().cast("int").alias("is_out_province_transaction")), f"WITH {LI} SELECT source, target, amount, location, kind, label, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, transaction_province, (source_province <> transaction_province)::INT AS is_out_province_transaction FROM li"),
         "publish_merchant": (lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("target"), F.col("p_name").alias("merchant_name"), F.col("p_type").alias("behavior_level1"), F.col("p_brand").alias("behavior_level2")), "SELECT p_partkey AS target, p_name AS merchant_name, p_type AS behavior_level1, p_brand AS behavior_level2 FROM part"),
         "publish_user": (lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("source"), F.col("n_name").alias("province"), F.col("c_mktsegment").alias("attribute")), "SELECT c_custkey AS source, n_name AS province, c_mktsegment AS attribute FROM customer JOIN nation ON c_nationkey = n_nationkey"),

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators.assign import prefix_blocks, quota_greedy, select_with_caps
-from ..sources.views import EV, LI, table, txn_ev, txn_li
+from ..sources.views import LI, txn_ev, txn_li
 from .profiles import effective_amount, merchant_profile
 
 W = Window.partitionBy
@@ -102,6 +102,9 @@ P_SQL = f"""pa AS ({TOP_SQL.format(c="al")}), pv AS ({TOP_SQL.format(c="cl")}),
 S_SQL = """s AS (SELECT m.level1, target, m.level2, n, p.level2 AS candidate, 0.35::DOUBLE * ln(weight) + CASE WHEN n >= 5 THEN 0.8::DOUBLE * (1 - abs(al - a) / 3.0::DOUBLE) + 0.3::DOUBLE * (1 - abs(cl - v) / 3.0::DOUBLE) ELSE 0 END AS score
     FROM m JOIN p ON m.level1 = p.level1)"""
 
+MP_SQL = """mb AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, candidate) = 1),
+    mp AS (SELECT mb.level1, mb.target, mb.level2 AS old, mb.candidate AS new, round(mb.score - c.score - 0.03::DOUBLE, 9) AS gain FROM mb JOIN s c ON c.target = mb.target AND c.candidate = c.level2 WHERE mb.candidate <> mb.level2 AND round(mb.score - c.score - 0.03::DOUBLE, 9) > 0)"""
+
 
 def queries() -> dict:
     li, ev = txn_li, txn_ev
@@ -112,11 +115,9 @@ def queries() -> dict:
         "allocation_report": (lambda s, d: allocation_report(li(s, d)), None),
         "level2_priors": (lambda s, d: level2_priors(li(s, d)), f"WITH {LI}, {M_SQL}, {P_SQL} SELECT level1, level2, weight, x.s AS amount_label, y.s AS cv_label FROM p JOIN nm x ON x.i = a JOIN nm y ON y.i = v"),
         "merchant_candidate_scores": (lambda s, d: merchant_scores(li(s, d)), f"WITH {LI}, {M_SQL}, {P_SQL}, {S_SQL} SELECT * FROM s"),
-        "merchant_proposals": (lambda s, d: merchant_proposals(li(s, d)), f"""WITH {LI}, {M_SQL}, {P_SQL}, {S_SQL}, b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, candidate) = 1)
-            SELECT b.level1, b.target, b.level2 AS old, b.candidate AS new, round(b.score - c.score - 0.03::DOUBLE, 9) AS gain FROM b JOIN s c ON c.target = b.target AND c.candidate = c.level2 WHERE b.candidate <> b.level2 AND round(b.score - c.score - 0.03::DOUBLE, 9) > 0"""),
+        "merchant_proposals": (lambda s, d: merchant_proposals(li(s, d)), f"WITH {LI}, {M_SQL}, {P_SQL}, {S_SQL}, {MP_SQL} SELECT * FROM mp"),
         "merchant_selected": (lambda s, d: merchant_selected(li(s, d)), None),
         "structure_state": (lambda s, d: structure_state(li(s, d)), f"WITH {LI}, g AS (SELECT level1, level2, count(DISTINCT target) AS k FROM li GROUP BY 1, 2) SELECT level1, count(*) AS active, max(k)::DOUBLE / sum(k) AS max_share, greatest(0.65::DOUBLE, 1.0::DOUBLE / count(*) + 0.2::DOUBLE) AS share_limit, ceil(count(*) * 0.6::DOUBLE)::BIGINT AS least_active FROM g GROUP BY 1"),
         "soft_weights": (lambda s, d: soft_weights(li(s, d)), f"WITH {LI}, g AS (SELECT source_province AS value, count(DISTINCT source)::DOUBLE / sum(count(DISTINCT source)) OVER () AS share, 1.0::DOUBLE / count(*) OVER () AS target FROM li GROUP BY 1) SELECT *, greatest(0.25::DOUBLE, least(4.0::DOUBLE, 1 + 0.6::DOUBLE * (target - share) / target)) AS weight FROM g"),
         "ffsd_blocks_fraud": (lambda s, d: prefix_blocks(fraud_runs(ev(s, d))), None),
-        "frozen_check": (lambda s, d: table(s, d, "lineitem").agg(F.count(one).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"), F.count_distinct("l_orderkey").alias("orders")).withColumn("amount", F.col("amount").cast("double")), "SELECT count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount, count(DISTINCT l_orderkey) AS orders FROM lineitem"),
     }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import profiles, refine, time, users
+from .plans import contracts, people, profiles, refine, time, users
 
 
 def _all() -> dict:
-    return time.queries() | profiles.queries() | refine.queries() | users.queries()
+    return time.queries() | profiles.queries() | refine.queries() | users.queries() | contracts.queries() | people.queries()
 
 
 def queries() -> dict:
