@@ -97,6 +97,23 @@ def has_cjk(x: Column) -> Column:
     return x.rlike(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number of 0 or more as text with so many digits, halves up."""
+    n = F.floor(x * 10**digits + 0.5).cast("long")
+    return F.concat(F.floor(n / 10**digits).cast("long").cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"))
+
+
+def fixed_sql(x: str, digits: int) -> str:
+    n = f"floor(({x}) * {10**digits} + 0.5)::BIGINT"
+    return f"(({n} // {10**digits})::VARCHAR || '.' || lpad(({n} % {10**digits})::VARCHAR, {digits}, '0'))"
+
+
+def dominant(*columns: str) -> Column:
+    """The name of the column with the largest value, the first of equals."""
+    most = F.greatest(*columns)
+    return F.coalesce(*[F.when(F.col(c) == most, c) for c in columns])
+
+
 def safe_div(a: Column, b: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(default))
 

@@ -3,45 +3,91 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-#: Rows one task assigns in order; larger groups are dealt into shards that each meet the quotas by themselves.
-SHARD_ROWS = 20_000
+#: Rows that one task assigns in order before it hands its totals to the next.
+RANGE_ROWS = 100_000
 #: Quota tables are taxonomies (categories, regions): more rows than this are refused.
 MOST_QUOTAS = 10_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's shared folder; only where none is set (tests on one machine) a folder is made."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """checkpoint() into the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def greedy(amount: np.ndarray, amount_share: np.ndarray, count_share: np.ndarray, w_amount: float, w_count: float) -> np.ndarray:
-    """Index of the quota each row takes, rows in the given order: the largest weighted room, the first of equals."""
-    quota_a = np.maximum(amount_share * amount.sum(), 1e-9)
-    quota_n = np.maximum(count_share * len(amount), 1e-9)
-    used_a, used_n, out = np.zeros(len(quota_a)), np.zeros(len(quota_a)), np.empty(len(amount), dtype=np.int64)
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where none is set and one machine runs all (tests) a folder is made."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def carried(rows: DataFrame, order: list[Column], fold, state: list, schema: str, most: int = RANGE_ROWS) -> DataFrame:
+    """Visit all rows in one order with a state that each visit changes, as a sequential program would, without one task for all rows.
+
+    Rows are written to the shared folder in ranges of about `most` in order; one task after the other takes a range (`fold(frame, state)` -> (rows,
+    state), in pandas) and hands its state, a list of numbers, to the next by way of the driver. The result does not depend on `most`.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/carried-{uuid.uuid4().hex}"
+    parts = max(1, -(-rows.count() // most))
+    placed = cut_lineage(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    held = sorted(r["_part"] for r in placed.select("_part").distinct().collect())
+    placed.repartition(parts, "_part").write.partitionBy("_part").parquet(f"{folder}/in")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def visit(state: list):
+        def run(batches):
+            frame = [b.to_pandas() for b in batches]
+            if frame:
+                out, after = fold(pd.concat(frame, ignore_index=True), list(state))
+                yield pa.RecordBatch.from_pandas(out[names].assign(_state=None), schema=target, preserve_index=False)
+                last = {n: [None] for n in names} | {"_state": [after]}
+                yield pa.RecordBatch.from_pydict(last, schema=target)
+
+        return run
+
+    target = pa.schema([*to_arrow_schema(StructType.fromDDL(schema)), pa.field("_state", pa.list_(pa.float64()))])
+    for part in held:
+        own = spark.read.schema(rows.schema).parquet(f"{folder}/in/_part={part}").repartition(1).sortWithinPartitions(*order)
+        own.mapInArrow(visit(state), schema + ", _state array<double>").write.parquet(f"{folder}/out/{part}")
+        got = spark.read.parquet(f"{folder}/out/{part}").where("_state IS NOT NULL").select("_state").first()
+        state = list(got["_state"]) if got else state
+    if not held:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*[f"{folder}/out/{p}" for p in held]).where("_state IS NULL").drop("_state")
+
+
+def greedy(amount: np.ndarray, quota_a: np.ndarray, quota_n: np.ndarray, used_a: np.ndarray, used_n: np.ndarray, w_amount: float, w_count: float) -> np.ndarray:
+    """Index of the quota each row takes, rows in the given order: the largest weighted room, the first of equals. Adds to what is used."""
+    out = np.empty(len(amount), dtype=np.int64)
     for i, a in enumerate(amount):
         k = int(np.argmax(w_amount * (1 - used_a / quota_a) + w_count * (1 - used_n / quota_n)))
         out[i], used_a[k], used_n[k] = k, used_a[k] + a, used_n[k] + 1
     return out
 
 
-def quota_greedy(items: DataFrame, quotas: DataFrame, w_amount: float = 0.35, w_count: float = 0.65) -> DataFrame:
-    """Give every item a category so that amounts and counts both near their quotas, biggest amount first.
+def quota_greedy(items: DataFrame, quotas: DataFrame, w_amount: float = 0.35, w_count: float = 0.65, most: int = RANGE_ROWS) -> DataFrame:
+    """Give every item a category so that amounts and counts both near their quotas, biggest amount first: the sequential greedy at any size.
 
-    items: id, amount (null counts as 0); quotas: category, amount_share, count_share. Up to SHARD_ROWS items it is the sequential greedy; more
-    are dealt by a hash of id into shards, and each shard meets the shares of its own totals, so that sums over shards keep them within one item
-    a shard. Ties go to the smaller id, equal room to the first category. No quota rows: category is null. Returns id, amount, category.
+    items: id, amount (null counts as 0); quotas: category, amount_share, count_share. Ties go to the smaller id, equal room to the first category.
+    No quota rows: category is null. Returns id, amount, category.
     """
     plan = quotas.orderBy("category").limit(MOST_QUOTAS + 1).collect()
     if len(plan) > MOST_QUOTAS:
@@ -50,15 +96,17 @@ def quota_greedy(items: DataFrame, quotas: DataFrame, w_amount: float = 0.35, w_
     if not plan:
         return items.withColumn("category", F.lit(None).cast("string"))
     names = np.array([str(r["category"]) for r in plan], dtype=object)
-    shares = [np.array([float(r[c] or 0) for r in plan]) for c in ("amount_share", "count_share")]
-    shards = max(1, -(-items.count() // SHARD_ROWS))
+    items = cut_lineage(items)
+    total = items.agg(F.sum(F.col("amount").cast("decimal(28,6)")), F.count("*")).first()
+    quota_a, quota_n = (np.maximum(np.array([float(r[c] or 0) for r in plan]) * float(t or 0), 1e-9) for c, t in (("amount_share", total[0]), ("count_share", total[1])))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["amount", "id"], ascending=[False, True], kind="stable")
-        return rows[["id", "amount"]].assign(category=names[greedy(rows["amount"].to_numpy(), *shares, w_amount, w_count)])
+    def fold(rows: pd.DataFrame, state: list) -> tuple[pd.DataFrame, list]:
+        used_a, used_n = np.array(state[: len(names)]), np.array(state[len(names) :])
+        chosen = greedy(rows["amount"].to_numpy(), quota_a, quota_n, used_a, used_n, w_amount, w_count)
+        return rows[["id", "amount"]].assign(category=names[chosen]), [*used_a, *used_n]
 
     kind = items.schema["id"].dataType.simpleString()
-    return items.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("_shard").applyInPandas(one, f"id {kind}, amount double, category string")
+    return carried(items, [F.desc("amount"), F.col("id")], fold, [0.0] * 2 * len(names), f"id {kind}, amount double, category string", most)
 
 
 def select_with_caps(proposals: DataFrame, caps: dict[str, Column]) -> DataFrame:

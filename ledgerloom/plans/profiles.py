@@ -69,35 +69,44 @@ def tvd(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     return both.groupBy(*key).agg((F.sum(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))) / 2).alias("tvd"))
 
 
-def location_edges(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_quantity >= 50").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy(F.col("l_partkey").alias("location"), F.col("o_custkey").alias("source")).agg(F.count(one).alias("n"))
+def location_edges(spark, d, weight: str = "binary") -> DataFrame:
+    """How often each location (a part) is used by each source, over all transactions; weight 1 or log(1 + n)."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = rows.groupBy(F.col("l_partkey").alias("location"), F.col("o_custkey").alias("source")).agg(F.count(one).alias("n"))
+    return edges.withColumn("w", F.lit(1.0) if weight == "binary" else F.log1p(F.col("n").cast("double")))
 
 
-EDGES = "e AS (SELECT l_partkey AS location, o_custkey AS source, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 GROUP BY 1, 2)"
+EDGES = "e AS (SELECT l_partkey AS location, o_custkey AS source, count(*) AS n, 1.0::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 
 
-def cosine_pairs(edges: DataFrame, least: float = 0.10) -> DataFrame:
-    """Cosines of locations by shared sources (binary weights), from pre-aggregated edges joined on the source."""
-    norm = edges.groupBy("location").agg(F.sqrt(F.count(one).cast("double")).alias("norm"))
-    e = edges.join(norm, "location").select("source", "location", "norm")
-    a, b = e.toDF("source", "a", "na"), e.toDF("source", "b", "nb")
-    dots = a.join(b, "source").where("a < b").groupBy("a", "b").agg(F.count(one).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return dots.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine")).where(F.col("cosine") >= least)
+def cosine_pairs(edges: DataFrame, least: float = 0.10, block: int = 256) -> DataFrame:
+    """Cosines of locations that share sources, from a join of edges on the source.
+
+    A source of more than `block` locations has them dealt into blocks, and each pair of blocks is a key of its own, so that no task meets all
+    of a hot source. Work is the sum of squares of the sources' locations.
+    """
+    norm = edges.groupBy("location").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    parts = edges.groupBy("source").agg(F.ceil(F.count(one) / block).cast("int").alias("_p"))
+    e = edges.join(norm, "location").join(parts, "source").withColumn("_own", F.pmod(F.xxhash64("location"), F.col("_p")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_p") - 1))
+    left = e.select("source", F.col("_own").alias("i"), other.alias("j"), F.col("location").alias("a"), F.col("norm").alias("na"), F.col("w").alias("wa"))
+    right = e.select("source", other.alias("i"), F.col("_own").alias("j"), F.col("location").alias("b"), F.col("norm").alias("nb"), F.col("w").alias("wb"))
+    dots = left.join(right, ["source", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return dots.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine")).where(F.round("cosine", 9) >= least)
 
 
 def period_crosstab(df: DataFrame) -> DataFrame:
     return calendar(df).groupBy("target").agg(*[F.avg((F.col("period_tag") == p).cast("int")).alias(p) for p in S.PARTS])
 
 
-def user_text_profile(df: DataFrame) -> DataFrame:
+def user_text_profile(df: DataFrame, least: int = 2) -> DataFrame:
     t, a = calendar(df), F.col("amount")
     q = df.agg(F.percentile("amount", 0.33).alias("q_low"), F.percentile("amount", 0.67).alias("q_high"))
     share = lambda *p: F.avg(F.col("period_tag").isin(*p).cast("int"))
     r = lambda c: F.avg(F.col(c).cast("int"))
     g = t.groupBy("source").agg(F.count(one).alias("n"), F.count_distinct("date").alias("days"), F.avg(a).alias("mean"), F.stddev_pop(a).alias("std"), r("is_weekend").alias("weekend"), r("is_month_start").alias("start"),
         r("is_month_end").alias("end"), r("is_common_bill_day").alias("bill"), share("commute_morning", "commute_evening").alias("c1"), share("lunch", "night").alias("c2"), share("night", "late_night").alias("c3"),
-        share("workday_morning", "afternoon").alias("c4"), *[share(p).alias(f"p_{p}") for p in S.PARTS if p != "early_morning"]).where("n >= 2").join(F.broadcast(q))
+        share("workday_morning", "afternoon").alias("c4"), *[share(p).alias(f"p_{p}") for p in S.PARTS if p != "early_morning"]).where(F.col("n") >= least).join(F.broadcast(q))
     best, most = F.greatest("c1", "c2", "c3", "c4"), F.greatest(*[f"p_{p}" for p in S.PARTS if p != "early_morning"])
     intraday = F.when(best < 0.35, F.when(most <= 0.35, "distributed across daily periods").otherwise("no clear intraday pattern")).when(F.col("c1") == best, "concentrated around commuting periods").when(
         F.col("c2") == best, "concentrated around lunch and evening").when(F.col("c3") == best, "concentrated at night").otherwise("concentrated on workday daytime")
@@ -110,12 +119,12 @@ def user_text_profile(df: DataFrame) -> DataFrame:
         F.when(s & e, "early-month pattern; late-month pattern").when(s, "early-month pattern").when(e, "late-month pattern").when(F.col("bill") >= 0.18, "monthly-cycle pattern").otherwise("weak monthly pattern").alias("month"))
 
 
-def user_text_sql() -> str:
+def user_text_sql(least: int = 2) -> str:
     sh = lambda *p: "avg((period_tag IN (" + ", ".join(f"'{x}'" for x in p) + "))::INT)"
     ps = [p for p in S.PARTS if p != "early_morning"]
     return f"""WITH {EV}, t AS ({calendar_sql()}), q AS (SELECT quantile_cont(amount, 0.33) AS lo, quantile_cont(amount, 0.67) AS hi FROM ev),
         g AS (SELECT source, count(*) AS n, count(DISTINCT date) AS days, avg(amount) AS mean, stddev_pop(amount) AS std, avg(is_weekend::INT) AS we, avg(is_month_start::INT) AS ms, avg(is_month_end::INT) AS me, avg(is_common_bill_day::INT) AS bi,
-            {sh("commute_morning", "commute_evening")} AS c1, {sh("lunch", "night")} AS c2, {sh("night", "late_night")} AS c3, {sh("workday_morning", "afternoon")} AS c4, greatest({", ".join(sh(p) for p in ps)}) AS pm FROM t GROUP BY source HAVING count(*) >= 2),
+            {sh("commute_morning", "commute_evening")} AS c1, {sh("lunch", "night")} AS c2, {sh("night", "late_night")} AS c3, {sh("workday_morning", "afternoon")} AS c4, greatest({", ".join(sh(p) for p in ps)}) AS pm FROM t GROUP BY source HAVING count(*) >= {least}),
         b AS (SELECT *, greatest(c1, c2, c3, c4) AS best FROM g, q)
         SELECT source, n, CASE WHEN mean <= lo THEN 'low amount' WHEN mean >= hi THEN 'high amount' ELSE 'medium amount' END AS amount_preference, CASE WHEN coalesce(std / nullif(mean, 0), 0) <= 0.5 THEN 'stable amount' ELSE 'variable amount' END AS amount_volatility,
             CASE WHEN n / greatest(days, 1) >= 1 THEN 'high daily frequency' WHEN n >= 4 THEN 'high weekly frequency' ELSE 'low frequency' END AS frequency,
@@ -163,7 +172,8 @@ def queries() -> dict:
         "category_report": (lambda s, d: li(s, d).groupingSets([["level1"], ["level1", "level2"]], "level1", "level2").agg(F.grouping("level2").cast("int").alias("is_level1"), F.count(one).alias("n"), exact_sum(F.col("amount")).alias("total"), (exact_sum(F.col("amount")) / F.count("amount")).alias("mean"), F.avg(cross().cast("int")).alias("out_ratio")),
             f"WITH {LI} SELECT level1, level2, grouping(level2)::INT AS is_level1, count(*) AS n, sum(amount::DECIMAL(18,4))::DOUBLE AS total, sum(amount::DECIMAL(18,4))::DOUBLE / count(amount) AS mean, avg((source_province <> transaction_province)::INT) AS out_ratio FROM li GROUP BY GROUPING SETS ((level1), (level1, level2))"),
         "location_source_edges": (location_edges, f"WITH {EDGES} SELECT * FROM e"),
-        "location_cosine_pairs": (lambda s, d: cosine_pairs(location_edges(s, d)), f"WITH {EDGES}, k AS (SELECT location, sqrt(count(*)) AS norm FROM e GROUP BY 1), p AS (SELECT a.location AS a, b.location AS b, count(*) AS dot FROM e a JOIN e b USING (source) WHERE a.location < b.location GROUP BY 1, 2) SELECT a, b, dot / (x.norm * y.norm) AS cosine FROM p JOIN k x ON x.location = a JOIN k y ON y.location = b WHERE dot / (x.norm * y.norm) >= 0.10"),
+        "location_source_log_edges": (lambda s, d: location_edges(s, d, "log"), f"WITH {EDGES} SELECT * REPLACE (ln(1 + n::DOUBLE) AS w) FROM e"),
+        "location_cosine_pairs": (lambda s, d: cosine_pairs(location_edges(s, d)), f"WITH {EDGES}, k AS (SELECT location, sqrt(count(*)) AS norm FROM e GROUP BY 1), p AS (SELECT a.location AS a, b.location AS b, count(*) AS dot FROM e a JOIN e b USING (source) WHERE a.location < b.location GROUP BY 1, 2) SELECT a, b, dot / (x.norm * y.norm) AS cosine FROM p JOIN k x ON x.location = a JOIN k y ON y.location = b WHERE round(dot / (x.norm * y.norm), 9) >= 0.10"),
         "dominant_block": (lambda s, d: li(s, d).groupBy("source", "location").agg(F.count(one).alias("n")).withColumn("ratio", F.col("n") / F.sum("n").over(W("source"))).withColumn("_r", F.row_number().over(W("source").orderBy(F.desc("n"), F.desc("ratio"), "location"))).where("_r = 1").drop("_r"),
             f"WITH {LI}, c AS (SELECT source, location, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source) AS ratio FROM li GROUP BY 1, 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, ratio DESC, location) = 1"),
         "draw_attribute": (lambda s, d: draw(s, d), f"""WITH w(value, p) AS (VALUES ('primary', 0.25), ('secondary', 0.45), ('tertiary', 0.30)), c AS (SELECT value, sum(p::DOUBLE) OVER (ORDER BY value) - p::DOUBLE AS lo, sum(p::DOUBLE) OVER (ORDER BY value) AS hi FROM w),

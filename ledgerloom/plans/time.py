@@ -71,7 +71,7 @@ FEATURES = ("log_n", "fraud_ratio", "log_mean", "log_std", "cv", "round_share",
 
 
 def knn_match(left: DataFrame, right: DataFrame, k: int = 5, most: int = 5000) -> DataFrame:
-    """The k nearest reference profiles of each profile with softmax weights. The reference bounds both sides to `most` by
+    """The k nearest reference profiles of each profile, but its own, with softmax weights. Both sides are bounded to `most` by
     volume, so the right side is broadcast within a proven bound; z-scores are common to both sides."""
     top = lambda d: d.orderBy(F.desc("n"), "source").limit(most)
     a, b = top(left), top(right)
@@ -82,7 +82,7 @@ def knn_match(left: DataFrame, right: DataFrame, k: int = 5, most: int = 5000) -
         own = [((F.col(f) - F.col(f"m_{f}")) / F.coalesce(F.nullif(F.col(f"s_{f}"), F.lit(0.0)), F.lit(1.0))) for f in FEATURES]
         return d.join(F.broadcast(scale)).select(F.col("source").alias(name), F.array(*own).alias(f"z_{name}"))
 
-    pairs = z(a, "source").join(F.broadcast(z(b, "ref")))
+    pairs = z(a, "source").join(F.broadcast(z(b, "ref")), F.col("source") != F.col("ref"))
     square = F.aggregate(F.zip_with("z_source", "z_ref", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     ranked = pairs.select("source", "ref", F.sqrt(square).alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance", "ref"))).where(F.col("rank") <= k)
     own = Window.partitionBy("source")
@@ -94,8 +94,8 @@ def knn_sql() -> str:
     z = lambda s: ", ".join(f"(p.{f} - m_{f}) / coalesce(nullif(s_{f}, 0), 1) AS z{i}" for i, f in enumerate(FEATURES))
     stats = ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in FEATURES)
     dist = " + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(len(FEATURES)))
-    return f"""WITH {EV}, p AS ({PROFILE_SQL}), s AS (SELECT {stats} FROM (SELECT * FROM p WHERE source % 2 = 0 UNION ALL SELECT * FROM p WHERE source % 2 = 1)), z AS (SELECT source, {z("p")} FROM p, s),
-        d AS (SELECT a.source, b.source AS ref, sqrt({dist}) AS distance FROM z a, z b WHERE a.source % 2 = 0 AND b.source % 2 = 1),
+    return f"""WITH {EV}, p AS ({PROFILE_SQL} ORDER BY n DESC, source LIMIT 5000), s AS (SELECT {stats} FROM (FROM p UNION ALL FROM p)), z AS (SELECT source, {z("p")} FROM p, s),
+        d AS (SELECT a.source, b.source AS ref, sqrt({dist}) AS distance FROM z a, z b WHERE a.source <> b.source),
         r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY distance, ref))::INT AS rank FROM d QUALIFY rank <= 5)
         SELECT *, exp(min(distance) OVER w - distance) / sum(exp(-distance)) OVER w / exp(min(distance) OVER w) AS weight FROM r WINDOW w AS (PARTITION BY source)"""
 
@@ -110,13 +110,14 @@ def fraud_bursts(df: DataFrame, gap: int = 600, most: int | None = 500) -> DataF
         F.sort_array(F.collect_list("_s")).alias("_t")).where("n >= 2")
     out = runs.select("source", "_start", "n", (F.col("_end") - F.col("_start")).alias("span"), "cv", F.when(F.col("cv") <= 0.01, "equal_amount").otherwise("mixed").alias("kind"),
         F.array_join(F.transform("_t", lambda t: F.format_string("%.1f", t - F.col("_start"))), ",").alias("deltas"))
-    return (out.orderBy("source", "_start").limit(most) if most else out).drop("_start")
+    out = out.withColumnRenamed("_start", "start")
+    return out.orderBy("source", "start").limit(most) if most else out
 
 
 def bursts_sql(gap: int, most: int | None) -> str:
     return f"""WITH {EV}, s AS (SELECT *, epoch_us(datetime) / 1e6 AS s FROM ev WHERE label = 1), b AS (SELECT *, coalesce((s - lag(s) OVER w > {gap})::INT, 1) AS brk FROM s WINDOW w AS (PARTITION BY source ORDER BY datetime, seq)),
         r AS (SELECT *, sum(brk) OVER (PARTITION BY source ORDER BY datetime, seq) AS run FROM b), g AS (SELECT source, run, count(*) AS n, min(s) AS st, max(s) - min(s) AS span, stddev_pop(amount) / (abs(avg(amount)) + 1e-6) AS cv, list(s ORDER BY s) AS t FROM r GROUP BY 1, 2 HAVING count(*) >= 2)
-        SELECT source, n, span, cv, CASE WHEN cv <= 0.01 THEN 'equal_amount' ELSE 'mixed' END AS kind, array_to_string(list_transform(t, lambda x: printf('%.1f', x - st)), ',') AS deltas FROM g {"ORDER BY source, st LIMIT " + str(most) if most else ""}"""
+        SELECT source, st AS start, n, span, cv, CASE WHEN cv <= 0.01 THEN 'equal_amount' ELSE 'mixed' END AS kind, array_to_string(list_transform(t, lambda x: printf('%.1f', x - st)), ',') AS deltas FROM g {"ORDER BY source, st LIMIT " + str(most) if most else ""}"""
 
 
 def phase_calibration(df: DataFrame) -> DataFrame:
@@ -149,6 +150,17 @@ def blocks_normal(df: DataFrame, size: int = 20) -> DataFrame:
     return rows.withColumn("_chunk", F.floor(place / size)).groupBy("source", "_run", "_chunk").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("amount").alias("amount")).drop("_run", "_chunk")
 
 
+def user_rhythm(df: DataFrame, least: int = 20, alpha: float = 1.0) -> DataFrame:
+    """Smoothed half-hour-of-week shares of each user of at least `least` rows, empty bins included: 336 rows a user."""
+    counts = df.groupBy("source", how_bin(F.col("datetime")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    users = df.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    bins = users.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(335))))
+    return bins.join(counts, ["source", "bin"], "left").select("source", "bin", ((F.coalesce("n", F.lit(0)) + alpha) / (F.col("_n") + 336 * alpha)).alias("prob"))
+
+
+USER_RHYTHM = f"uc AS (SELECT source, {HOW_SQL} AS bin, count(*) AS n FROM ev GROUP BY 1, 2), uu AS (SELECT source, count(*) AS n FROM ev GROUP BY 1 HAVING count(*) >= 20), ur AS (SELECT uu.source, r.i::INT AS bin, (coalesce(uc.n, 0) + 1)::DOUBLE / (uu.n + 336) AS prob FROM uu CROSS JOIN range(336) r(i) LEFT JOIN uc ON uc.source = uu.source AND uc.bin = r.i)"
+
+
 def queries() -> dict:
     ev = txn_ev
     timed = lambda s, d: ev(s, d).withColumn("how", how_bin(F.col("datetime"))).withColumn("dom", F.dayofmonth("datetime"))
@@ -161,7 +173,7 @@ def queries() -> dict:
         "rhythm_day_of_month": (lambda s, d: smoothed(timed(s, d), "dom", 31, 1), smoothed_sql("day(datetime)", 31, 1)),
         "rhythm_fraud": (lambda s, d: smoothed(timed(s, d).where("label = 1"), "how", 336), smoothed_sql(HOW_SQL, 336, where="label = 1")),
         "behavior_profile": (lambda s, d: behavior_profile(ev(s, d)), f"WITH {EV} {PROFILE_SQL}"),
-        "knn_profile_match": (lambda s, d: knn_match(behavior_profile(ev(s, d)).where("source % 2 = 0"), behavior_profile(ev(s, d)).where("source % 2 = 1")), knn_sql()),
+        "knn_profile_match": (lambda s, d: knn_match(behavior_profile(ev(s, d)), behavior_profile(ev(s, d))), knn_sql()),
         "fraud_bursts": (lambda s, d: fraud_bursts(ev(s, d)), bursts_sql(600, 500)),
         "fraud_bursts_wide": (lambda s, d: fraud_bursts(ev(s, d), 21_600, None), bursts_sql(21_600, None)),
         "phase_calibration": (lambda s, d: phase_calibration(ev(s, d)), f"""WITH {EV}, h AS (SELECT r.i AS h, count(seq) AS n FROM range(24) r(i) LEFT JOIN ev ON hour(datetime) = r.i GROUP BY 1),
@@ -176,7 +188,6 @@ def queries() -> dict:
         "time_order_violations": (lambda s, d: ev(s, d).withColumn("_p", F.lag("datetime").over(Window.partitionBy("source").orderBy("seq"))).agg(
             F.count_if(F.col("datetime").isNull()).alias("nulls"), F.count_if(F.col("datetime") < F.col("_p")).alias("backward"), F.min("datetime").alias("first"), F.max("datetime").alias("last")),
             f"WITH {EV}, l AS (SELECT *, lag(datetime) OVER (PARTITION BY source ORDER BY seq) AS p FROM ev) SELECT count(*) FILTER (datetime IS NULL) AS nulls, count(*) FILTER (datetime < p) AS backward, min(datetime) AS first, max(datetime) AS last FROM l"),
-        "user_rhythm": (lambda s, d: timed(s, d).groupBy("source", F.col("how").alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("prob", (F.col("n") + 1) / (F.sum("n").over(Window.partitionBy("source")) + 336)),
-            f"WITH {EV} SELECT source, {HOW_SQL} AS bin, count(*) AS n, (count(*) + 1)::DOUBLE / (sum(count(*)) OVER (PARTITION BY source) + 336) AS prob FROM ev GROUP BY 1, 2"),
+        "user_rhythm": (lambda s, d: user_rhythm(ev(s, d)), f"WITH {EV}, {USER_RHYTHM} SELECT source, bin, prob FROM ur"),
     }
     return q

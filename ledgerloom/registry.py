@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import contracts, people, profiles, refine, time, users
+from .plans import clock, contracts, people, places, profiles, refine, texts, time, users
 
 
 def _all() -> dict:
-    return time.queries() | profiles.queries() | refine.queries() | users.queries() | contracts.queries() | people.queries()
+    return time.queries() | profiles.queries() | refine.queries() | users.queries() | contracts.queries() | people.queries() | texts.queries() | clock.queries() | places.queries()
 
 
 def queries() -> dict:

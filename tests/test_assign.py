@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 
 from ledgerloom.operators import assign
 from ledgerloom.plans import refine, users
@@ -20,15 +21,22 @@ def test_quota_greedy_small(spark):
     assert assign.quota_greedy(items.where("false"), quotas).count() == 0
 
 
-def test_quota_greedy_in_shards(spark, monkeypatch):
-    monkeypatch.setattr(assign, "SHARD_ROWS", 100)
+def test_quota_greedy_carries_totals_from_range_to_range(spark):
+    """100,000 items in seven ranges take what a plain loop over all of them takes."""
     rng = np.random.default_rng(1)
-    items = spark.createDataFrame([(i, float(a)) for i, a in enumerate(rng.lognormal(size=1000))], "id long, amount double")
-    quotas = spark.createDataFrame([("a", 0.5, 0.4), ("b", 0.3, 0.4), ("c", 0.2, 0.2)], "category string, amount_share double, count_share double")
-    got = assign.quota_greedy(items, quotas).toPandas()
-    assert sorted(got["id"]) == list(range(1000))
-    share = got.groupby("category").size() / 1000
-    assert abs(share["a"] - 0.4) < 0.06 and abs(share["c"] - 0.2) < 0.06
+    amount = rng.integers(0, 5000, 100_000) / 4
+    items = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(amount)), "amount": amount}))
+    shares = {"a": (0.5, 0.4), "b": (0.3, 0.4), "c": (0.2, 0.2)}
+    quotas = spark.createDataFrame([(c, *x) for c, x in shares.items()], "category string, amount_share double, count_share double")
+    got = assign.quota_greedy(items, quotas, most=15_000).toPandas().set_index("id")["category"]
+    quota = [(max(x * amount.sum(), 1e-9), max(y * len(amount), 1e-9)) for x, y in shares.values()]
+    used = [[0.0, 0.0] for _ in quota]
+    for i in sorted(range(len(amount)), key=lambda i: (-amount[i], i)):
+        room = [0.35 * (1 - u / q) + 0.65 * (1 - v / p) for (u, v), (q, p) in zip(used, quota)]
+        k = room.index(max(room))
+        assert got[i] == "abc"[k]
+        used[k][0] += amount[i]
+        used[k][1] += 1
 
 
 def test_selection_keeps_its_caps_and_is_full(spark):
