@@ -68,6 +68,36 @@ def test_sharding(spark, texts):
     assert max(sizes.values()) <= sum(sizes.values()) / 40 + 2 * max(r["size"] for r in got)
 
 
+def test_sharding_is_the_tree(spark):
+    """Shards of groups of texts against a plain recursion: widest dimension by the variance of ranks, cut nearest to the weighted quantile."""
+    from pyspark.sql.window import Window  # noqa: F401
+
+    rng = np.random.default_rng(6)
+    rows = [(i, "w" * int(rng.integers(1, 400)) + f" {i}", ["en", "de", "fr", None][int(rng.integers(0, 4))], f"s{int(rng.integers(0, 9)) ** 2 // 9}") for i in range(900)]
+    docs = frame(spark, rows)
+    places = docs.select(F.xxhash64("text").alias("_hash"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), (F.octet_length("text") + 16).cast("long").alias("size"), F.lit(0).alias("_piece"), F.coalesce("lang", F.lit("\0")).alias("_l"), F.coalesce("source", F.lit("\0")).alias("_s"))
+    cells = sharding.ranked_cells(places.withColumn("_weight", F.col("size"))).collect()
+
+    def tree(cell, leaves):
+        if leaves == 1:
+            return [cell]
+        w = [r["_weight"] for r in cell]
+        spread = lambda c: sum(w) * sum(x * r[c] ** 2 for x, r in zip(w, cell)) - sum(x * r[c] for x, r in zip(w, cell)) ** 2
+        axis = max(sharding.DIMENSIONS, key=spread)
+        cell = sorted(cell, key=lambda r: (r[axis], r["_tie"]))
+        goal, sums = sum(w) * (leaves // 2) / leaves, list(itertools.accumulate(r["_weight"] for r in cell))
+        at = next(i for i, x in enumerate(sums) if x >= goal)
+        at += sums[at] - goal <= goal - (sums[at - 1] if at else 0)
+        return tree(cell[:at], leaves // 2) + tree(cell[at:], leaves - leaves // 2)
+
+    # Leaves are numbered by their place in the tree (children of g are 2 g + 1 and 2 g + 2), so compare which texts lie together.
+    want = {frozenset(r["text_crc32"] for r in leaf) for leaf in tree(cells, 40)}
+    got = {}
+    for r in sharding.shard_documents(docs, pieces_a_shard=1).collect():
+        got.setdefault(r["shard"], set()).add(r["text_crc32"])
+    assert {frozenset(v) for v in got.values()} == want
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     for f in (neardup.jaccard_join, sharding.shard_documents, packing.pack_documents, mixing.mix_sources, lm.score_documents, licences.scan_licences, fingerprint.fingerprint_documents):
@@ -341,6 +371,26 @@ You should have received a copy of the GNU General Public License along with thi
 
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
 }
+NOTICES |= {
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "LGPL-2.1-or-later (header)": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library.""",
+    "MPL-2.0 (header)": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "Unlicense (full)": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "CC-BY-NC-ND-3.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+}
 NOTICES["GPL-2.0-or-later (header)"] = NOTICES["GPL-3.0-or-later (header)"].replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2").replace("program.  If not, see <https://www.gnu.org/licenses/>", "program; if not, write to the Free Software Foundation")
 
 
