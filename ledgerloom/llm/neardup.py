@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks, fmix, word_hashes, words
-from .kit import cut_lineage, salted_join, small_table, spread
+from .kit import cut_lineage, salted_join, spread
 
 HASHES, ROWS = 96, 4
 BANDS = HASHES // ROWS
@@ -241,26 +241,22 @@ def blocks(df: DataFrame, key: str, size: str, member: str) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of (u, v), by alternating large-star and small-star steps, each a sum by
-    node and a join; state is checkpointed, nothing is gathered by node, and the driver sees one sum a round and the names of nodes that have
-    over a thousandth of all links (under 2,000), whose links take no part in the join by node."""
-    edges = cut_lineage(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    node and a join (Spark parts a hot node's links where a partition gets large); state is checkpointed and lies in as many partitions as its
+    rows need, nothing is gathered by node, and the driver sees one sum a round."""
+
+    def settled(rows: DataFrame):
+        rows = cut_lineage(rows)
+        state = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return rows.coalesce(max(1, -(-state[0] // 20_000))), state
+
+    edges, state = settled(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
-        hot = [tuple(r) for r in least.where(F.col("_n") * 1000 > 2 * max(1000, state[0])).select("u", "m").collect()]
-        up = both.where("v > u")
-        if hot:
-            named = F.broadcast(small_table(edges.sparkSession, hot, "u long, _m long"))
-            up = up.join(named, "u", "left")
-            large = up.where("_m is null").join(least, "u").select(F.col("m").alias("u"), "v").union(up.where("_m is not null").select("_m", "v"))
-        else:
-            large = up.join(least, "u").select(F.col("m").alias("u"), "v")
-        large = large.where("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u != v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a != b")
-        edges = cut_lineage(small.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges, now = settled(small.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
         if now == state:
             break
         state = now
