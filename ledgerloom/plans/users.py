@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.assign import cut_lineage
 from ..sources.views import LI, table, txn_li
 from .profiles import candidate_probs
 from .refine import soft_weights
@@ -37,14 +38,15 @@ def user_swaps(proposals: DataFrame) -> DataFrame:
 
 def user_selected(df: DataFrame) -> DataFrame:
     """Members of swaps, then single changes by gain, at most a fifth of a value's users leaving it. The budget is kept by rank within the old value, so
-    that no window holds all proposals; a swap whose other half falls outside its budget remains as a single change."""
-    p = user_proposals(df)
+    that no window holds all proposals; a swap one half of which falls outside its budget is dropped with the other."""
+    p = cut_lineage(user_proposals(df))
     s = user_swaps(p)
-    paired = s.select(F.explode(F.array("source", "back_source")).alias("source")).withColumn("kind", F.lit("swap"))
+    paired = s.select(F.explode(F.array("source", "back_source")).alias("source"), F.least("source", "back_source").alias("_pair")).withColumn("kind", F.lit("swap"))
     budget = df.groupBy(F.col("source_province").alias("old")).agg(F.ceil(F.count_distinct("source") * 0.2).alias("_cap"))
     rows = p.join(paired, "source", "left").withColumn("kind", F.coalesce("kind", F.lit("single"))).join(budget, "old")
-    rows = rows.withColumn("_r", F.row_number().over(W("old").orderBy(F.desc("kind"), F.desc("gain"), "source")))
-    return rows.where("_r <= _cap").select("source", "old", "new", "gain", "kind")
+    rows = rows.withColumn("_r", F.row_number().over(W("old").orderBy(F.desc("kind"), F.desc("gain"), "source"))).where("_r <= _cap")
+    whole = (F.col("kind") == "single") | (F.count(one).over(W("kind", F.coalesce("_pair", "source"))) == 2)
+    return rows.withColumn("_whole", whole).where("_whole").select("source", "old", "new", "gain", "kind")
 
 
 def seed_provinces(df: DataFrame, spark, d: str, seeds: int = 25) -> DataFrame:
@@ -102,8 +104,9 @@ def queries() -> dict:
     return {
         "user_proposals": (lambda s, d: user_proposals(li(s, d)), f"WITH {LI}, {P_SQL} SELECT * FROM up"),
         "user_swaps": (lambda s, d: user_swaps(user_proposals(li(s, d))), f"WITH {LI}, {P_SQL} SELECT * FROM us"),
-        "user_selected": (lambda s, d: user_selected(li(s, d)), f"""WITH {LI}, {P_SQL}, k AS (SELECT up.*, CASE WHEN source IN (SELECT source FROM us UNION ALL SELECT back_source FROM us) THEN 'swap' ELSE 'single' END AS kind FROM up),
-            cap AS (SELECT source_province AS old, ceil(count(DISTINCT source) * 0.2::DOUBLE) AS cap FROM li GROUP BY 1) SELECT source, k.old, new, gain, kind FROM k JOIN cap ON cap.old = k.old QUALIFY row_number() OVER (PARTITION BY k.old ORDER BY kind DESC, gain DESC, source) <= any_value(cap) OVER (PARTITION BY k.old)"""),
+        "user_selected": (lambda s, d: user_selected(li(s, d)), f"""WITH {LI}, {P_SQL}, pa AS (SELECT source, least(source, back_source) AS pair FROM us UNION ALL SELECT back_source, least(source, back_source) FROM us), k AS (SELECT up.*, pair, CASE WHEN pair IS NULL THEN 'single' ELSE 'swap' END AS kind FROM up LEFT JOIN pa USING (source)),
+            cap AS (SELECT source_province AS old, ceil(count(DISTINCT source) * 0.2::DOUBLE) AS cap FROM li GROUP BY 1), sel AS (SELECT source, k.old, new, gain, kind, pair FROM k JOIN cap ON cap.old = k.old QUALIFY row_number() OVER (PARTITION BY k.old ORDER BY kind DESC, gain DESC, source) <= any_value(cap) OVER (PARTITION BY k.old))
+            SELECT source, old, new, gain, kind FROM sel QUALIFY kind = 'single' OR count(*) OVER (PARTITION BY pair) = 2"""),
         "seed_provinces": (lambda s, d: seed_provinces(li(s, d), s, d), f"""WITH {LI}, b AS (SELECT row_number() OVER (ORDER BY count(DISTINCT source) DESC, sum(amount::DECIMAL(18,4)) DESC, location) AS rank, location, count(DISTINCT source) AS users FROM li GROUP BY location),
             p AS (SELECT row_number() OVER (ORDER BY count(*) DESC, n_name) AS rank, n_name AS province, count(*) AS population FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name) SELECT rank, location, users, province, population FROM b JOIN p USING (rank) WHERE rank <= 25"""),
         "activity_prior": (activity_prior, """WITH g AS (SELECT n_name AS province, count(DISTINCT c_custkey) AS people, coalesce(sum(o_totalprice::DECIMAL(18,2))::DOUBLE, 0) AS spending FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import clock, contracts, loop, people, places, profiles, refine, texts, time, users
+from .plans import clock, contracts, loop, people, places, profiles, refine, shops, texts, time, users
 
 
 def _all() -> dict:
-    return time.queries() | profiles.queries() | refine.queries() | users.queries() | contracts.queries() | people.queries() | texts.queries() | clock.queries() | places.queries() | loop.queries()
+    return time.queries() | profiles.queries() | refine.queries() | users.queries() | contracts.queries() | people.queries() | texts.queries() | clock.queries() | places.queries() | loop.queries() | shops.queries()
 
 
 def queries() -> dict:
