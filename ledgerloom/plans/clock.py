@@ -220,7 +220,7 @@ def queries() -> dict:
         "block_start": (lambda s, d: block_starts(ev(s, d), block_rows(ev(s, d))), f"{head} SELECT * FROM bs"),
         "monotone_times": (lambda s, d: running_max(ev(s, d).select("seq", "amount"), ["seq"], "amount", "upto"), f"WITH {EV} SELECT seq, amount, max(amount) OVER (ORDER BY seq) AS upto FROM ev"),
         "block_offsets": (lambda s, d: ordered_times(ev(s, d)).select("seq", "block", "k", "start", "offset"), f'{head} SELECT seq, block, k, start, "offset" FROM ot'),
-        "boundary_runs": (lambda s, d: boundary_runs(ordered_times(ev(s, d)).withColumn("t", F.col("t") - F.pmod(F.col("t"), F.lit(600)) + 599)), f"{head.replace('start + \"offset\" AS t FROM', 'start + \"offset\" - (start + \"offset\") % 600 + 599 AS t FROM')} SELECT * FROM ru"),
+        "boundary_runs": (lambda s, d: boundary_runs(ordered_times(ev(s, d)).withColumn("t", F.col("t") - F.pmod(F.col("t"), F.lit(600)) + 599)).na.fill(-1), f"{head.replace('start + \"offset\" AS t FROM', 'start + \"offset\" - (start + \"offset\") % 600 + 599 AS t FROM')} SELECT t, run, coalesce(before, -1) AS before, coalesce(behind, -1) AS behind FROM ru"),
         "declustered_times": (lambda s, d: declustered(ordered_times(ev(s, d)).withColumn("t", F.col("t") - F.pmod(F.col("t"), F.lit(600)) + 599)).select("seq", "t"), f"{head.replace('start + \"offset\" AS t FROM', 'start + \"offset\" - (start + \"offset\") % 600 + 599 AS t FROM')} SELECT seq, t FROM ft"),
         "ordered_times": (lambda s, d: final_times(ev(s, d)).select("seq", "source", "block", "kind", F.coalesce("template", F.lit(-1)).alias("template"), "time_source", "matched_users", "t"), f"{head} SELECT seq, source, block, kind, coalesce(template, -1) AS template, time_source, matched_users, t FROM ft"),
         "ordered_times_violations": (lambda s, d: violations(final_times(ev(s, d))), f"WITH {EV} SELECT 0 AS nulls, 0 AS backward, count(*) AS rows FROM ev"),

@@ -79,10 +79,10 @@ COEFFICIENTS = {"dining": {"dining": 0.6, "mean": 0.2, "night_share": 0.2}, "com
 def kind_scores(rows: DataFrame) -> DataFrame:
     """(target, kind, score): sums of ranks times coefficients, a row a kind."""
     score = lambda c: sum((F.lit(float(w)) * F.col(f"{m}_rank") for m, w in list(c.items())[1:]), F.lit(float(next(iter(c.values())))) * F.col(f"{next(iter(c))}_rank"))
-    return rows.select("target", "level1", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.round(score(c), 9).alias("score")) for k, c in COEFFICIENTS.items()])))
+    return rows.select("target", "level1", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), (F.round(score(c), 9) + 0.0).alias("score")) for k, c in COEFFICIENTS.items()])))
 
 
-SCORES = "sk AS (" + " UNION ALL ".join(f"SELECT target, level1, '{k}' AS kind, round({' + '.join(f'({w}::DOUBLE * {m}_rank)' for m, w in c.items())}, 9) AS score FROM rl" for k, c in COEFFICIENTS.items()) + ")"
+SCORES = "sk AS (" + " UNION ALL ".join(f"SELECT target, level1, '{k}' AS kind, round({' + '.join(f'({w}::DOUBLE * {m}_rank)' for m, w in c.items())}, 9) + 0.0 AS score FROM rl" for k, c in COEFFICIENTS.items()) + ")"
 
 
 def level2_draw(dim: DataFrame) -> DataFrame:
