@@ -52,19 +52,6 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{kind}>>")))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, salt: list[str], parts: int = 1000) -> DataFrame:
-    """Inner join with `right`, which has one row a key and, in `count`, how many rows of `left` have that key.
-
-    A key with over a `parts`th of all `total` rows is cut by a hash of `salt` into pieces of about that size; fewer than `parts` keys can be so
-    common, hence the broadcast of their names.
-    """
-    pieces = F.ceil(F.col(count) * parts / max(1, total)).cast("int")
-    hot = right.where(F.col(count) * parts > total).select(*keys, pieces.alias("_pieces"))
-    piece = F.pmod(F.xxhash64(*salt, F.lit(9)), F.coalesce("_pieces", F.lit(1))).cast("int")
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_piece", piece).drop("_pieces")
-    return dealt.join(right.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))), [*keys, "_piece"]).drop("_piece")
-
-
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows_a_part: int = 20_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, with no task holding a whole group.
 

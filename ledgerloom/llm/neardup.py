@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks, fmix, word_hashes, words
-from .kit import cut_lineage, salted_join, spread
+from .kit import cut_lineage, spread
 
 HASHES, ROWS = 96, 4
 BANDS = HASHES // ROWS
@@ -288,14 +288,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     reps = cut_lineage(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")))
     bands = reps.select("rep", "sig").mapInArrow(to_bands, "band long, rep long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    placed = salted_join(bands, shared, ["band"], "members", reps.count() * BANDS, ["rep"]).join(reps.select("rep", "sig"), "rep")
+    placed = bands.join(shared, "band").join(reps.select("rep", "sig"), "rep")
     tasks = spread(docs)
     keys = ["band", "i", "j"]
     dealt = blocks(placed, "band", "members", "rep").repartition(tasks, *keys).sortWithinPartitions(*keys)
     forest = dealt.select(*keys, "side", "rep", "sig").mapInArrow(lambda b: prune(b, rule), "u long, v long")
     comps = cut_lineage(components(forest).select(F.col("node").alias("rep"), F.col("root").alias("comp")))
-    held = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    members = salted_join(comps, held, ["comp"], "members", comps.count(), ["rep"]).join(reps.select("rep", "copies", "n", "k1", "k2"), "rep")
+    members = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").join(reps.select("rep", "copies", "n", "k1", "k2"), "rep")
     members = cut_lineage(members)
     chosen = F.broadcast(members) if members.count() <= broadcast_rows else members
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(chosen, "rep")
@@ -307,7 +306,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     links = checked.groupBy("rep").agg(F.sum("links").alias("links")).join(linked, "rep", "left")
     classes = reps.select("n", "k1", "k2", "rep", "copies").join(links, "rep", "left")
     shingled = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
-    out = salted_join(known.where(shingled), classes, ["n", "k1", "k2"], "copies", known.count(), ["doc_id"]).select(
+    out = known.where(shingled).join(classes, ["n", "k1", "k2"]).select(
         "doc_id", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     return out.unionByName(known.where(~shingled).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
