@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 4 << 20
+PIECE = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,15 +60,23 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes by differences of one running sum, then mixed."""
+    """A 64-bit hash of each word: a polynomial over its bytes by differences of a running sum, then mixed. Runs of words of
+    about PIECE bytes are summed at a time (a longer word alone), so that 64-bit numbers never lie beside all bytes."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    n = len(raw) + 1
-    power = np.full(n, 0xD6E8FEB86659FD93, np.uint64)
-    inverse = np.full(n, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64)
+    n = min(len(raw), max(PIECE, int((end - start).max())))
+    power = np.full(n + 1, 0xD6E8FEB86659FD93, np.uint64)
+    inverse = np.full(n + 1, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64)
     power[0] = inverse[0] = 1
     np.multiply.accumulate(power, out=power)
     np.multiply.accumulate(inverse, out=inverse)
-    total = np.zeros(n, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-    return fmix((total[end] - total[start]) * inverse[start])
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + n, "right"))
+        a, z = start[i:j] - start[i], end[i:j] - start[i]
+        total = np.zeros(int(z[-1]) + 1, np.uint64)
+        np.cumsum((raw[start[i] : end[j - 1]].astype(np.uint64) + np.uint64(1)) * power[: len(total) - 1], out=total[1:])
+        out[i:j] = (total[z] - total[a]) * inverse[a]
+        i = j
+    return fmix(out)

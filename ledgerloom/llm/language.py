@@ -54,7 +54,8 @@ class Model:
         for i, x in enumerate(texts):
             has[i, self.index[gram_codes(x)]] = 1
         has = has[:, :-1]
-        return has / np.maximum(1, np.sqrt(has.sum(axis=1, keepdims=True)))
+        has /= np.maximum(1, np.sqrt(has.sum(axis=1, keepdims=True)))
+        return has
 
     def decide(self, texts: list[np.ndarray]) -> np.ndarray:
         """Decision values of all labels: kernel with the landmarks, then Nyström features, then ridge coefficients."""
