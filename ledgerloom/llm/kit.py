@@ -39,6 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python rows by 4 MB instead of the default 64 MB, unless the session has a limit of its own: that memory is taken in the
+    JVM and in Python for each task at once. Holds for the session from here on; results do not depend on it."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, None) == default:
+        spark.conf.set(key, "4m")
+
+
 def spread(df: DataFrame) -> int:
     """Number of tasks that a repartition by key should make: the session's shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
+from .kit import small_batches
 
 LETTER = r"\p{L}"
 UNKNOWN = "und"
@@ -41,7 +42,7 @@ class Model:
     def index(self) -> np.ndarray:
         """n-gram code -> place in the vocabulary, or one behind it."""
         if self._index is None:
-            self._index = np.full(1 << 24, len(self.grams), np.int32)
+            self._index = np.full(1 << 24, len(self.grams), np.min_scalar_type(len(self.grams)))
             self._index[self.grams] = np.arange(len(self.grams))
         return self._index
 
@@ -101,6 +102,7 @@ def learn(docs: DataFrame, each: int = 400, **options) -> Model | None:
     No task sorts a language: its count of rows tells under which hash about twice `each` of them lie (more in the next pass, if repeated rows
     leave too few), and only those are looked at, as distinct n-gram codes.
     """
+    small_batches(docs.sparkSession)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = docs.where((fold != 0) & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     hashed = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)).alias("_h"))
@@ -154,6 +156,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     decision values: the first label in order; repeated rows are scored each; other columns are ignored.
     Returns doc_id, lang_pred, score (softmax of the decision values: 0 to 1).
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -163,6 +166,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
     """The rows whose language is known with a score of `least`; columns as they were."""
+    small_batches(docs.sparkSession)
     columns = docs.columns
     if model is None:
         return docs.where("false")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks, fmix, word_hashes, words
-from .kit import cut_lineage, spread
+from .kit import cut_lineage, small_batches, spread
 
 HASHES, ROWS = 96, 4
 BANDS = HASHES // ROWS
@@ -281,6 +281,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4
     fewer than `size` words are one shingle; repeated rows count as copies; other columns are ignored; null doc_id rows
     form no links. Returns doc_id, class_id (least doc_id of the class), n_links (other documents that it links with).
     """
+    small_batches(docs.sparkSession)
     num, den = threshold
     rule = least_matches(num / den, tolerance)
     known = cut_lineage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: describe(b, size), "doc_id long, n int, k1 long, k2 long, sig binary"))
