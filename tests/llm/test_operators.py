@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, fingerprint, language, licences, lm, mixing, neardup, packing, pages, sharding
+from ledgerloom.llm import ann, bytesets, fingerprint, language, licences, lm, mixing, neardup, packing, pages, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string"
 
@@ -48,6 +48,17 @@ def test_jaccard_join(spark, texts):
         assert got[i]["class_id"] <= i and (not s or got[i]["class_id"] == min(got[j]["class_id"] for j in near[i]))
 
 
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    text = b"ab  cd " + b"x" * 300 + b" ab\n" + b"y" * 70 + b" cd ab"
+    raw, ends = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    start, end, _ = bytesets.words(raw, ends)
+    base, mask = 0xD6E8FEB86659FD93, (1 << 64) - 1
+    sums = [sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(text[a:z])) & mask for a, z in zip(start, end, strict=True)]
+    for piece in (1, 5, 64, 1 << 18):
+        monkeypatch.setattr(bytesets, "PIECE", piece)
+        assert (bytesets.word_hashes(raw, start, end) == bytesets.fmix(np.array(sums, np.uint64))).all()
+
+
 def test_large_group_of_near_copies_is_whole(spark):
     base = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join([*base, f"end{i}"]), "en", "s") for i in range(700)]
