@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, language, licences, lm, mixing, neardup, packing, pages, sharding
+from . import ann, centroids, fingerprint, language, lexical, licences, lm, mixing, mtree, neardup, packing, pages, sharding
 from .kit import read
 
 
@@ -53,10 +53,22 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents"))
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_mtree_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.best_products(read(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_jaccard_join, op2_lm_scoring, op3_kd_sharding, op4_best_fit_packing, op5_language_id, op6_multi_index_hashing, op7_pareto_mixing, op8_fingerprints, op9_html_extraction, op10_licence_scan)
+    own = (op1_jaccard_join, op2_lm_scoring, op3_kd_sharding, op4_best_fit_packing, op5_language_id, op6_multi_index_hashing, op7_pareto_mixing, op8_fingerprints, op9_html_extraction, op10_licence_scan, op11_best_position, op12_mtree_products, op13_centroid_clusters)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -66,4 +78,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_pareto_mixing": mixing.mix_sql(),
         "op8_fingerprints": fingerprint.fingerprint_sql(),
         "op10_licence_scan": licences.scan_sql(),
+        "op11_best_position": lexical.rank_sql(),
+        "op12_mtree_products": mtree.products_sql(),
+        "op13_centroid_clusters": centroids.cluster_sql(),
     }
