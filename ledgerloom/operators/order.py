@@ -49,3 +49,22 @@ def neighbours(df: DataFrame, order: list[str], value: str, before: str, after:
     ends = F.broadcast(ends.select("_range", F.lag("_l").over(line).alias("_b"), F.lead("_f").over(line).alias("_a")))
     rows = ranged.withColumns({before: F.lag(value).over(inside), after: F.lead(value).over(inside), "_i": F.row_number().over(inside), "_n": F.count("*").over(Window.partitionBy("_range"))})
     return rows.join(ends, "_range").withColumns({before: F.when(F.col("_i") == 1, F.col("_b")).otherwise(F.col(before)), after: F.when(F.col("_i") == F.col("_n"), F.col("_a")).otherwise(F.col(after))}).drop("_range", "_i", "_n", "_a", "_b")
+
+
+def average_ranks(rows: DataFrame, key: str, group: str, measures: list[str], suffix: str = "_rank", parts: int | None = None) -> DataFrame:
+    """(key, a percent rank a measure): average ties inside each group, 0.5 where a group has one row or a measure is null.
+
+    All measures of all groups are counted by value and laid in one order over ranges; a value's rank is what lies before it in its range plus the
+    counts of the ranges before. No task sorts a group, however many rows it has.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_m"), F.col(m).cast("double").alias("_v")) for i, m in enumerate(measures)]))
+    long = rows.select(key, group, each).where("_v IS NOT NULL")
+    ranged = in_ranges(long.groupBy(group, "_m", "_v").agg(F.count("*").alias("_k")), [group, "_m", "_v"], parts)
+    same = Window.partitionBy(group, "_m")
+    held = ranged.groupBy("_range", group, "_m").agg(F.sum("_k").alias("_s"))
+    held = held.select("_range", group, "_m", F.coalesce(F.sum("_s").over(same.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_s").over(same).alias("_t"))
+    inside = F.sum("_k").over(Window.partitionBy("_range", group, "_m").orderBy("_v"))
+    rank = F.when(F.col("_t") == 1, 0.5).otherwise((F.col("_b") + F.col("_i") - F.col("_k") + (F.col("_k") + 1) / 2) / F.col("_t"))
+    placed = ranged.withColumn("_i", inside).join(held, ["_range", group, "_m"]).select(group, "_m", "_v", rank.alias("_r"))
+    found = long.join(placed, [group, "_m", "_v"]).groupBy(key).agg(*[F.max(F.when(F.col("_m") == i, F.col("_r"))).alias(f"{m}{suffix}") for i, m in enumerate(measures)])
+    return rows.select(key).join(found, key, "left").na.fill(0.5)

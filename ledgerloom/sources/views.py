@@ -10,6 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+HOUR = "(l_orderkey + 5 * l_linenumber) % 24"
+
+
 def txn_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered transactions with a time of day: seq, source, target, amount, datetime, label (1 fraud, 0 normal, 2 unlabeled)."""
     return table(spark, sf_dir, "events").select(
@@ -22,8 +25,11 @@ def txn_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def txn_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions with places and merchants; dimensions are joined on their keys and the planner broadcasts what is small."""
+def txn_li(spark: SparkSession, sf_dir: str, timed: bool = False) -> DataFrame:
+    """Transactions with places and merchants; dimensions are joined on their keys and the planner broadcasts what is small.
+
+    timed: orders have a date alone; every line gets an hour of that day by its keys.
+    """
     t = lambda n: table(spark, sf_dir, n)
     home = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("source_province"))
     away = t("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("transaction_province"))
@@ -33,7 +39,7 @@ def txn_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select(
         F.col("o_custkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_extendedprice").alias("amount"), F.col("l_suppkey").alias("location"),
         F.col("o_orderpriority").alias("kind"), "source_province", "transaction_province", F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).otherwise(2).alias("label"),
-        F.col("o_orderdate").alias("datetime"), F.col("p_type").alias("level1"), F.col("p_brand").alias("level2"))
+        F.expr(f"timestampadd(HOUR, {HOUR}, o_orderdate)" if timed else "o_orderdate").alias("datetime"), F.col("p_type").alias("level1"), F.col("p_brand").alias("level2"))
 
 
 EV = """ev AS (SELECT event_id AS seq, user_id AS source, json_extract_string(props, '$.k')::BIGINT AS target, value AS amount, ts AS datetime,
@@ -43,3 +49,4 @@ LI = """li AS (SELECT o_custkey AS source, l_partkey AS target, l_extendedprice
     o_orderdate AS datetime, p_type AS level1, p_brand AS level2
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation h ON c_nationkey = h.n_nationkey
     JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN part ON l_partkey = p_partkey)"""
+LI_TIMED = LI.replace("o_orderdate AS datetime", f"o_orderdate + to_hours(({HOUR})::INT) AS datetime")
