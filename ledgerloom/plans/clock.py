@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators.order import global_rank, neighbours, running_max
+from ..operators.segments import prefix, segments
 from ..sources.views import EV, txn_ev
 from .time import HOW_SQL, USER_RHYTHM, behavior_profile, bursts_sql, calendar_bins, fraud_bursts, how_bin, knn_match, knn_sql, smoothed, smoothed_sql, user_rhythm
 
@@ -17,23 +18,27 @@ one = "*"
 BIN, FRAUD_GAP, GAP = 1800, 89, 44
 
 
-def block_rows(df: DataFrame, size: int = 20, tolerance: float = 0.01) -> DataFrame:
-    """Rows with their block: chunks of at most `size` rows inside each run of fraud or of other rows of one user, named by their first row.
+#: Least amount in relative comparisons.
+LEAST = 1e-6
 
-    A fraud block of equal amounts (against its first) is `equal_amount`, of one merchant `same_pair`, else `same_source`; a single row is
-    `isolated_fraud`. Adds block, k (place in it), n, kind.
-    """
-    own = W("source").orderBy("seq")
-    fraud = F.col("label") == 1
-    runs = df.withColumn("_f", fraud).withColumn("_run", F.when(fraud, F.sum((~fraud).cast("int")).over(own)).otherwise(F.sum(fraud.cast("int")).over(own)))
-    place = F.row_number().over(W("source", "_f", "_run").orderBy("seq")) - 1
-    rows = runs.withColumn("_chunk", F.floor(place / size)).withColumn("k", F.pmod(place, F.lit(size)))
-    block = W("source", "_f", "_run", "_chunk")
-    first = F.min_by("amount", "seq").over(block)
-    rows = rows.withColumns({"block": F.min("seq").over(block), "n": F.count(one).over(block), "_first": first, "_one": (F.min("target").over(block) == F.max("target").over(block))})
-    equal = F.min((F.abs(F.col("amount") - F.col("_first")) <= tolerance * F.greatest(F.abs("amount"), F.abs("_first"), F.lit(1e-9))).cast("int")).over(block)
-    kind = F.when(~F.col("_f"), "normal").when(F.col("n") == 1, "isolated_fraud").when(equal == 1, "equal_amount").when(F.col("_one"), "same_pair").otherwise("same_source")
-    return rows.withColumn("kind", kind).select("seq", "source", "target", "amount", "label", "block", "k", "n", "kind")
+
+def block_rule(look: str, tolerance: float = 0.01) -> tuple[Column, Column]:
+    """Rows and kind of a block that begins at the first of the next rows. A fraud block is the longest run of fraud rows with one amount (against its
+    first), one target or one source, of whomever they are; a single one is isolated. Any other block ends before the next fraud row."""
+    first = F.get(look, F.lit(0))
+    near = lambda x: F.abs(x["amount"] - first["amount"]) <= tolerance * F.greatest(F.abs(x["amount"]), F.abs(first["amount"]), F.lit(LEAST))
+    same = lambda c: prefix(look, lambda x: (x["label"] == 1) & (x[c] == first[c]))
+    equal, target, source = prefix(look, lambda x: (x["label"] == 1) & near(x)), same("target"), same("source")
+    n = F.greatest(equal, target, source, F.lit(1))
+    other = prefix(look, lambda x: F.coalesce(x["label"], F.lit(0)) != 1)
+    kind = F.when(n < 2, "isolated_fraud").when(equal == n, "equal_amount").when((target == n) & (source == n), "same_pair").when(target == n, "same_target").otherwise("same_source")
+    return F.when(other > 0, other).otherwise(n), F.when(other > 0, "normal").otherwise(kind)
+
+
+def block_rows(df: DataFrame, size: int = 20, tolerance: float = 0.01, parts: int | None = None) -> DataFrame:
+    """Rows with their block of at most `size` rows in the one order of all transactions: blocks cross users. Adds block, k (place in it), n, kind."""
+    cut = segments(df, "seq", ["label", "source", "target", "amount"], size, lambda look: block_rule(look, tolerance), parts)
+    return df.select("seq", "source", "target", "amount", "label").join(cut, "seq")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -174,10 +179,15 @@ def pseudo_ids(df: DataFrame, tiers: list[list[str]], session: list[str], mercha
     return df.withColumn("pseudo_user", user).withColumn("pseudo_session", S.stable_id("s", F.col("pseudo_user"), *[F.col(c) for c in session if c in df.columns])).withColumn("pseudo_merchant", S.stable_id("m", *[F.col(c) for c in merchant if c in df.columns])).withColumn("tier", F.lit(tier))
 
 
-ROWS_SQL = """rr AS (SELECT *, label = 1 AS f, sum((label = 1)::INT) OVER w AS fr, sum((label <> 1)::INT) OVER w AS nr FROM ev WINDOW w AS (PARTITION BY source ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-    rc AS (SELECT *, CASE WHEN f THEN nr ELSE fr END AS run, row_number() OVER (PARTITION BY source, f, CASE WHEN f THEN nr ELSE fr END ORDER BY seq) - 1 AS place FROM rr),
-    rb AS (SELECT *, (place % 20)::INT AS k, min(seq) OVER b AS block, count(*) OVER b AS n, arg_min(amount, seq) OVER b AS a0, min(target) OVER b = max(target) OVER b AS one FROM rc WINDOW b AS (PARTITION BY source, f, run, place // 20)),
-    br AS (SELECT seq, source, target, amount, label, block, k, n, CASE WHEN NOT f THEN 'normal' WHEN n = 1 THEN 'isolated_fraud' WHEN bool_and(abs(amount - a0) <= 0.01::DOUBLE * greatest(abs(amount), abs(a0), 1e-9)) OVER (PARTITION BY block) THEN 'equal_amount' WHEN one THEN 'same_pair' ELSE 'same_source' END AS kind FROM rb),
+ROWS_SQL = """lk AS (SELECT *, row_number() OVER (ORDER BY seq) AS i, list({'f': label = 1, 's': source, 't': target, 'a': amount}) OVER (ORDER BY seq ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS l FROM ev),
+    pf AS (SELECT * EXCLUDE (l), coalesce(nullif(list_position(list_transform(l, lambda x: x.f AND abs(x.a - l[1].a) <= 0.01::DOUBLE * greatest(abs(x.a), abs(l[1].a), 1e-6)), false), 0) - 1, len(l)) AS pe,
+        coalesce(nullif(list_position(list_transform(l, lambda x: x.f AND x.t = l[1].t), false), 0) - 1, len(l)) AS pt, coalesce(nullif(list_position(list_transform(l, lambda x: x.f AND x.s = l[1].s), false), 0) - 1, len(l)) AS ps,
+        coalesce(nullif(list_position(list_transform(l, lambda x: NOT x.f), false), 0) - 1, len(l)) AS po FROM lk),
+    rn AS (SELECT *, CASE WHEN po > 0 THEN po ELSE greatest(pe, pt, ps, 1) END AS n FROM pf),
+    rk AS (SELECT *, CASE WHEN po > 0 THEN 'normal' WHEN n < 2 THEN 'isolated_fraud' WHEN pe = n THEN 'equal_amount' WHEN pt = n AND ps = n THEN 'same_pair' WHEN pt = n THEN 'same_target' ELSE 'same_source' END AS kind FROM rn),
+    ju AS (SELECT i AS at, i FROM (SELECT i, lag(label = 1) OVER (ORDER BY seq) AS before, label = 1 AS f FROM rk) WHERE before IS NULL OR before <> f UNION ALL SELECT ju.at, rk.i + rk.n FROM ju JOIN rk USING (i) JOIN rk nx ON nx.i = rk.i + rk.n AND (nx.label = 1) = (rk.label = 1)),
+    bk AS (SELECT rk.i, rk.seq AS block, rk.n, rk.kind FROM ju JOIN rk USING (i)),
+    br AS (SELECT r.seq, r.source, r.target, r.amount, r.label, bk.block, (r.i - bk.i)::INT AS k, bk.n::INT AS n, bk.kind FROM rk r ASOF JOIN bk ON r.i >= bk.i),
     bl AS (SELECT block, source, kind, n, row_number() OVER (ORDER BY block) AS ord, count(*) OVER () AS many FROM br WHERE k = 0)"""
 MIX_SQL = f"""kn AS (SELECT * FROM ({knn_sql()})), {USER_RHYTHM}, gl AS (SELECT bin, prob AS g FROM ({smoothed_sql(HOW_SQL, 336)})), fl AS (SELECT bin, prob AS fp FROM ({smoothed_sql(HOW_SQL, 336, where="label = 1")})),
     mx AS (SELECT kn.source, bin, sum(weight * prob) AS p FROM kn JOIN ur ON ur.source = kn.ref GROUP BY 1, 2), mr AS (SELECT source, bin, 0.6::DOUBLE * (p / sum(p) OVER (PARTITION BY source)) + 0.4::DOUBLE * g AS prob FROM mx JOIN gl USING (bin))"""
@@ -209,12 +219,12 @@ FINAL_SQL = """dw AS (SELECT t, run, CASE WHEN coalesce(t - before, 1800) > 1 TH
 
 def queries() -> dict:
     ev = txn_ev
-    head = f"WITH {EV}, {ROWS_SQL}, {MIX_SQL}, {CAL_SQL}, {START_SQL}, {TIME_SQL}, {RUNS_SQL}, {FINAL_SQL}"
+    head = f"WITH RECURSIVE {EV}, {ROWS_SQL}, {MIX_SQL}, {CAL_SQL}, {START_SQL}, {TIME_SQL}, {RUNS_SQL}, {FINAL_SQL}"
     ids = lambda s, d: pseudo_ids(ev(s, d), [["source", "target", "amount", "card"], ["source", "target", "label"], ["source", "target"], ["source"]], ["label"], ["target"])
     h = lambda p, *c: f"'{p}_' || md5(concat_ws(chr(31), " + ", ".join(f"coalesce({x}::VARCHAR, '__NA__')" for x in c) + "))"
     points = lambda s, d: s.range(0, 1001).select((F.col("id") / 1000.0).alias("q"))
     return {
-        "ffsd_blocks": (lambda s, d: block_rows(ev(s, d)).select("seq", "source", "block", "k", "n", "kind"), f"WITH {EV}, {ROWS_SQL} SELECT seq, source, block, k, n, kind FROM br"),
+        "ffsd_blocks": (lambda s, d: block_rows(ev(s, d)).select("seq", "source", "block", "k", "n", "kind"), f"WITH RECURSIVE {EV}, {ROWS_SQL} SELECT seq, source, block, k, n, kind FROM br"),
         "mixed_rhythm": (lambda s, d: mixed_rhythm(ev(s, d)), f"WITH {EV}, {MIX_SQL} SELECT * FROM mr"),
         "quantile_bin_asof": (lambda s, d: quantile_bins(points(s, d), "q", calendar_bins(ev(s, d)), "bin"), f"WITH {EV}, {MIX_SQL}, {CAL_SQL} SELECT r.i / 1000.0::DOUBLE AS q, least((SELECT count(*) FROM cl WHERE cdf < round(r.i / 1000.0::DOUBLE, 12)), 14591)::INT AS bin FROM range(1001) r(i)"),
         "block_start": (lambda s, d: block_starts(ev(s, d), block_rows(ev(s, d))), f"{head} SELECT * FROM bs"),

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators.assign import prefix_blocks, quota_greedy, select_with_caps
-from ..sources.views import LI, txn_ev, txn_li
+from ..sources.views import EV, LI, txn_ev, txn_li
+from .clock import ROWS_SQL, block_rows
 from .profiles import effective_amount, merchant_profile
 
 W = Window.partitionBy
@@ -90,6 +91,11 @@ def fraud_runs(df: DataFrame) -> DataFrame:
     return df.withColumn("_run", F.xxhash64("source", F.coalesce(before, F.lit(-1)))).where("label = 1")
 
 
+def fraud_blocks(df: DataFrame) -> DataFrame:
+    """A row for each block of fraud rows in the order of all transactions, with the number of its users."""
+    return block_rows(df).where("kind <> 'normal'").groupBy(F.col("block").alias("first_seq")).agg(F.max("seq").alias("last_seq"), F.count(one).alias("rows"), F.count_distinct("source").alias("users"), F.first("kind").alias("kind"))
+
+
 M_SQL = """m0 AS (SELECT level1, level2, target, count(*) AS n, avg(amount) AS mean, coalesce(stddev_samp(amount), 0) AS std FROM li GROUP BY 1, 2, 3),
     mq AS (SELECT level1, quantile_cont(mean, 0.25) AS a, quantile_cont(mean, 0.5) AS b, quantile_cont(mean, 0.75) AS c FROM m0 GROUP BY 1),
     m AS (SELECT level1, level2, target, n, mean, CASE WHEN mean < a THEN 1 WHEN mean < b THEN 2 WHEN mean < c THEN 3 ELSE 4 END AS al, CASE WHEN v < 0.5 THEN 1 WHEN v < 1 THEN 2 WHEN v < 2 THEN 3 ELSE 4 END AS cl
@@ -119,5 +125,5 @@ def queries() -> dict:
         "merchant_selected": (lambda s, d: merchant_selected(li(s, d)), None),
         "structure_state": (lambda s, d: structure_state(li(s, d)), f"WITH {LI}, g AS (SELECT level1, level2, count(DISTINCT target) AS k FROM li GROUP BY 1, 2) SELECT level1, count(*) AS active, max(k)::DOUBLE / sum(k) AS max_share, greatest(0.65::DOUBLE, 1.0::DOUBLE / count(*) + 0.2::DOUBLE) AS share_limit, ceil(count(*) * 0.6::DOUBLE)::BIGINT AS least_active FROM g GROUP BY 1"),
         "soft_weights": (lambda s, d: soft_weights(li(s, d)), f"WITH {LI}, g AS (SELECT source_province AS value, count(DISTINCT source)::DOUBLE / sum(count(DISTINCT source)) OVER () AS share, 1.0::DOUBLE / count(*) OVER () AS target FROM li GROUP BY 1) SELECT *, greatest(0.25::DOUBLE, least(4.0::DOUBLE, 1 + 0.6::DOUBLE * (target - share) / target)) AS weight FROM g"),
-        "ffsd_blocks_fraud": (lambda s, d: prefix_blocks(fraud_runs(ev(s, d))), None),
+        "ffsd_blocks_fraud": (lambda s, d: fraud_blocks(ev(s, d)), f"WITH RECURSIVE {EV}, {ROWS_SQL} SELECT block AS first_seq, max(seq) AS last_seq, count(*) AS rows, count(DISTINCT source) AS users, any_value(kind) AS kind FROM br WHERE kind <> 'normal' GROUP BY block"),
     }
