@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 PIECE = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 

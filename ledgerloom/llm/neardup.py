@@ -210,7 +210,7 @@ def verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         yield pa.record_batch([pa.array(comp), pa.array(rep), pa.array(links), pa.array(rep[root])], ["comp", "rep", "links", "root"])
 
 
-def intersections(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+def intersections(sets: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
     """Sizes of all intersections of a block of sets."""
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
