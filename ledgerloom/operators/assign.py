@@ -109,30 +109,54 @@ def quota_greedy(items: DataFrame, quotas: DataFrame, w_amount: float = 0.35, w_
     return carried(items, [F.desc("amount"), F.col("id")], fold, [0.0] * 2 * len(names), f"id {kind}, amount double, category string", most)
 
 
-def select_with_caps(proposals: DataFrame, caps: dict[str, Column]) -> DataFrame:
-    """Of proposals (id, gain, group columns) a set in which no group holds more rows than its cap, best gains first.
-
-    caps: group column -> cap of a row's group (a column of the proposals). Each pass ranks what is left in every group and accepts the rows
-    whose ranks fit the room of all their groups, then drops rows of full groups; the best row left always fits, so passes end. Only windows
-    over proposals; rows of one group column value share one window, and proposals are one row an entity. Ties go to the smaller id.
+def select_with_caps(proposals: DataFrame, caps: dict[str, Column], order: list[Column] | None = None, parts: int | None = None, few: int = 50_000) -> DataFrame:
+    """What a program takes that visits proposals (id, gain, group columns) in order and takes each whose groups all have room: exactly that set.
+
+    caps: group column -> cap of a row's group (a column of the proposals; null is a group as well). order: best gain first, then the smaller id.
+    A row is decided once its place among the undecided rows before it fits the room of every group: whatever becomes of those, it is taken; as room
+    is kept for them, a full group has only rows behind the ones it took, and these are out. The best row left always fits, so passes end.
+    Places in a group are counted over ranges of the order, so no task holds a group. Once at most `few` rows are undecided one task walks them, in
+    batches, with the room that is left.
     """
-    left = proposals.select("*", *[cap.alias(f"_cap_{c}") for c, cap in caps.items()])
+    spark, groups, columns, schema = proposals.sparkSession, list(caps), proposals.columns, proposals.schema
+    order = order or [F.desc("gain"), F.col("id")]
+    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = proposals.select("*", *[cap.alias(f"_cap_{c}") for c, cap in caps.items()])
+    left = cut_lineage(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
     taken = None
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: dict = {}
+        for b in batches:
+            keep = []
+            for i, (keys, room) in enumerate(zip(b[groups].astype(object).where(b[groups].notna(), None).itertuples(index=False, name=None), b[[f"_cap_{c}" for c in groups]].to_numpy(), strict=True)):
+                held = list(enumerate(keys))
+                if all(used.get(k, 0) < most for k, most in zip(held, room, strict=True)):
+                    keep.append(i)
+                    for k in held:
+                        used[k] = used.get(k, 0) + 1
+            yield b.iloc[keep][columns]
+
     while True:
-        ranked = left.select("*", *[F.row_number().over(Window.partitionBy(c).orderBy(F.desc("gain"), "id")).alias(f"_r_{c}") for c in caps])
-        fits = F.lit(True)
+        if left.count() <= few:
+            new = cut_lineage(left.drop("_range").repartition(1).sortWithinPartitions(*order).mapInPandas(walk, schema))
+            return new if taken is None else taken.union(new)
+        fits, ranked = F.lit(True), left
         for c in caps:
-            fits = fits & (F.col(f"_r_{c}") <= F.col(f"_cap_{c}"))
-        ranked = cut_lineage(ranked.withColumn("_fits", fits))
+            held = left.groupBy(F.col("_range").alias("_r"), F.col(c).alias("_g")).agg(F.count("*").alias("_k"))
+            before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+            held = held.select("_r", "_g", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias(f"_before_{c}"))
+            place = F.row_number().over(Window.partitionBy("_range", c).orderBy(*order))
+            ranked = ranked.withColumn(f"_place_{c}", place).join(held, (F.col("_range") == F.col("_r")) & F.col(c).eqNullSafe(F.col("_g"))).drop("_r", "_g")
+            fits = fits & (F.col(f"_before_{c}") + F.col(f"_place_{c}") <= F.col(f"_cap_{c}"))
+        ranked = cut_lineage(ranked.withColumn("_fits", fits).select(*left.columns, "_fits"))
         new = ranked.where("_fits").select(*proposals.columns)
         taken = new if taken is None else taken.union(new)
-        left = ranked.where("not _fits")
+        left = ranked.where("not _fits").drop("_fits")
         for c in caps:  # what the pass took leaves less room
-            used = ranked.where("_fits").groupBy(c).agg(F.count("*").alias("_used"))
-            left = left.join(used, c, "left").withColumn(f"_cap_{c}", F.col(f"_cap_{c}") - F.coalesce("_used", F.lit(0))).drop("_used").where(F.col(f"_cap_{c}") > 0)
-        left = cut_lineage(left.select(*proposals.columns, *[f"_cap_{c}" for c in caps]))
-        if left.isEmpty():
-            return taken
+            used = ranked.where("_fits").groupBy(F.col(c).alias("_g")).agg(F.count("*").alias("_used"))
+            left = left.join(used, F.col(c).eqNullSafe(F.col("_g")), "left").withColumn(f"_cap_{c}", F.col(f"_cap_{c}") - F.coalesce("_used", F.lit(0))).drop("_used", "_g").where(F.col(f"_cap_{c}") > 0)
+        left = cut_lineage(left)
 
 
 def prefix_lengths(source: np.ndarray, target: np.ndarray, amount: np.ndarray, most: int, tolerance: float) -> Iterator[tuple[int, int, str]]:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators.assign import cut_lineage, select_with_caps
+from ..operators.order import global_rank
 from ..sources.views import LI, table, txn_li
 from .contracts import affected
 from .people import national, user_attributes
@@ -35,6 +36,8 @@ class Rules:
     total_budget: float = 0.35
     category_cap: float = 0.35
     flow: float = 0.12
+    category_least: int = 3
+    least_gain: float = 0.015
     response: float = 0.20
     most_users: int = 60_000
     candidates: int = 8
@@ -187,12 +190,24 @@ def merchant_proposals(state: State, rules: Rules, fresh: DataFrame | None = Non
 
 
 def select_merchants(proposals: DataFrame, merchants: DataFrame, limit: int, rules: Rules) -> DataFrame:
-    """Proposals under the caps of flow into and out of a level2 and of a level1's share of changes, the best `limit` of them."""
-    size = merchants.groupBy("level1").agg(F.count(one).alias("_n"))
+    """First the best `category_least` of each level1, level1 by name, then all others of enough gain by gain: each while its level2 of departure
+    and of arrival have room in their flow, and `limit` in all.
+
+    The limit ends the walk and changes nothing before it, so it is taken last: the first `limit` of those that the flows allow.
+    """
     flow = int(max(1, -(-merchants.count() * rules.flow // 1)))
-    p = proposals.join(F.broadcast(size), "level1").withColumn("id", F.col("target"))
-    kept = select_with_caps(p, {"level1": F.floor(F.col("_n") * rules.round_budget).cast("long"), "new": F.lit(flow), "old": F.lit(flow)})
-    return kept.orderBy(F.desc("gain"), "target").limit(limit).select("target", "level1", "old", "new", "gain")
+    flows = lambda used: {c: F.lit(flow) - (F.coalesce(f"_{c}", F.lit(0)) if used else 0) for c in ("new", "old")}
+    p = proposals.withColumn("id", F.col("target"))
+    by_level = [F.col("level1"), F.desc("gain"), F.col("id")]
+    first = cut_lineage(select_with_caps(p, {"level1": F.lit(rules.category_least), **flows(False)}, by_level))
+    rest = p.where(F.col("gain") >= rules.least_gain).join(first.select("id"), "id", "left_anti")
+    for c in ("new", "old"):
+        rest = rest.join(first.groupBy(F.col(c)).agg(F.count(one).alias(f"_{c}")), c, "left")
+    rest = cut_lineage(rest)
+    second = select_with_caps(rest.where(f"coalesce(_new, 0) < {flow} AND coalesce(_old, 0) < {flow}"), flows(True))
+    both = first.select(F.lit(0).alias("_pass"), *proposals.columns).unionByName(second.select(F.lit(1).alias("_pass"), *proposals.columns))
+    walk = both.withColumn("_by", F.when(F.col("_pass") == 0, F.col("level1")).otherwise(""))
+    return global_rank(walk, [F.col("_pass"), F.col("_by"), F.desc("gain"), F.col("target")], "_i").where(F.col("_i") <= limit).select("target", "level1", "old", "new", "gain")
 
 
 def apply_users(users: DataFrame, changes: DataFrame) -> DataFrame:

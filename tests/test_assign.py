@@ -75,3 +75,59 @@ def test_swaps_pair_ranks_of_reversed_moves(spark):
     got = users.user_swaps(spark.createDataFrame(p, "source long, old string, new string, gain double")).collect()
     assert sorted((r["rank"], r["source"], r["back_source"], r["gain"]) for r in got) == [(1, 2, 3, 1.0), (2, 1, 5, 0.6)]
     assert users.user_swaps(spark.createDataFrame([], "source long, old string, new string, gain double")).count() == 0
+
+
+def walk(rows, caps, order, limit=None):
+    """Visit rows in order; take each whose groups have room."""
+    used, out = {}, []
+    for r in sorted(rows, key=order):
+        keys = [(c, r[c]) for c in caps]
+        if all(used.get(k, 0) < caps[k[0]](r) for k in keys) and (limit is None or len(out) < limit):
+            out.append(r)
+            for k in keys:
+                used[k] = used.get(k, 0) + 1
+    return out
+
+
+def test_selection_is_that_of_a_walk_in_order(spark):
+    """Ties of gain, caps that cross, a hot group, null groups, any number of ranges."""
+    from pyspark.sql import functions as F
+
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        rows = [{"id": i, "gain": float(rng.integers(0, 6)), "g": str(rng.choice(["hot", "hot", "hot", "a", "b"])), "h": None if rng.random() < 0.1 else int(rng.integers(0, 9)), "k": int(rng.integers(0, 3))} for i in range(150)]
+        p = spark.createDataFrame(rows, "id long, gain double, g string, h int, k int").repartition(3)
+        want = walk(rows, {"g": lambda r: 25, "h": lambda r: 8, "k": lambda r: 20 + r["k"]}, lambda r: (-r["gain"], r["id"]))
+        got = assign.select_with_caps(p, {"g": F.lit(25), "h": F.lit(8), "k": 20 + F.col("k")}, parts=1 + 2 * seed, few=(0, 60, 50_000)[seed])
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want)
+
+
+def test_merchants_are_taken_in_two_passes(spark):
+    from dataclasses import replace as with_
+
+    from ledgerloom.plans import loop
+
+    rng = np.random.default_rng(9)
+    rows = [{"target": i, "level1": f"l{i % 4}", "old": f"o{rng.integers(0, 5)}", "new": f"n{rng.integers(0, 5)}", "gain": round(float(rng.choice([0.001, 0.01, 0.02, 0.3, 0.3, 0.5])), 3)} for i in range(160)]
+    rules = with_(loop.Rules(), flow=0.08)
+    flow = math.ceil(160 * 0.08)
+    for limit in (7, 40, 1000):
+        ranked = sorted(rows, key=lambda r: (-r["gain"], r["target"]))
+        used, out = {"old": {}, "new": {}}, []
+        room = lambda r: len(out) < limit and all(used[c].get(r[c], 0) < flow for c in used)
+        def take(r):
+            out.append(r["target"])
+            for c in used:
+                used[c][r[c]] = used[c].get(r[c], 0) + 1
+        for level in sorted({r["level1"] for r in rows}):
+            picked = 0
+            for r in ranked:
+                if r["level1"] == level and picked < rules.category_least and room(r):
+                    take(r)
+                    picked += 1
+        for r in ranked:
+            if r["gain"] >= rules.least_gain and r["target"] not in out and room(r):
+                take(r)
+        df = spark.createDataFrame(rows, "target long, level1 string, old string, new string, gain double")
+        got = loop.select_merchants(df, df, limit, rules)
+        assert sorted(r["target"] for r in got.collect()) == sorted(out)
