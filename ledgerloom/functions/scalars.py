@@ -74,7 +74,7 @@ def circular_distance(a: Column, b: Column, modulus: int) -> Column:
 
 
 def nearly_equal(a: Column, b: Column, tolerance: float = 0.01) -> Column:
-    return F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b), F.lit(1e-9))
+    return F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b), F.lit(1e-6))
 
 
 def stable_id(prefix: str, *columns: Column) -> Column:

@@ -219,10 +219,10 @@ g AS (SELECT target, min(level2) AS brand, count(*) AS frequency, median(amount)
     round(avg(is_weekend::INT), 9) AS weekend, round(avg(is_month_start::INT), 9) AS start, round(avg(is_month_middle::INT), 9) AS middle, round(avg(is_month_end::INT), 9) AS "end", round(avg((source_province <> transaction_province)::INT), 9) AS "out" FROM cal GROUP BY 1),
 q AS (SELECT quantile_cont(raw, 0.995) AS qc, quantile_cont(raw, 0.99) AS qt, quantile_cont(frequency, 0.95) AS qn, quantile_cont(amount, 0.99) AS qm FROM g),
 k AS (SELECT *, coalesce(raw / nullif(coalesce(nullif(amount, 0) * frequency, raw), 0), 1) AS inflation, coalesce(std / nullif(mean, 0), 0) AS cv FROM g, q),
-h AS (SELECT *, greatest(CASE WHEN inflation >= 20 AND cv >= 3 THEN least(raw, amount * frequency * 20) WHEN raw >= qt AND frequency >= qn AND inflation <= 3 AND cv <= 1 THEN raw WHEN raw >= qt THEN least(raw, qc) ELSE raw END, 0) AS effective,
+he AS (SELECT *, greatest(CASE WHEN inflation >= 20 AND cv >= 3 THEN least(raw, amount * frequency * 20) WHEN raw >= qt AND frequency >= qn AND inflation <= 3 AND cv <= 1 THEN raw WHEN raw >= qt THEN least(raw, qc) ELSE raw END, 0) AS effective,
     {both("commute_morning", "commute_evening")} AS commute, {both("lunch", "night", "late_night")} AS dining, {both("night", "late_night")} AS night, {both("workday_morning", "afternoon")} AS work, ({" + ".join(f"(p_{p} >= 0.1)::INT" for p in S.PARTS)}) AS active, greatest(start, middle, "end") AS cycle,
     ({names})[substr(brand, 7)::INT % {len(QUOTAS)} + 1] AS category FROM k),
-r AS (SELECT *, {", ".join(rank(m if m not in ("end", "out") else f'"{m}"').replace('"_rank', '_rank"') for m in MEASURES)} FROM h),
+r AS (SELECT *, {", ".join(rank(m if m not in ("end", "out") else f'"{m}"').replace('"_rank', '_rank"') for m in MEASURES)} FROM he),
 l AS (SELECT *, {", ".join(level(m) for m in MEASURES)} FROM r),
 f AS (SELECT *, 1 - online - offline AS mixed, 1 - offline AS online_or_mixed, greatest(start_rank, end_rank) AS edge, greatest(work_rank, 1 - weekend_rank) AS workday
     FROM (SELECT *, ("out" >= 0.6)::INT AS online, ("out" < 0.6 AND NOT ("out" >= 0.2 OR out_level = 'high' AND "out" >= 0.08))::INT AS offline FROM l))"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators.assign import prefix_blocks, quota_greedy, select_with_caps
+from ..operators.assign import prefix_blocks, select_with_caps
+from ..operators.balance import quota_shards
 from ..sources.views import EV, LI, txn_ev, txn_li
 from .clock import ROWS_SQL, block_rows
 from .profiles import effective_amount, merchant_profile
@@ -24,7 +25,7 @@ def category_quotas(df: DataFrame) -> DataFrame:
 
 def category_allocation(df: DataFrame) -> DataFrame:
     items = effective_amount(merchant_profile(df)).select(F.col("target").alias("id"), F.col("effective_total_amount").alias("amount"))
-    return quota_greedy(items, category_quotas(df)).withColumnRenamed("id", "target")
+    return quota_shards(items, category_quotas(df), 0.35, 0.65).withColumnRenamed("id", "target")
 
 
 def allocation_report(df: DataFrame) -> DataFrame:
