@@ -17,7 +17,7 @@ HIDDEN = re.compile(r"""\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*["'
 #: Elements whose content is code and is not parsed.
 RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "title", "xmp", "noframes"}
 #: Elements that are never part of an article.
-ASIDE = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "canvas", "object", "input", "label", "fieldset"}
+ASIDE = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "canvas", "input", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Elements that may hold a whole article.
@@ -28,33 +28,55 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 AROUND = re.compile(
     r"^(ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|popup|modal|overlay|alert|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|rail|widget\w*|footer|foot|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|byline-links|complementary|contentinfo|navigation)$"
 )
+#: Words before one of these that say whether there is one, or sort what there is: the element itself is none. Words behind one that mean its box.
+ABOUT = {"has", "no", "with", "without", "is", "tag", "category", "hide", "show", "not"}
+BOX = {"list", "section", "box", "area", "wrap", "wrapper", "container", "block", "bar", "links", "posts", "items", "item", "content", "inner", "row", "panel", "group", "icons", "buttons", "form", "title", "text", "body", "meta", "module"}
+#: Elements that hold an article rather than surround one.
+HOLDERS = {"article", "main", "h1"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？…]")
 SPACES = re.compile(r"[ \t\n\r\f\v ]+")
 
 
 def surrounds(tag: str, attributes: str, inside_article: bool) -> bool:
+    """By its element, or hidden."""
     if tag in ASIDE or (tag == "header" and not inside_article):
         return True
-    if not attributes or tag in ("html", "body", "main", "article") and "comment" not in attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)).lower()
-    return any(AROUND.match(w) for name in names.split() for w in {name, *re.split(r"[-_]+", name)})
+    return bool(attributes) and tag not in ("html", "body", "main", "article") and bool(HIDDEN.search(attributes))
+
+
+def named(tag: str, attributes: str) -> int:
+    """What the element's names say: 2 if one is that of a surrounding, 1 if one ends in such a word ("site-footer", "comment-list"), else 0.
+
+    A name of parts means what its last part says; parts that mean a box say nothing, and "has-sidebar" or "comments-open" is no sidebar and no comment.
+    """
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
+    names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)).lower().split()
+    if tag == "article":
+        return 2 * any(name in ("comment", "comments", "reply") for name in names)
+    if any(AROUND.match(name) for name in names):
+        return 2
+    for name in names:
+        parts = [w for w in re.split(r"[-_]+", name) if w]
+        while len(parts) > 1 and parts[-1] in BOX:
+            parts.pop()
+        if parts and parts[0] not in ABOUT and parts[-1] != "side" and AROUND.match(parts[-1]):
+            return 1
+    return 0
 
 
 class Node:
     """A run of text of one block: its tag path, its innermost block element, its text and how much of it is link text."""
 
-    __slots__ = ("element", "linked", "parts", "path")
+    __slots__ = ("away", "element", "linked", "parts", "path")
 
-    def __init__(self, path: int, element: int):
-        self.path, self.element, self.parts, self.linked = path, element, [], 0
+    def __init__(self, path: int, element: int, away: tuple[int, ...]):
+        self.path, self.element, self.away, self.parts, self.linked = path, element, away, [], 0
 
 
 class Page:
-    """Text nodes of a page in order, without what surrounds the article by its element or name.
+    """Text nodes of a page in order, without what surrounds the article by its element; nodes know the elements around them that are named as surroundings.
 
     Block elements have numbers in the order they open (0: none) and tag paths have numbers too, both with their parents, so that work grows with
     the page however deep it nests: open elements are looked up by their tags, and elements close once.
@@ -69,6 +91,9 @@ class Page:
         self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.blocks: list[int] = []  # places of block elements
         self.node: Node | None = None
+        #: Of each element named as a surrounding: how sure its name is, and whether it holds an article, a main part or the page's heading.
+        self.names: list[list] = []
+        self.inside: list[tuple[int, int]] = []  # those that are open: place in the stack, number
         self.read(page)
 
     def text(self, s: str) -> None:
@@ -76,7 +101,7 @@ class Page:
             return
         if self.node is None:
             element, path = self.stack[-1][2:] if self.stack else (0, 0)
-            self.node = Node(path, element)
+            self.node = Node(path, element, tuple(k for _, k in self.inside))
             self.nodes.append(self.node)
         s = html.unescape(s)
         self.node.parts.append(s)
@@ -101,6 +126,9 @@ class Page:
         while len(self.stack) > place:
             tag = self.stack.pop()[0]
             self.open[tag].pop()
+            if self.inside and self.inside[-1][0] == len(self.stack):
+                self.inside.pop()
+                self.node = None
             if tag in BLOCK:
                 self.blocks.pop()
 
@@ -150,8 +178,18 @@ class Page:
                 continue
             self.end_others(tag)
             away = bool(self.stack and self.stack[-1][1]) or surrounds(tag, attributes, self.innermost({"article", "main"}) >= 0)
+            if tag == "button" and self.node is not None and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                away = self.stack[-1][1]  # a word of a sentence
+            if tag in HOLDERS:
+                for _, k in self.inside:
+                    self.names[k][1] = True
             if not attributes.rstrip().endswith("/"):
+                sure = 0 if away else named(tag, attributes)
                 self.push(tag, away)
+                if sure:
+                    self.names.append([sure, tag == "article" and sure < 2])
+                    self.inside.append((len(self.stack) - 1, len(self.names) - 1))
+                    self.node = None
                 if tag in RAW:
                     raw = tag
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -160,15 +198,29 @@ class Page:
             self.text(page[at:])
 
 
+def kept_nodes(page: Page) -> list[tuple[Node, str]]:
+    """Nodes with text that lie in no surrounding by name. A named element that holds an article, a main part or the page's heading is none, nor one whose name
+    only ends in such a word and that has half of the text; if nothing were left, names count for nothing."""
+    rows = [(n, t) for n in page.nodes if (t := SPACES.sub(" ", "".join(n.parts)).strip())]
+    size = [0] * len(page.names)
+    for n, t in rows:
+        for k in n.away:
+            size[k] += len(t)
+    total = sum(len(t) for _, t in rows)
+    gone = [not holds and (sure == 2 or 2 * size[k] < total) for k, (sure, holds) in enumerate(page.names)]
+    return [(n, t) for n, t in rows if not any(gone[k] for k in n.away)] or rows
+
+
 def select(page: Page, smooth: int = 1, share: float = 0.35) -> list[str]:
     """Blocks of the article.
 
     Every tag path has a text ratio (characters a node) and a punctuation ratio (marks a node). Along the page both are
     smoothed over `smooth` neighbours with Gaussian weights and multiplied; a path's score is the mean of its nodes'. Paths over
-    `share` of the mean score by characters are content. The innermost <article> that holds seven tenths of the
-    content, or else the innermost element that holds all of it, is the article; in it, headings and nodes of other paths stay if they are not mostly links.
+    `share` of the mean score by characters are content. All <article> elements with content that are in no other one are the article if they hold seven tenths
+    of the content, together with content that lies between them or in their <main>; else it is the innermost element that holds all content. In it, headings
+    and nodes of other paths stay if they are not mostly links.
     """
-    rows = [(n, t) for n in page.nodes if (t := SPACES.sub(" ", "".join(n.parts)).strip())]
+    rows = kept_nodes(page)
     if not rows:
         return []
     stats: dict[int, list[float]] = {}
@@ -201,15 +253,29 @@ def select(page: Page, smooth: int = 1, share: float = 0.35) -> list[str]:
         held[page.parent[e]] += held[e]
         last[page.parent[e]] = max(last[page.parent[e]], last[e])
     holds = [e for e in range(1, len(held)) if held[e] and page.tags[e] in CONTAINER]
-    article = max((e for e in holds if held[e] >= 0.7 * held[0]), default=None)
-    if article is not None and page.tags[article] != "article":
-        above = page.parent[article]
-        while above and page.tags[above] != "article":
+    articles: list[int] = []
+    for e in holds:
+        if page.tags[e] == "article" and not (articles and e <= last[articles[-1]]):
+            articles.append(e)
+    around = 0
+    if sum(held[e] for e in articles) < 0.7 * held[0]:
+        around, articles = 0, []
+        article = max((e for e in holds if held[e] == held[0]), default=None)
+        wide = article is None or any(n.element == article and page.depth[n.path] <= 2 for n, _ in rows)
+    else:
+        article, wide = None, False
+        above = page.parent[articles[0]]
+        while above and not (page.tags[above] == "main" or (len(articles) > 1 and last[above] >= articles[-1])):
             above = page.parent[above]
-        article = above or max((e for e in holds if held[e] == held[0]), default=None)
-    wide = article is None or any(n.element == article and page.depth[n.path] <= 2 for n, _ in rows)
+        around = above
     out = []
     for n, t in rows:
+        if articles:
+            inside = any(e <= n.element <= last[e] for e in articles)
+            if inside or (around and around <= n.element <= last[around] and n.path in content):
+                if n.path in content or n.linked <= 0.5 * len(t) or inside and page.tags[n.element] == "li":
+                    out.append(t)
+            continue
         if article is not None and not article <= n.element <= last[article]:
             continue
         if n.path in content or (n.linked <= 0.5 * len(t) and (not wide or page.heading[n.path] or not linky(n.path))):

@@ -460,3 +460,21 @@ def test_pipeline_against_brute_force_with_null_and_repeated_ids(spark, tmp_path
     assert plain(mixed) == +want
     got = corpus_pipeline.run(spark, sf).collect()
     assert sum(r["n_tokens"] for r in got) == sum(n * (words(t[docs.columns.index("text")]) + 1) for t, n in want.items())
+
+
+SENTENCE = "Long sentence of the article, with words, that goes on. " * 6
+
+
+@pytest.mark.parametrize("opening", ['<div class="has-sidebar">', '<div class="hentry comments-open">', '<div class="side-by-side">', '<div class="post tag-search">', '<section id="social-policy">', '<article class="post comments-open">', '<body class="comments-open no-sidebar"><article>', '<div class="sidebar"><main>'])
+def test_no_page_is_lost_by_a_name(opening):
+    end = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opening)))
+    page = f'{opening}<h2>Title</h2><p>{SENTENCE}</p><p>Second. {SENTENCE}</p>{end}<div class="site-footer"><p>Foot note.</p></div><ul class="nav-links"><li>Home</li></ul>'
+    got = pages.main_text(page)
+    assert got.count("Long sentence") == 12 and "Second." in got and "Foot note" not in got and "Home" not in got
+
+
+def test_all_articles_and_running_words_stay():
+    assert pages.main_text(f"<main><article><p>{SENTENCE * 3}</p></article><article><p>Short one. {SENTENCE}</p></article></main>").count("Long sentence") == 24
+    got = pages.main_text(f'<article><p>{SENTENCE}</p><p>The <label>term</label> and <button>key</button> stay.</p><ul><li><a href="x">Link one</a></li><li><a href="y">Link two</a></li></ul></article><section class="comments"><p>{SENTENCE * 9}</p></section>')
+    assert got.endswith("The term and key stay.\n\nLink one\n\nLink two") and got.count("Long sentence") == 6
+    assert "Lead." in pages.main_text(f"<main><p>Lead. {SENTENCE}</p><article><p>{SENTENCE * 4}</p></article></main>")
