@@ -46,8 +46,10 @@ class Model:
             self._index[self.grams] = np.arange(len(self.grams))
         return self._index
 
-    def __getstate__(self):
-        return self.__dict__ | {"_index": None}
+    @property
+    def parts(self) -> tuple:
+        """What a broadcast carries: executors need no copy of the library to read it."""
+        return self.labels, self.grams, self.landmarks, self.whiten, self.coef, self.sharpness
 
     def presence(self, texts: list[np.ndarray]) -> np.ndarray:
         """Unit rows: which n-grams of the vocabulary are in each text, however often."""
@@ -160,8 +162,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: landmarks x vocabulary of the sample
-    return rows.mapInArrow(lambda b: _score(b, shared.value), "doc_id long, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)  # bounded: landmarks x vocabulary of the sample
+    return rows.mapInArrow(lambda b: _score(b, Model(*shared.value)), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
@@ -170,12 +172,13 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.3) -> Data
     columns = docs.columns
     if model is None:
         return docs.where("false")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)
 
     def keep(batches):
+        own = Model(*shared.value)
         for b in batches:
             text = pa.record_batch([pa.nulls(len(b), pa.int64()), b.column(b.schema.get_field_index("text")).cast(pa.string())], ["doc_id", "text"])
-            for out in _score(iter([text]), shared.value):
+            for out in _score(iter([text]), own):
                 yield b.filter(pc.and_(pc.not_equal(out.column(1), UNKNOWN), pc.greater_equal(out.column(2), least)))
 
     return docs.mapInArrow(keep, docs.schema).select(*columns)

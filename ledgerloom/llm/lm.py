@@ -146,7 +146,7 @@ def score_rows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, table:
             share = np.where(here, np.log10(np.maximum(c, 1) - inside.discount), 0.0) - inside.total[cls]
             part = table[pairs_of(cls, row, start), cls] + np.where(cls >= OWN, share, 0.0)
             total = lambda x: np.bincount(row, x, rows)  # noqa: B023, E731
-            ids = b.column(0).slice(first, rows).to_numpy(zero_copy_only=False)
+            ids = b.column(0).slice(first, rows)  # as they are: an id may be null, or past what a double holds
             same = np.zeros(rows, np.uint64)
             np.add.at(same, row, fmix(h + np.arange(len(h), dtype=np.uint64) - np.searchsorted(row, np.arange(rows)).astype(np.uint64)[row]))
             rare = np.flatnonzero(~here)
@@ -157,13 +157,13 @@ def score_rows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, table:
             tf = np.diff(np.append(np.flatnonzero(fresh), len(rare)))
             at, zeros = row[key], np.zeros(len(key))
             cols = {
-                "doc_id": np.concatenate([ids, ids[at]]), "same": np.concatenate([same, same[at]]).view(np.int64), "h": np.concatenate([same, h[key]]).view(np.int64),
+                "doc_id": pa.concat_arrays([ids, ids.take(pa.array(at))]), "same": np.concatenate([same, same[at]]).view(np.int64), "h": np.concatenate([same, h[key]]).view(np.int64),
                 "tf": np.concatenate([np.zeros(rows, np.int64), tf]), "heads": np.concatenate([np.ones(rows, np.int64), np.zeros(len(key), np.int64)]),
                 "n": np.concatenate([total(np.ones(len(row))), zeros]).astype(np.int64), "known": np.concatenate([total(here), zeros]).astype(np.int64),
                 "gain": np.concatenate([total(gain), zeros]), "model": np.concatenate([total(part), zeros]),
                 "unseen": np.concatenate([np.zeros(rows), inside.unseen[cls[key]] * tf]),
             }
-            yield pa.record_batch([pa.array(v, from_pandas=True) for v in cols.values()], list(cols))
+            yield pa.record_batch([v if isinstance(v, pa.Array) else pa.array(v) for v in cols.values()], list(cols))
 
 
 def frequent(counts: DataFrame) -> DataFrame:
@@ -216,13 +216,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n1, n2 = (sum(r[k] for r in sums) for k in ("n1", "n2"))
     inside = Inside(float(np.clip(n1 / max(1, n1 + 2 * n2), 0.1, 0.9)), count, distinct)
     n_train, n_distinct = sum(r["c"] for r in sums), sum(r["v"] for r in sums)
-    shared = sc.broadcast(vocabulary)
-    got = training.mapInArrow(lambda b: count_pairs(b, shared.value, start), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    # Broadcasts carry arrays: executors need no copy of the library to read them.
+    shared = sc.broadcast((vocabulary.h, vocabulary.c, vocabulary.own))
+    got = training.mapInArrow(lambda b: count_pairs(b, Vocabulary(*shared.value), start), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
     pairs = np.zeros((OWN + SUFFIX) ** 2)
     pairs[got["pair"].to_numpy(np.int64)] = got["c"].to_numpy(np.float64)
-    model = sc.broadcast((train(pairs.reshape(OWN + SUFFIX, -1)), inside))
+    discount = inside.discount
+    model = sc.broadcast((train(pairs.reshape(OWN + SUFFIX, -1)), discount, count, distinct))
     parts = rows.mapInArrow(
-        lambda b: score_rows(b, shared.value, model.value[0], start, model.value[1]),
+        lambda b: score_rows(b, Vocabulary(*shared.value), model.value[0], start, Inside(*model.value[1:])),
         "doc_id long, same long, h long, tf long, heads long, n long, known long, gain double, model double, unseen double",
     )
     looked = parts.alias("p").join(counts.select("h", F.col("c").alias("_c")).alias("c"), (F.col("p.h") == F.col("c.h")) & (F.col("p.tf") > 0), "left")

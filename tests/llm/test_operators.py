@@ -478,3 +478,33 @@ def test_all_articles_and_running_words_stay():
     got = pages.main_text(f'<article><p>{SENTENCE}</p><p>The <label>term</label> and <button>key</button> stay.</p><ul><li><a href="x">Link one</a></li><li><a href="y">Link two</a></li></ul></article><section class="comments"><p>{SENTENCE * 9}</p></section>')
     assert got.endswith("The term and key stay.\n\nLink one\n\nLink two") and got.count("Long sentence") == 6
     assert "Lead." in pages.main_text(f"<main><p>Lead. {SENTENCE}</p><article><p>{SENTENCE * 4}</p></article></main>")
+
+
+def test_language_model_takes_any_id(spark):
+    """Null ids, ids past 2**53 in one batch with them, repeated rows, long texts."""
+    rows = [(None, "a b c", "en", "s"), (2**60 + 1, "a b", "en", "s"), (2**60 + 3, "a b", "en", "s"), (5, None, "en", "s"), (5, None, "en", "s"), (7, "a " * 50_000, "en", "s"), (None, "a b c", "en", "s")]
+    got = lm.score_documents(frame(spark, rows).coalesce(1)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    assert all(not r["held_out"] and r["n_tokens"] == 4 for r in got if r["doc_id"] is None)
+    assert {r["n_tokens"] for r in got if r["doc_id"] == 7} == {50_001} and {r["n_tokens"] for r in got if r["doc_id"] == 5} == {1}
+
+
+def test_broadcasts_carry_no_classes(spark):
+    """What tasks read must not need the library on executors."""
+    import pickle
+
+    docs = frame(spark, [(i, f"word{i % 3} and more text {i}", "en" if i % 2 else "fr", "s") for i in range(60)])
+    model = language.learn(docs)
+    assert b"ledgerloom" not in pickle.dumps(model.parts)
+
+
+def test_stages_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, [(i, f"same words in this text number {i % 4} of all", "en", f"s{i % 2}") for i in range(12)] + [(None, None, None, None)])
+    docs = docs.withColumns({"row": F.lit(1), "copies": F.lit(2), "size": F.lit(3), "copy": F.lit(4), "_copies": F.lit(5), "_row": F.lit(6), "keep": F.lit(7)})
+    first = corpus_pipeline.one_of_a_group(spark, docs, "")
+    assert first.columns == docs.columns and first.count() == 5 and {r["row"] for r in first.collect()} == {1}
+    mixed = corpus_pipeline.mixed_sources(spark, first, "")
+    assert mixed.columns == docs.columns and {(r["copies"], r["copy"], r["_copies"], r["keep"]) for r in mixed.collect()} == {(2, 4, 5, 7)}
+    assert corpus_pipeline.mixed_sources(spark, corpus_pipeline.one_of_a_group(spark, docs.where("false"), ""), "").count() == 0
