@@ -68,3 +68,15 @@ def average_ranks(rows: DataFrame, key: str, group: str, measures: list[str], su
     placed = ranged.withColumn("_i", inside).join(held, ["_range", group, "_m"]).select(group, "_m", "_v", rank.alias("_r"))
     found = long.join(placed, [group, "_m", "_v"]).groupBy(key).agg(*[F.max(F.when(F.col("_m") == i, F.col("_r"))).alias(f"{m}{suffix}") for i, m in enumerate(measures)])
     return rows.select(key).join(found, key, "left").na.fill(0.5)
+
+
+def running_counts(df: DataFrame, group: str, order: list[str], flags: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """For each flag, how many rows of the group up to and with this one by `order` have it: counted inside ranges of (group, order), plus what the
+    group's earlier ranges have. A group with most rows lies in many ranges."""
+    ranged = in_ranges(df.withColumns({f"_f_{c}": F.coalesce(x, F.lit(False)).cast("long") for c, x in flags.items()}), [group, *order], parts)
+    earlier = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.groupBy(F.col("_range").alias("_r"), F.col(group).alias("_g")).agg(*[F.sum(f"_f_{c}").alias(f"_s_{c}") for c in flags])
+    held = held.select("_r", "_g", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in flags])
+    inside = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.withColumns({c: F.sum(f"_f_{c}").over(inside) for c in flags}).join(held, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return rows.withColumns({c: F.col(c) + F.col(f"_b_{c}") for c in flags}).select(*df.columns, *flags)
