@@ -151,8 +151,8 @@ def queries() -> dict:
     odd = "x0 AS (SELECT c_custkey AS source, CASE WHEN c_custkey % 40 = 3 THEN ' ' WHEN c_custkey % 50 = 7 THEN 'Atlantis' ELSE n_name END AS province FROM customer JOIN nation ON c_nationkey = n_nationkey), x AS (SELECT * FROM x0 UNION ALL SELECT * FROM x0 WHERE source % 60 = 5)"
     return {
         "region_priors_long": (every, f"WITH {PRIORS} SELECT 'gender' AS field, * FROM gp UNION ALL SELECT 'education', * FROM ep UNION ALL SELECT 'occupation', * FROM op"),
-        "normalize_prob": (lambda s, d: S.normalized(table(s, d, "customer").select("c_nationkey", "c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("p")).where("c_acctbal < 500"), ["c_nationkey"], "p"),
-            "SELECT c_nationkey, c_custkey, CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END AS p FROM (SELECT *, greatest(c_acctbal, 0) AS p FROM customer WHERE c_acctbal < 500) WINDOW w AS (PARTITION BY c_nationkey)"),
+        "normalize_prob": (lambda s, d: S.normalized(table(s, d, "customer").select("c_nationkey", "c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("p")), ["c_nationkey"], "p"),
+            "SELECT c_nationkey, c_custkey, CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END AS p FROM (SELECT *, greatest(c_acctbal, 0) AS p FROM customer) WINDOW w AS (PARTITION BY c_nationkey)"),
         "relative_levels": (lambda s, d: relative_levels(s, d).withColumn("level", S.relative_level(F.col("raw"))), f"WITH {PRIORS} SELECT * FROM rv"),
         "relative_level_violations": (lambda s, d: level_violations(relative_levels(s, d).withColumn("raw", F.when(F.col("province").endswith("1"), "0%").when(F.col("province").endswith("2"), "412%").when(F.col("province").endswith("3"), "n/a").otherwise(F.col("raw")))),
             f"WITH {PRIORS}, z AS (SELECT province, CASE WHEN province LIKE '%1' THEN '0%' WHEN province LIKE '%2' THEN '412%' WHEN province LIKE '%3' THEN 'n/a' ELSE raw END AS raw FROM rl), y AS (SELECT province, raw, CASE WHEN raw LIKE '%\\%' ESCAPE '\\' THEN try_cast(replace(raw, '%', '') AS DOUBLE) / 100 WHEN try_cast(raw AS DOUBLE) > 3 THEN try_cast(raw AS DOUBLE) / 100 ELSE try_cast(raw AS DOUBLE) END AS level FROM z) SELECT * FROM y WHERE level IS NULL OR level <= 0 OR level > 3"),

@@ -257,10 +257,10 @@ def queries() -> dict:
     top = lambda k, v, src, n=3: f"(SELECT {k}, list({v} ORDER BY r) AS top FROM (SELECT {k}, {v}, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, {v}) AS r FROM {src} GROUP BY {k}, {v}) WHERE r <= {n} GROUP BY {k})"
     det = "CASE p_brand " + " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in DETAILS.items()) + " ELSE [p_brand] END"
     kw = lambda f: "CASE " + " ".join(f"WHEN {' OR '.join(f(k) for k in keys)} THEN '{n}'" for n, keys in KEYWORDS) + " END"
-    tok = "t AS (SELECT DISTINCT o_custkey AS source, o_orderpriority AS token FROM orders WHERE o_orderkey % 5 < 2)"
+    tok = "t AS (SELECT DISTINCT o_custkey AS source, o_orderpriority AS token FROM orders)"
     ind = "i(token, industry, n) AS (VALUES " + ", ".join(f"('{k}', '{x}', {len(v)})" for k, v in INDUSTRIES.items() for x in v) + ")"
     mix = f"WITH {tok}, {ind}, m AS (SELECT source, industry, sum(1.0::DOUBLE / n) AS w FROM t JOIN i USING (token) GROUP BY 1, 2), x AS (SELECT source, industry, w / sum(w) OVER (PARTITION BY source) AS share FROM m)"
-    tokens = lambda s, d: table(s, d, "orders").where("o_orderkey % 5 < 2").groupBy(F.col("o_custkey").alias("source")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("tokens"))
+    tokens = lambda s, d: table(s, d, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("tokens"))
     cdist = f"WITH {LI}, c AS (SELECT level1, level2, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY level1) AS share FROM li GROUP BY 1, 2)"
     dist = lambda s, d: li(s, d).groupBy("level1", "level2").agg(F.count(one).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W("level1"))).groupBy("level1").agg(F.collect_list(F.struct(F.concat(F.lit("b:"), "level2").alias("key"), "share")).alias("e"))
     wide = lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(*[F.avg((F.col("c_mktsegment") == v).cast("int")).alias(v.lower()) for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
