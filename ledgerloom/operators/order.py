@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,13 +74,41 @@ def average_ranks(rows: DataFrame, key: str, group: str, measures: list[str], su
     return rows.select(key).join(found, key, "left").na.fill(0.5)
 
 
-def running_counts(df: DataFrame, group: str, order: list[str], flags: dict[str, Column], parts: int | None = None) -> DataFrame:
-    """For each flag, how many rows of the group up to and with this one by `order` have it: counted inside ranges of (group, order), plus what the
-    group's earlier ranges have. A group with most rows lies in many ranges."""
-    ranged = in_ranges(df.withColumns({f"_f_{c}": F.coalesce(x, F.lit(False)).cast("long") for c, x in flags.items()}), [group, *order], parts)
+def running_sums(df: DataFrame, group: str, order: list[str], values: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """For each of `values` (whole numbers), its sum over the rows of the group up to and with this one by `order`: summed inside ranges of (group,
+    order), plus what the group's earlier ranges hold. A group with most rows lies in many ranges."""
+    ranged = in_ranges(df.withColumns({f"_f_{c}": x.cast("long") for c, x in values.items()}), [group, *order], parts)
     earlier = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    held = ranged.groupBy(F.col("_range").alias("_r"), F.col(group).alias("_g")).agg(*[F.sum(f"_f_{c}").alias(f"_s_{c}") for c in flags])
-    held = held.select("_r", "_g", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in flags])
+    held = ranged.groupBy(F.col("_range").alias("_r"), F.col(group).alias("_g")).agg(*[F.sum(f"_f_{c}").alias(f"_s_{c}") for c in values])
+    held = held.select("_r", "_g", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in values])
     inside = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.withColumns({c: F.sum(f"_f_{c}").over(inside) for c in flags}).join(held, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
-    return rows.withColumns({c: F.col(c) + F.col(f"_b_{c}") for c in flags}).select(*df.columns, *flags)
+    rows = ranged.withColumns({c: F.sum(f"_f_{c}").over(inside) for c in values}).join(held, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return rows.withColumns({c: F.col(c) + F.col(f"_b_{c}") for c in values}).select(*df.columns, *values)
+
+
+def running_counts(df: DataFrame, group: str, order: list[str], flags: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """For each flag, how many rows of the group up to and with this one by `order` have it."""
+    return running_sums(df, group, order, {c: F.coalesce(x, F.lit(False)) for c, x in flags.items()}, parts)
+
+
+def shortest_prefix(moves: DataFrame, counts: DataFrame, bounds: DataFrame, order: list[str], costs: dict[str, Callable[[Column], Column]], parts: int | None = None) -> DataFrame:
+    """Of each scope the fewest first moves by `order` after which every cost is within its bound; all moves where no prefix is.
+
+    moves: scope, leaves, joins: one row goes from one value of its scope to another. counts: scope, value, k (rows that have it now), and what
+    costs read; a row for every value. costs: name -> cost of a value that `k` rows have, a whole number; a scope's cost is the sum over its values.
+    bounds: scope and a column a cost. Scopes and values are not null, `order` is total.
+    A move changes the counts of two values and with them two costs, so costs after each move are running sums of running sums over ranges: no move
+    is tried, and no task holds a scope.
+    """
+    placed = cut_lineage(running_sums(moves, "scope", order, {"_place": F.lit(1)}, parts))
+    both = F.inline(F.array(*[F.struct(F.col(c).alias("value"), F.lit(d).alias("_d")) for c, d in (("leaves", -1), ("joins", 1))]))
+    events = placed.where("leaves <> joins").select("scope", "_place", both).withColumn("_key", F.struct("scope", "value"))
+    events = running_sums(events, "_key", ["_place"], {"_sum": F.col("_d")}, parts).join(counts, ["scope", "value"])
+    after = F.col("k") + F.col("_sum")
+    steps = events.groupBy("scope", "_place").agg(*[F.sum(cost(after) - cost(after - F.col("_d"))).alias(f"_by_{c}") for c, cost in costs.items()])
+    start = counts.groupBy("scope").agg(*[F.sum(cost(F.col("k"))).alias(f"_at_{c}") for c, cost in costs.items()]).join(bounds, "scope")
+    within = lambda gone: reduce(and_, [F.col(f"_at_{c}") + (F.col(f"_to_{c}") if gone else 0) <= F.col(c) for c in costs])
+    gone = running_sums(steps, "scope", ["_place"], {f"_to_{c}": F.col(f"_by_{c}") for c in costs}, parts).join(start, "scope")
+    first = start.where(within(False)).select("scope", F.lit(0).cast("long").alias("_first")).unionByName(gone.where(within(True)).select("scope", F.col("_place").alias("_first")))
+    first = first.groupBy("scope").agg(F.min("_first").alias("_first"))
+    return placed.join(first, "scope", "left").where("_first IS NULL OR _place <= _first").select(*moves.columns)

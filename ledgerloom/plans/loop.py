@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators.assign import cut_lineage, select_with_caps
-from ..operators.order import global_rank
+from ..operators.order import global_rank, running_counts, shortest_prefix
 from ..sources.views import LI, table, txn_li
 from .contracts import affected
 from .people import national, user_attributes
@@ -28,7 +28,7 @@ FIELDS = ("age", "education", "occupation")
 class Rules:
     """Weights of scores, budgets and limits of the refinement."""
 
-    rounds: int = 3
+    rounds: int = 12
     least_tx: int = 5
     least_partners: int = 3
     penalty: float = 0.03
@@ -237,6 +237,12 @@ def user_errors(users: DataFrame, prior: DataFrame) -> DataFrame:
     return user_shares(users, prior).groupBy("field").agg((F.sum(F.abs(F.col("share") - F.col("goal"))) / 2).alias("tvd"))
 
 
+def user_limits(state: State, rules: Rules) -> DataFrame:
+    """(field, limit): how far from its prior a field may be; one that missed it from the start must not miss it by more."""
+    eps = F.create_map(*[F.lit(x) for kv in rules.epsilon.items() for x in kv])
+    return user_errors(state.first_users, state.prior).select("field", F.greatest(F.try_element_at(eps, F.col("field")), F.col("tvd") + 0.01).alias("limit"))
+
+
 def constraint_violations(state: State, rules: Rules) -> DataFrame:
     """A row for each limit that the state breaks: kind, metric, scope, value, limit."""
     s = structure(state)
@@ -246,56 +252,88 @@ def constraint_violations(state: State, rules: Rules) -> DataFrame:
     out = out.unionByName(s.where(F.col("change_rate") > rules.category_cap).select(*row("mcc", "category_change_rate", F.col("level1"), F.col("change_rate"), F.lit(rules.category_cap))))
     out = out.unionByName(s.where("active < least_active").select(*row("mcc", "active_level2_count", F.col("level1"), F.col("active"), F.col("least_active"))))
     out = out.unionByName(s.where("max_share > share_limit").select(*row("mcc", "max_level2_share", F.col("level1"), F.col("max_share"), F.col("share_limit"))))
-    first = user_errors(state.first_users, state.prior).withColumnRenamed("tvd", "_first")
-    eps = F.create_map(*[F.lit(x) for kv in rules.epsilon.items() for x in kv])
-    # A field that missed its prior from the start must not miss it by more.
-    limit = F.greatest(F.try_element_at(eps, F.col("field")), F.col("_first") + 0.01)
-    e = user_errors(state.users, state.prior).join(first, "field").withColumn("_l", limit)
+    e = user_errors(state.users, state.prior).join(user_limits(state, rules).withColumnRenamed("limit", "_l"), "field")
     return out.unionByName(e.where("tvd > _l").select(*row("user", "tvd", F.col("field"), F.col("tvd"), F.col("_l"))))
 
 
+def over_budget(state: State, rules: Rules) -> DataFrame:
+    """Changed merchants that must go back for the shares of changes alone: as many as all level1 together are over, then as many as a level1 is still
+    over. Those of least gain go (a merchant of several changes: its least), and those of a level1 with few changes after all others.
+    Returns target, level1, old, new, gain, back."""
+    first = state.first_merchants.select("target", F.col("level2").alias("new"))
+    made = state.history.where("kind = 'merchant'").groupBy(F.col("entity").alias("target")).agg(F.min("gain").alias("gain"), F.count(one).alias("_k"))
+    few = state.merchants.join(made, "target").groupBy("level1").agg((F.sum("_k") <= rules.category_least).alias("_few"))
+    changed = state.merchants.join(first, "target").where("level2 <> new").join(made, "target").join(few, "level1").withColumnRenamed("level2", "old")
+    ranked = cut_lineage(global_rank(changed.select("target", "level1", "old", "new", "gain", "_few"), ["_few", "gain", "target"], "_all"))
+    excess = ranked.count() - int(state.merchants.count() * rules.total_budget)
+    ranked = ranked.withColumn("_total", F.col("_all") <= excess)
+    placed = running_counts(ranked, "level1", ["_total", "gain", "target"], {"_place": ~F.col("_total")})
+    room = state.merchants.groupBy("level1").agg(F.floor(F.count(one) * rules.category_cap).alias("_room"))
+    over = placed.groupBy("level1").agg(F.max("_place").alias("_left")).join(room, "level1").select("level1", (F.col("_left") - F.col("_room")).alias("_over"))
+    back = F.col("_total") | (F.col("_place") <= F.col("_over"))
+    return cut_lineage(placed.join(over, "level1").select("target", "level1", "old", "new", "gain", back.alias("back")))
+
+
+def out_of_shape(state: State, changed: DataFrame) -> DataFrame:
+    """The fewest changed merchants of each level1, least gain first, whose return leaves enough level2 in use and none with too large a share."""
+    values = state.merchants.select("level1", "level2").union(state.first_merchants.select("level1", "level2")).distinct()
+    held = values.join(state.merchants.groupBy("level1", "level2").agg(F.count(one).alias("k")), ["level1", "level2"], "left").na.fill(0, ["k"])
+    shape = structure(state).select("level1", "merchants", "share_limit", "least_active")
+    counts = held.join(shape, "level1").withColumnsRenamed({"level1": "scope", "level2": "value"})
+    unused = F.count(one) - F.max("least_active")
+    bounds = counts.groupBy("scope").agg(unused.alias("idle"), F.lit(0).alias("crowded"))
+    costs = {"idle": lambda k: (k == 0).cast("long"), "crowded": lambda k: (k / F.col("merchants") > F.col("share_limit")).cast("long")}
+    moves = changed.select(F.col("level1").alias("scope"), F.col("old").alias("leaves"), F.col("new").alias("joins"), "target", "gain")
+    back = shortest_prefix(moves, counts, bounds, ["gain", "target"], costs)
+    return back.select("target", F.col("scope").alias("level1"), F.col("leaves").alias("old"), F.col("joins").alias("new"), "gain")
+
+
+def off_prior(state: State, rules: Rules) -> DataFrame:
+    """The fewest single changes of each field, least gain first, whose undoing brings the field's values near enough to their prior."""
+    held = state.users.groupBy("field", "value").agg(F.count(one).alias("k")).join(state.prior, ["field", "value"], "full").na.fill(0, ["k"]).na.fill(0.0, ["prob"])
+    size = state.users.groupBy("field").agg(F.count(one).alias("_n"))
+    counts = held.join(size, "field").withColumnRenamed("field", "scope")
+    unit = 10**12  # distances are counted in whole units, so that sums do not depend on their order
+    bounds = user_limits(state, rules).select(F.col("field").alias("scope"), (F.floor(2 * unit * F.col("limit")) - unit // 10**9).alias("off"))
+    moves = state.history.where("kind = 'user' AND mode = 'single'").select(F.col("field").alias("scope"), F.col("new").alias("leaves"), F.col("old").alias("joins"), "entity", "gain")
+    back = shortest_prefix(moves, counts, bounds, ["gain", "entity"], {"off": lambda k: F.round(F.abs(k / F.col("_n") - F.col("prob")) * unit).cast("long")})
+    return back.select(F.col("entity").alias("source"), F.col("scope").alias("field"), F.col("leaves").alias("old"), F.col("joins").alias("new"), "gain")
+
+
 def repair(state: State, rules: Rules) -> tuple[State, DataFrame]:
-    """Undo the changes of least gain until no limit is broken: merchants over a level1's or the total share of changes go back to their first level2 at
-    once, as many as are over; then those of single user changes of broken fields, a tenth at a time. Returns the state and what was undone."""
-    undone = state.history.where("false")
-    for _ in range(12):
-        broken = {(r["kind"], r["metric"], r["scope"]) for r in constraint_violations(state, rules).collect()}  # limits: a few rows
-        if not broken:
-            break
-        first = state.first_merchants.select("target", F.col("level2").alias("_f"))
-        gains = state.history.where("kind = 'merchant'").groupBy(F.col("entity").alias("target")).agg(F.min("gain").alias("gain"))
-        changed = state.merchants.join(first, "target").where("level2 <> _f").join(gains, "target", "left")
-        size = F.broadcast(state.merchants.groupBy("level1").agg(F.count(one).alias("_n")))
-        over = changed.join(size, "level1").withColumn("_r", F.row_number().over(W("level1").orderBy(F.coalesce("gain", F.lit(0.0)), "target"))).withColumn("_c", F.count(one).over(W("level1")))
-        share = min(rules.category_cap, rules.total_budget) if any(m == "total_change_rate" for _, m, _ in broken) else rules.category_cap
-        excess = F.col("_c") - F.floor(F.col("_n") * share)
-        excess = F.greatest(excess, F.when(F.col("level1").isin(*[s for k, m, s in broken if m in ("active_level2_count", "max_level2_share")] or [""]), F.ceil(F.col("_c") / 10)).otherwise(0))
-        back = cut_lineage(over.where(F.col("_r") <= excess).select("target", "level1", F.col("level2").alias("old"), F.col("_f").alias("new"), F.coalesce("gain", F.lit(0.0)).alias("gain")))
-        fields = [s for k, m, s in broken if k == "user"]
-        single = state.history.where(F.col("kind").eqNullSafe("user") & (F.col("mode") == "single") & F.col("field").isin(*fields or [""])).join(undone.where("kind = 'user'").select("entity", "field"), ["entity", "field"], "left_anti")
-        step = single.withColumn("_r", F.row_number().over(W("field").orderBy("gain", "entity"))).withColumn("_c", F.count(one).over(W("field"))).where(F.col("_r") <= F.ceil(F.col("_c") / 10))
-        users = cut_lineage(step.select(F.col("entity").alias("source"), "field", F.col("new").alias("old"), F.col("old").alias("new"), "gain"))
-        if back.isEmpty() and users.isEmpty():
-            break
-        undone = undone.unionByName(recorded(back, "merchant", 0, "repair")).unionByName(recorded(users, "user", 0, "repair"))
-        state = replace(state, merchants=apply_merchants(state.merchants, back), users=apply_users(state.users, users))
-    return state, undone
+    """Undo changes of least gain until no limit is broken, and no more than that: merchants go back to their first level2 for shares of changes, then
+    for the shape of their level1; single user changes go back for distances from the prior.
+
+    What is undone is what a program undoes that takes back one change after the other and looks at all limits again: limits of one level1 or field
+    are not touched by another's changes. A limit that all changes undone do not mend stays broken. Returns the state and what was undone.
+    """
+    if constraint_violations(state, rules).isEmpty():
+        return state, state.history.where("false")
+    changed = over_budget(state, rules)
+    over = changed.where("back").drop("back")
+    state = replace(state, merchants=apply_merchants(state.merchants, over))
+    shape = cut_lineage(out_of_shape(state, changed.where("not back")))
+    users = cut_lineage(off_prior(state, rules))
+    undone = recorded(over, "merchant", 0, "repair").unionByName(recorded(shape, "merchant", 0, "repair")).unionByName(recorded(users, "user", 0, "repair"))
+    return replace(state, merchants=apply_merchants(state.merchants, shape), users=apply_users(state.users, users)), undone
 
 
 def run(spark: SparkSession, d: str, rules: Rules = Rules()) -> tuple[State, list[dict], str, DataFrame]:  # noqa: B008
     """Rounds of both sides, users first, until a stop rule holds; then repair. Returns the state, a report a round, why it stopped, what repair undid.
 
-    Once the first-time budget of a side is spent, entities that the other side's last changes touch may still change (a fifth of those that gain).
+    In the rounds after the one that spends a side's budget, entities that the other side's last changes touch may still change (a fifth of those that
+    gain): users two rounds after, for merchants of the round before; merchants one round after, for users of the same round. Only changes within
+    a budget call forth such answers, answers do not; so once both budgets are spent changes end.
     """
     state, reports, low, reason = begin(spark, d), [], 0, "max_iterations"
     n_users, n_merchants = state.users.select("source").distinct().count(), state.merchants.count()
-    spent = {"user": 0, "merchant": 0}
+    spent, emptied = {"user": 0, "merchant": 0}, {"user": rules.rounds, "merchant": rules.rounds}
     last_merchants: DataFrame | None = None
     for i in range(1, rules.rounds + 1):
         eligible = user_profiles(state, rules).count()
         left = int(eligible * rules.total_budget) - spent["user"]
         moved = state.history.where("kind = 'user'").select(F.col("entity").alias("source"), "field")
-        response = left <= 0 and last_merchants is not None
+        response = i - 1 > emptied["user"] and last_merchants is not None
         only = affected(state.visits, last_merchants, "target", "source") if response else None
         proposals = cut_lineage(user_proposals(state, rules, only).join(moved, ["source", "field"], "left_anti")) if left > 0 or response else None
         users = None
@@ -306,12 +344,15 @@ def run(spark: SparkSession, d: str, rules: Rules = Rules()) -> tuple[State, lis
             state = replace(state, users=apply_users(state.users, users), history=state.history.unionByName(recorded(users, "user", i)))
         a = users.agg(F.count(one), F.sum("gain")).first() if users is not None else (0, 0.0)
         spent["user"] += 0 if response else a[0]
+        first_users = users if users is not None and not response and a[0] else None
+        if spent["user"] >= int(eligible * rules.total_budget):
+            emptied["user"] = min(i, emptied["user"])
         profiles = merchant_profiles(state)
         able = profiles.where((F.col("n") >= rules.least_tx) | (F.col("users") >= rules.least_partners)).count()
         left = int(able * rules.total_budget) - spent["merchant"]
         fresh = state.history.where("kind = 'merchant'").select(F.col("entity").alias("target"))
-        response = left <= 0 and users is not None
-        only = affected(state.visits, users, "source", "target") if response else None
+        response = i > emptied["merchant"] and first_users is not None
+        only = affected(state.visits, first_users, "source", "target") if response else None
         changed = None
         if left > 0 or response:
             proposals = cut_lineage(merchant_proposals(state, rules, None if response else fresh, only))
@@ -322,7 +363,9 @@ def run(spark: SparkSession, d: str, rules: Rules = Rules()) -> tuple[State, lis
             state = replace(state, merchants=apply_merchants(state.merchants, changed), history=state.history.unionByName(recorded(changed, "merchant", i, "response" if response else "first")))
         b = changed.agg(F.count(one), F.sum("gain")).first() if changed is not None else (0, 0.0)
         spent["merchant"] += 0 if response else b[0]
-        last_merchants = changed.select("target") if changed is not None else None
+        last_merchants = changed.select("target") if changed is not None and not response and b[0] else None
+        if spent["merchant"] >= int(able * rules.total_budget):
+            emptied["merchant"] = min(i, emptied["merchant"])
         errors = {r["field"]: float(r["tvd"]) for r in user_errors(state.users, state.prior).collect()}
         mean = ((a[1] or 0.0) + (b[1] or 0.0)) / max(1, a[0] + b[0])
         reports.append({"iteration": i, "users": int(a[0]), "merchants": int(b[0]), "gain_mean": float(mean), **{f"tvd_{f}": errors.get(f, 0.0) for f in FIELDS}})
@@ -342,14 +385,20 @@ def run(spark: SparkSession, d: str, rules: Rules = Rules()) -> tuple[State, lis
 
 # Why a run stops, in words.
 REASONS = {"max_iterations": "all rounds were run", "change_rate_below_threshold": "both sides change too little", "too_few_accepted_changes": "too few changes were accepted", "accepted_gain_decay": "accepted gains stay small"}
-_runs: dict[tuple[str, str], tuple] = {}
+_runs: dict[tuple, tuple] = {}
+
+
+def stamp(spark: SparkSession, d: str) -> tuple:
+    """What tells the tables of one folder from those of another, or from their own later versions: when each file was written."""
+    seen = F.max("_metadata.file_modification_time").cast("string").alias("t"), F.sum(F.lit(1)).alias("n")
+    return d, *[tuple(table(spark, d, t).agg(*seen).first()) for t in ("lineitem", "orders", "customer", "part", "nation", "region")]
 
 
 def once(spark: SparkSession, d: str) -> tuple:
-    """The run over one folder, shared by the queries of a session."""
-    key = (spark.sparkContext.applicationId, d)
+    """The run over one folder, shared by the queries of a session; tables written anew are run anew."""
+    key = (spark.sparkContext.applicationId, *stamp(spark, d))
     if key not in _runs:
-        _runs[key] = run(spark, d, Rules(rounds=2))
+        _runs[key] = run(spark, d)
     return _runs[key]
 
 
