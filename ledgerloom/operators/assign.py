@@ -1,4 +1,4 @@
-"""Assignments that carry running totals or budgets: greedy quotas, selection under caps, prefix blocks."""
+"""Assignments that carry running totals or budgets: greedy quotas, selection under caps."""
 
 from __future__ import annotations
 
@@ -157,32 +157,3 @@ def select_with_caps(proposals: DataFrame, caps: dict[str, Column], order: list[
             used = ranked.where("_fits").groupBy(F.col(c).alias("_g")).agg(F.count("*").alias("_used"))
             left = left.join(used, F.col(c).eqNullSafe(F.col("_g")), "left").withColumn(f"_cap_{c}", F.col(f"_cap_{c}") - F.coalesce("_used", F.lit(0))).drop("_used", "_g").where(F.col(f"_cap_{c}") > 0)
         left = cut_lineage(left)
-
-
-def prefix_lengths(source: np.ndarray, target: np.ndarray, amount: np.ndarray, most: int, tolerance: float) -> Iterator[tuple[int, int, str]]:
-    """(start, length, kind) of the blocks of one run: the longest prefix, up to `most` rows, of equal amounts, one pair, one target or one source."""
-    i, n = 0, len(amount)
-    while i < n:
-        end = min(n, i + most)
-        near = np.abs(amount[i:end] - amount[i]) <= tolerance * np.maximum(np.maximum(np.abs(amount[i:end]), abs(amount[i])), 1e-9)
-        kinds = {"equal_amount": near, "same_target": target[i:end] == target[i], "same_source": source[i:end] == source[i]}
-        reach = {k: len(v) if v.all() else int(np.argmin(v)) for k, v in kinds.items()}
-        size = max(reach.values())
-        if size < 2:
-            yield i, 1, "isolated_fraud"
-        else:
-            pair = min(reach["same_target"], reach["same_source"]) >= size
-            yield i, size, "equal_amount" if reach["equal_amount"] >= size else "same_pair" if pair else "same_target" if reach["same_target"] >= size else "same_source"
-        i += max(size, 1)
-
-
-def prefix_blocks(rows: DataFrame, most: int = 20, tolerance: float = 0.01) -> DataFrame:
-    """Cut runs of rows (_run, seq, source, target, amount) into blocks. Returns run, first_seq, last_seq, rows, kind."""
-
-    def one(key: tuple, run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("seq")
-        seq = run["seq"].to_numpy()
-        cut = prefix_lengths(run["source"].to_numpy(), run["target"].to_numpy(), run["amount"].to_numpy(dtype=float), most, tolerance)
-        return pd.DataFrame([(key[0], seq[i], seq[i + n - 1], n, kind) for i, n, kind in cut], columns=["run", "first_seq", "last_seq", "rows", "kind"])
-
-    return rows.select("_run", "seq", "source", "target", "amount").groupBy("_run").applyInPandas(one, "run long, first_seq long, last_seq long, rows int, kind string")

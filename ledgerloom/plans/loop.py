@@ -338,8 +338,8 @@ def run(spark: SparkSession, d: str, rules: Rules = Rules()) -> tuple[State, lis
         proposals = cut_lineage(user_proposals(state, rules, only).join(moved, ["source", "field"], "left_anti")) if left > 0 or response else None
         users = None
         if proposals is not None:
-            n = proposals.count()
-            limit = max(1, -(-int(n * rules.response) // 1)) if response else min(left, int(-(-eligible * rules.round_budget // 1)))
+            able = proposals.select("source").distinct().count() if response else 0
+            limit = max(1, int(-(-able * rules.response // 1))) if response else min(left, int(-(-eligible * rules.round_budget // 1)))
             users = cut_lineage(select_users(proposals, limit))
             state = replace(state, users=apply_users(state.users, users), history=state.history.unionByName(recorded(users, "user", i)))
         a = users.agg(F.count(one), F.sum("gain")).first() if users is not None else (0, 0.0)
@@ -357,7 +357,7 @@ def run(spark: SparkSession, d: str, rules: Rules = Rules()) -> tuple[State, lis
         if left > 0 or response:
             proposals = cut_lineage(merchant_proposals(state, rules, None if response else fresh, only))
             n = proposals.count()
-            limit = max(1, -(-int(n * rules.response) // 1)) if response else min(left, int(-(-able * rules.round_budget // 1)))
+            limit = max(1, int(-(-n * rules.response // 1))) if response else min(left, int(-(-able * rules.round_budget // 1)))
             changed = cut_lineage(select_merchants(proposals, state.merchants, limit, rules)) if n else None
         if changed is not None:
             state = replace(state, merchants=apply_merchants(state.merchants, changed), history=state.history.unionByName(recorded(changed, "merchant", i, "response" if response else "first")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators.assign import prefix_blocks, select_with_caps
+from ..operators.assign import select_with_caps
 from ..operators.balance import quota_shards
 from ..sources.views import EV, LI, txn_ev, txn_li
 from .clock import ROWS_SQL, block_rows
@@ -86,12 +86,6 @@ def soft_weights(df: DataFrame) -> DataFrame:
     return g.select("*", F.greatest(F.lit(0.25), F.least(F.lit(4.0), 1 + 0.6 * (F.col("target") - F.col("share")) / F.col("target"))).alias("weight"))
 
 
-def fraud_runs(df: DataFrame) -> DataFrame:
-    """Fraud rows of a source between its other rows: a run is named by the last other row before it and its source."""
-    before = F.max(F.when(F.col("label") != 1, F.col("seq"))).over(W("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("_run", F.xxhash64("source", F.coalesce(before, F.lit(-1)))).where("label = 1")
-
-
 def fraud_blocks(df: DataFrame) -> DataFrame:
     """A row for each block of fraud rows in the order of all transactions, with the number of its users."""
     return block_rows(df).where("kind <> 'normal'").groupBy(F.col("block").alias("first_seq")).agg(F.max("seq").alias("last_seq"), F.count(one).alias("rows"), F.count_distinct("source").alias("users"), F.first("kind").alias("kind"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import clock, contracts, levels, loop, people, places, profiles, refine, semantics, shops, texts, time, users
+from .plans import clock, contracts, levels, loop, normal, people, places, profiles, publish, refine, semantics, shops, texts, time, users
 
 
 def _all() -> dict:
-    return time.queries() | profiles.queries() | refine.queries() | users.queries() | contracts.queries() | people.queries() | texts.queries() | clock.queries() | places.queries() | loop.queries() | shops.queries() | levels.queries() | semantics.queries()
+    return time.queries() | profiles.queries() | refine.queries() | users.queries() | contracts.queries() | people.queries() | texts.queries() | clock.queries() | places.queries() | loop.queries() | shops.queries() | levels.queries() | semantics.queries() | normal.queries() | publish.queries()
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ import pandas as pd
 
 from ledgerloom.operators import assign
 from ledgerloom.plans import refine, users
-from ledgerloom.sources.views import txn_ev, txn_li
+from ledgerloom.sources.views import txn_li
 
 DATA = "/root/testdata/sf0.001"
 
@@ -62,14 +62,6 @@ def test_merchant_selection_budgets(spark):
     assert all(n <= math.ceil(size[c] * 0.12) for (c, _), n in got.groupby(["level1", "new"]).size().items())
 
 
-def test_prefix_blocks(spark):
-    rows = [(1, 1, 7, 8, 5.0), (1, 2, 7, 9, 5.01), (1, 3, 7, 9, 80.0), (1, 4, 7, 9, 3.0), (1, 5, 6, 4, 1.0), (2, 6, 1, 1, 2.0)]
-    got = assign.prefix_blocks(spark.createDataFrame(rows, "_run long, seq long, source long, target long, amount double")).toPandas()
-    assert sorted(map(tuple, got.itertuples(index=False))) == [(1, 1, 4, 4, "same_source"), (1, 5, 5, 1, "isolated_fraud"), (2, 6, 6, 1, "isolated_fraud")]
-    facts = txn_ev(spark, DATA)
-    assert refine.prefix_blocks(refine.fraud_runs(facts)).toPandas()["rows"].sum() == facts.where("label = 1").count()
-
-
 def test_swaps_pair_ranks_of_reversed_moves(spark):
     p = [(1, "a", "b", 0.5), (2, "a", "b", 0.9), (3, "b", "a", 0.1), (4, "a", "c", 0.7), (5, "b", "a", 0.1), (6, "a", "b", 0.2)]
     got = users.user_swaps(spark.createDataFrame(p, "source long, old string, new string, gain double")).collect()
