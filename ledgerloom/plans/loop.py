@@ -1,7 +1,8 @@
 """The alternating refinement: users' attributes and merchants' categories change in turn under budgets, until changes fade; then repair.
 
 State is two small dimension tables, checkpointed each round: merchants (target, level1, level2) and users (source, field, value). Facts are read
-once, as visits (source, target, count, amount, out-of-province count), and take their attributes from the dimensions by joins.
+once, as visits (source, target, count, amount and its square, out-of-province count) and as counts of hours, and take their attributes from the
+dimensions by joins.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators.assign import cut_lineage, select_with_caps
 from ..operators.order import global_rank, running_counts, shortest_prefix
-from ..sources.views import LI, table, txn_li
+from ..sources.views import LI, LI_TIMED, table, txn_li
 from .contracts import affected
-from .people import national, user_attributes
+from .people import USERS, national, user_attributes
 
 W = Window.partitionBy
 one = "*"
@@ -59,19 +60,51 @@ class State:
     first_merchants: DataFrame
     first_users: DataFrame
     history: DataFrame
+    shop_hours: DataFrame | None = None
+    user_hours: DataFrame | None = None
 
 
 HISTORY = "kind string, entity long, field string, old string, new string, gain double, iteration int, mode string"
 
 
 def begin(spark: SparkSession, d: str) -> State:
-    li = txn_li(spark, d)
-    out = F.col("source_province") != F.col("transaction_province")
-    visits = cut_lineage(li.groupBy("source", "target").agg(F.count(one).alias("n"), F.sum(F.col("amount").cast("decimal(18,4)")).alias("a"), F.count_if(out).alias("out")))
+    li = txn_li(spark, d, timed=True)
+    out, a = F.col("source_province") != F.col("transaction_province"), F.col("amount").cast("decimal(18,4)")
+    hourly = cut_lineage(li.groupBy("source", "target", F.hour("datetime").alias("hour")).agg(F.count(one).alias("n"), F.sum(a).alias("a"), F.sum(a * a).alias("a2"), F.count_if(out).alias("out")))
+    visits = cut_lineage(hourly.groupBy("source", "target").agg(*[F.sum(c).alias(c) for c in ("n", "a", "a2", "out")]))
+    shop_hours, user_hours = (cut_lineage(hourly.where("hour IS NOT NULL").groupBy(c, "hour").agg(F.sum("n").alias("n"))) for c in ("target", "source"))
     merchants = cut_lineage(table(spark, d, "part").select(F.col("p_partkey").alias("target"), F.col("p_type").alias("level1"), F.col("p_brand").alias("level2")))
     users = cut_lineage(user_attributes(spark, d).withColumnRenamed("age_group", "age").unpivot("source", list(FIELDS), "field", "value"))
     prior = cut_lineage(national(spark, d).where(F.col("field").isin(*FIELDS)))
-    return State(visits, merchants, users, prior, merchants, users, spark.createDataFrame([], HISTORY))
+    return State(visits, merchants, users, prior, merchants, users, spark.createDataFrame([], HISTORY), shop_hours, user_hours)
+
+
+def top_hours(counts: DataFrame, keys: list[str], most: int, out: str = "hours") -> DataFrame:
+    """The `most` commonest hours of each key, ties to the earlier: a key has 24 at most."""
+    each = counts.groupBy(*keys, "hour").agg(F.sum("n").alias("_k")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("k"), "hour"))).alias("_h"))
+    return each.select(*keys, F.transform(F.slice("_h", 1, most), lambda x: x["hour"]).alias(out))
+
+
+def alike_hours(a: str, b: str) -> Column:
+    """Jaccard likeness of two sets of hours; a half where one is empty."""
+    none = (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0)
+    return F.when(none, 0.5).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def merchant_traits(state: State) -> DataFrame:
+    """(target, cv_label, hours): label of the spread of amounts, and the three commonest hours."""
+    g = state.visits.groupBy("target").agg(F.sum("n").alias("_n"), F.sum("a").cast("double").alias("_a"), F.sum("a2").cast("double").alias("_a2"))
+    std = F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("_a2") - F.col("_a") * F.col("_a") / F.col("_n"), F.col("_n") - 1), F.lit(0.0))))
+    label = S.cv_label(S.safe_div(std, F.col("_a") / F.col("_n")))
+    return g.select("target", label.alias("cv_label")).join(top_hours(state.shop_hours, ["target"], 3), "target", "left")
+
+
+def level2_hours(state: State) -> DataFrame:
+    return top_hours(state.shop_hours.join(state.merchants, "target"), ["level1", "level2"], 5)
+
+
+def value_hours(state: State) -> DataFrame:
+    return top_hours(state.user_hours.join(state.users, "source"), ["field", "value"], 5)
 
 
 def clipped(current: Column, target: Column, base: Column) -> Column:
@@ -123,7 +156,7 @@ def user_proposals(state: State, rules: Rules, only: DataFrame | None = None) ->
     """The best other value of each field of a user where it gains; candidates are the likeliest by visited merchants, ties by name."""
     profiles = user_profiles(state, rules) if only is None else user_profiles(state, rules).join(only, "source", "left_semi")
     label = S.amount_label(F.col("mean"))
-    users = state.users.join(profiles.select("source", "n", "m", label.alias("_a")), "source").withColumnRenamed("value", "old")
+    users = state.users.join(profiles.select("source", "n", "m", label.alias("_a")), "source").join(top_hours(state.user_hours, ["source"], 3, "_hours"), "source", "left").withColumnRenamed("value", "old")
     ranked = visited_probs(state).withColumn("_r", F.row_number().over(W("source", "field").orderBy(F.desc("prob"), "value")))
     pairs = users.join(ranked, ["source", "field"]).where((F.col("_r") <= rules.candidates) | (F.col("value") == F.col("old")))
     own = state.visits.join(state.merchants, "target").groupBy("source", "level2").agg(F.sum("n").alias("n")).select("source", "level2", (F.col("n") / F.sum("n").over(W("source"))).alias("p"))
@@ -131,7 +164,8 @@ def user_proposals(state: State, rules: Rules, only: DataFrame | None = None) ->
     shared = pairs.select("source", "field", "value").join(own, "source").join(attribute_priors(state), ["field", "value", "level2"]).groupBy("source", "field", "value").agg(F.sum(F.least("p", "q")).alias("alike"))
     amounts = state.users.join(state.visits.groupBy("source").agg(F.sum("n").alias("n"), F.sum("a").alias("a")), "source").groupBy("field", "value").agg(S.amount_label(F.sum("a").cast("double") / F.sum("n")).alias("_b"))
     rows = pairs.join(shared, ["source", "field", "value"], "left").join(F.broadcast(amounts), ["field", "value"], "left").join(F.broadcast(user_weights(state.users, state.prior)), ["field", "value"])
-    score = 0.5 * F.log("weight") + F.when(F.col("m") >= rules.least_partners, 3 * F.col("prob") + 1.2 * F.coalesce("alike", F.lit(0.5))).otherwise(0.0) + F.when(F.col("n") >= rules.least_tx, 0.2 * (1 - S.label_distance(F.col("_a"), F.coalesce("_b", F.lit("medium"))))).otherwise(0.0)
+    rows = rows.join(value_hours(state).withColumnRenamed("hours", "_theirs"), ["field", "value"], "left")
+    score = 0.5 * F.log("weight") + F.when(F.col("m") >= rules.least_partners, 3 * F.col("prob") + 1.2 * F.coalesce("alike", F.lit(0.5))).otherwise(0.0) + F.when(F.col("n") >= rules.least_tx, 0.2 * (1 - S.label_distance(F.col("_a"), F.coalesce("_b", F.lit("medium")))) + 0.15 * alike_hours("_hours", "_theirs")).otherwise(0.0)
     rows = rows.withColumn("score", F.round(score, 9))
     best = rows.groupBy("source", "field", "old").agg(F.min_by(F.struct("value", "score"), F.struct(-F.col("score"), F.col("value"))).alias("b"), F.max(F.when(F.col("value") == F.col("old"), F.col("score"))).alias("now"))
     return best.select("source", "field", "old", F.col("b.value").alias("new"), F.round(F.col("b.score") - F.col("now"), 9).alias("gain")).where("new <> old AND gain > 0")
@@ -160,20 +194,20 @@ def merchant_profiles(state: State) -> DataFrame:
 
 
 def level2_profiles(profiles: DataFrame) -> DataFrame:
-    """Commonest amount label and mean online score of each level2 in its level1."""
-    top = profiles.groupBy("level1", "level2", "amount_label").agg(F.count(one).alias("k")).groupBy("level1", "level2").agg(F.min_by("amount_label", F.struct(-F.col("k"), F.col("amount_label"))).alias("label"))
-    return top.join(profiles.groupBy("level1", "level2").agg(F.avg("online").alias("level")), ["level1", "level2"])
+    """Commonest labels of amount and of spread and mean online score of each level2 in its level1."""
+    common = lambda c, out: profiles.groupBy("level1", "level2", c).agg(F.count(one).alias("k")).groupBy("level1", "level2").agg(F.min_by(c, F.struct(-F.col("k"), F.col(c))).alias(out))
+    return common("amount_label", "label").join(common("cv_label", "spread"), ["level1", "level2"]).join(profiles.groupBy("level1", "level2").agg(F.avg("online").alias("level")), ["level1", "level2"])
 
 
 def merchant_proposals(state: State, rules: Rules, fresh: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """The best other level2 of a merchant's level1 where it gains more than the penalty; merchants of `fresh` (changed before) take no part."""
-    profiles = cut_lineage(merchant_profiles(state))
+    profiles = cut_lineage(merchant_profiles(state).join(merchant_traits(state), "target"))
     own = profiles.where((F.col("n") >= rules.least_tx) | (F.col("users") >= rules.least_partners))
     own = own if fresh is None else own.join(fresh, "target", "left_anti")
     own = own if only is None else own.join(only, "target", "left_semi")
     w = level2_weights(state.merchants, state.first_merchants)
-    cand = level2_profiles(profiles).join(w, "level2").withColumn("_r", F.row_number().over(W("level1").orderBy(F.desc("weight"), "level2")))
-    cand = cand.select("level1", F.col("level2").alias("new"), "weight", "label", "level", "_r")
+    cand = level2_profiles(profiles).join(level2_hours(state).withColumnRenamed("hours", "theirs"), ["level1", "level2"], "left").join(w, "level2").withColumn("_r", F.row_number().over(W("level1").orderBy(F.desc("weight"), "level2")))
+    cand = cand.select("level1", F.col("level2").alias("new"), "weight", "label", "spread", "theirs", "level", "_r")
     pairs = own.join(F.broadcast(cand), "level1").where((F.col("_r") <= rules.most_level2) | (F.col("new") == F.col("level2")))  # taxonomy
     # Attributes of a merchant's users against those of each candidate's: the mean over fields of the sum of lesser shares.
     at = state.visits.join(state.users, "source").groupBy("target", "field", "value").agg(F.sum("n").alias("n"))
@@ -182,7 +216,7 @@ def merchant_proposals(state: State, rules: Rules, fresh: DataFrame | None = Non
     theirs = theirs.select("level1", "new", "field", "value", (F.col("n") / F.sum("n").over(W("level1", "new", "field"))).alias("q"))
     alike = pairs.where(F.col("users") >= rules.least_partners).select("target", "level1", "new").join(mine, "target").join(F.broadcast(theirs), ["level1", "new", "field", "value"]).groupBy("target", "new").agg((F.sum(F.least("p", "q")) / len(FIELDS)).alias("alike"))
     rows = pairs.join(alike, ["target", "new"], "left")
-    fit = 2.0 * (1 - F.abs(F.col("online") - F.col("level"))) + 0.8 * (1 - S.label_distance(F.col("amount_label"), F.col("label")))
+    fit = 2.0 * (1 - F.abs(F.col("online") - F.col("level"))) + 0.8 * (1 - S.label_distance(F.col("amount_label"), F.col("label"))) + 0.3 * (1 - S.label_distance(F.col("cv_label"), F.col("spread"))) + 0.35 * alike_hours("hours", "theirs")
     score = 0.35 * F.log("weight") + F.when(F.col("n") >= rules.least_tx, fit).otherwise(0.0) + F.coalesce("alike", F.lit(0.0)) - F.when(F.col("new") == F.col("level2"), 0.0).otherwise(rules.penalty)
     rows = rows.withColumn("score", F.round(score, 9))
     best = rows.groupBy("target", "level1", F.col("level2").alias("old")).agg(F.min_by(F.struct("new", "score"), F.struct(-F.col("score"), F.col("new"))).alias("b"), F.max(F.when(F.col("new") == F.col("level2"), F.col("score"))).alias("now"))
@@ -402,6 +436,11 @@ def once(spark: SparkSession, d: str) -> tuple:
     return _runs[key]
 
 
+def hours_sql(keys: str, most: int) -> str:
+    counted = f"SELECT {keys}, hour(datetime) AS hour, count(*) AS k FROM li GROUP BY ALL"
+    return f"th AS (SELECT {keys}, string_agg(hour, ',' ORDER BY k DESC, hour) AS hours FROM (SELECT * FROM ({counted}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY k DESC, hour) <= {most}) GROUP BY {keys})"
+
+
 def queries() -> dict:
     rules = Rules()
     frame = lambda s, rows, schema: s.createDataFrame(rows, schema)
@@ -416,6 +455,9 @@ def queries() -> dict:
             SELECT target, level1, level2, n, users, CASE WHEN mean < a THEN 'low' WHEN mean < b THEN 'low_to_medium' WHEN mean < c THEN 'medium' ELSE 'high' END AS amount_label, CASE WHEN hi <= lo THEN CASE WHEN cross_ > lo THEN 1.0 ELSE 0.0 END ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (cross_ - lo) / (hi - lo))) END AS online FROM p JOIN q USING (level1), x"""),
         "attribute_priors": (lambda s, d: attribute_priors(State(*[(b := base(s, d)).visits, b.merchants, table(s, d, "customer").select(F.col("c_custkey").alias("source"), F.lit("segment").alias("field"), F.col("c_mktsegment").alias("value")), b.prior, b.merchants, b.users, b.history])), f"WITH {LI}, {dim} SELECT 'segment' AS field, c_mktsegment AS value, level2, sum(n)::DOUBLE / sum(sum(n)) OVER (PARTITION BY c_mktsegment) AS q FROM v JOIN m USING (target) JOIN customer ON c_custkey = source GROUP BY 2, 3"),
         "level2_weights": (lambda s, d: level2_weights(base(s, d).merchants, base(s, d).merchants), f"WITH {LI}, {dim}, k AS (SELECT level1, level2, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY level1) AS s, 1.0::DOUBLE / count(*) OVER (PARTITION BY level1) AS e FROM m GROUP BY 1, 2) SELECT level2, avg(greatest(0.25::DOUBLE, least(4.0::DOUBLE, 1 + 0.6::DOUBLE * (e - s) / e))) AS weight FROM k GROUP BY 1"),
+        "merchant_traits": (lambda s, d: merchant_traits(base(s, d)).select("target", "cv_label", F.array_join("hours", ",").alias("hours")), f"WITH {LI_TIMED}, g AS (SELECT target, coalesce(stddev_samp(amount), 0) / avg(amount) AS cv FROM li GROUP BY 1), {hours_sql('target', 3)} SELECT target, CASE WHEN cv < 0.5 THEN 'low' WHEN cv < 1 THEN 'low_to_medium' WHEN cv < 2 THEN 'medium' ELSE 'high' END AS cv_label, hours FROM g JOIN th USING (target)"),
+        "level2_hours": (lambda s, d: level2_hours(base(s, d)).withColumn("hours", F.array_join("hours", ",")), f"WITH {LI_TIMED}, {hours_sql('level1, level2', 5)} SELECT * FROM th"),
+        "value_hours": (lambda s, d: value_hours(base(s, d)).withColumn("hours", F.array_join("hours", ",")), f"WITH {USERS}, {LI_TIMED.replace('li AS (', 'l0 AS (')}, li AS (SELECT datetime, u.field, u.value FROM l0 JOIN (SELECT source, unnest(['age', 'education', 'occupation']) AS field, unnest([age_group, education, occupation]) AS value FROM us) u USING (source)), {hours_sql('field, value', 5)} SELECT * FROM th"),
         "loop_rounds": (lambda s, d: frame(s, [tuple(r[n] for n in names) for r in once(s, d)[1]], report), None),
         "loop_history": (lambda s, d: once(s, d)[0].history, None),
         "loop_users": (lambda s, d: once(s, d)[0].users, None),
