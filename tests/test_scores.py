@@ -157,3 +157,13 @@ def test_users_change_as_in_a_plain_loop(world, state):
 def test_hours_without_any(spark):
     rows = spark.createDataFrame([([1, 2], [2, 3]), ([], [1]), (None, [1]), ([5], [5])], "a array<int>, b array<int>").select(loop.alike_hours("a", "b").alias("x"))
     assert [r["x"] for r in rows.collect()] == [pytest.approx(1 / 3), 0.5, 0.5, 1.0]
+
+
+def test_means_of_merchants_do_not_depend_on_the_order_of_rows(spark):
+    """Three merchants of the same amounts in other orders, and one above: sums of doubles differ in the last place, and the quartile would part equals."""
+    from ledgerloom.plans.refine import merchants
+
+    amounts = [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1), (0.2, 0.3, 0.1), (9.0, 9.0, 9.0)]
+    rows = [("a", "b", t, x) for t, xs in enumerate(amounts) for x in xs]
+    got = {r["target"]: (r["mean"], r["amount_label"]) for r in merchants(spark.createDataFrame(rows, "level1 string, level2 string, target long, amount double").coalesce(1)).collect()}
+    assert got[0] == got[1] == got[2]
