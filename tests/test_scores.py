@@ -167,3 +167,11 @@ def test_means_of_merchants_do_not_depend_on_the_order_of_rows(spark):
     rows = [("a", "b", t, x) for t, xs in enumerate(amounts) for x in xs]
     got = {r["target"]: (r["mean"], r["amount_label"]) for r in merchants(spark.createDataFrame(rows, "level1 string, level2 string, target long, amount double").coalesce(1)).collect()}
     assert got[0] == got[1] == got[2]
+
+
+def test_seconds_of_bursts_are_rounded_as_printf_does(spark):
+    from ledgerloom.plans.time import fraud_bursts
+
+    rows = [(i, 1, 5.0, f"2024-01-01 00:00:0{i}.{m}", 1) for i, m in enumerate(("000000", "250000", "750000"))]
+    df = spark.createDataFrame(rows, "seq long, source long, amount double, t string, label int").selectExpr("*", "CAST(t AS timestamp_ntz) AS datetime")
+    assert fraud_bursts(df).first()["deltas"] == ",".join(f"{x:.1f}" for x in (0.0, 1.25, 2.75))
