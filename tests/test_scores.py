@@ -175,3 +175,14 @@ def test_seconds_of_bursts_are_rounded_as_printf_does(spark):
     rows = [(i, 1, 5.0, f"2024-01-01 00:00:0{i}.{m}", 1) for i, m in enumerate(("000000", "250000", "750000"))]
     df = spark.createDataFrame(rows, "seq long, source long, amount double, t string, label int").selectExpr("*", "CAST(t AS timestamp_ntz) AS datetime")
     assert fraud_bursts(df).first()["deltas"] == ",".join(f"{x:.1f}" for x in (0.0, 1.25, 2.75))
+
+
+def test_a_visit_is_one_row_whatever_values_its_user_has(spark):
+    """Values of attributes are columns: no join of visits with a row a value, no window over those."""
+    state = loop.begin(spark, "/root/testdata/sf0.001")
+    values = loop.attribute_values(state)
+    assert loop.visitor_counts(state, values).count() == state.visits.select("target").distinct().count()
+    found = loop.visited_probs(state)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    totals = found.groupBy("source", "field").agg(F.sum("prob").alias("p"))
+    assert totals.where("abs(p - 1) > 1e-6").isEmpty() and totals.count() == 3 * state.visits.select("source").distinct().count()
