@@ -120,3 +120,9 @@ def test_ranks_over_ranges(spark):
         assert np.allclose(got[f"{m}_rank"].to_numpy(), want.to_numpy())
     missing = spark.createDataFrame([(1, "a", None), (2, "a", 3.0), (3, "a", 4.0)], "id long, g string, v double")
     assert {r["id"]: r["v_rank"] for r in order.average_ranks(missing, "id", "g", ["v"]).collect()} == {1: 0.5, 2: 0.5, 3: 1.0}
+
+
+def test_merchants_are_read_once(spark):
+    """What ranks and balances ask for several times is kept: nothing behind it reads the facts again."""
+    rows = levels.merchants(spark, "/root/testdata/sf0.001")
+    assert rows.count() and not rows.inputFiles() and not levels.relative(levels.allocated(rows)).inputFiles()
