@@ -84,3 +84,43 @@ def test_recategorised_as_by_a_walk(spark, most, rate, share):
     summary = {(r["measure"], r["scope"]): r["value"] for r in semantics.change_summary(table, df, got).collect()}
     assert summary["changed", "all"] == len(want) and summary["merchants", "all"] == 400
     assert semantics.explained(got).where(F.col("reason").isNull()).count() == 0
+
+
+def test_categories_add_up_from_their_merchants(spark):
+    """Profiles of categories, put together from tallies of merchants, against plain sums over the facts; and facts that are read once."""
+    rng = np.random.default_rng(5)
+    n = 600
+    pick = lambda names: [str(x) for x in rng.choice(names, n)]
+    rows = list(zip([int(x) for x in rng.integers(0, 9, n)], [float(x) for x in np.round(rng.lognormal(8, 1, n), 2)], [int(x) for x in rng.integers(0, 3, n)], [int(x) for x in rng.integers(0, 5, n)], [int(x) for x in rng.integers(0, 2, n)],
+        pick(["Female", "Male"]), pick(semantics.AGE_LABELS), pick(semantics.EDUCATION_LABELS), pick(semantics.INDUSTRY_LABELS), strict=True))
+    rows += [(9, 5.0, 0, 7, None, "Male", semantics.AGE_LABELS[0], semantics.EDUCATION_LABELS[0], semantics.INDUSTRY_LABELS[0])]
+    facts = spark.createDataFrame(rows, "target long, amount double, label int, hour int, out int, gender string, age string, education string, industry string")
+    places = {t: ("one", "a") if t < 5 else ("one", "b") if t < 9 else ("two", "c") for t in range(10)}
+    tally = semantics.tallies(facts, spark.createDataFrame([(t, *p) for t, p in places.items()], "target long, level1 string, level2 string"))
+    got = {(r["level1"], r["level2"]): r for r in semantics.profiles(semantics.summed(tally, ["level1", "level2"]), ["level1", "level2"]).collect()}
+    assert set(got) == set(places.values()) and got["two", "c"]["cross"] is None and got["two", "c"]["std"] == 0
+    for key, r in got.items():
+        own = [x for x in rows if places[x[0]] == key]
+        amounts = [x[1] for x in own]
+        hours = [x[3] for x in own]
+        assert r["tx"] == len(own) and r["fraud"] == sum(x[2] == 1 for x in own) and r["total"] == pytest.approx(sum(amounts)) and r["mean"] == pytest.approx(np.mean(amounts))
+        assert r["std"] == pytest.approx(np.std(amounts, ddof=1) if len(own) > 1 else 0.0, rel=1e-9)
+        assert list(r["top_hours"]) == sorted(set(hours), key=lambda h: (-hours.count(h), h))[:3]
+        assert list(r["ages"]) == [np.mean([x[6] == v for x in own]) for v in semantics.AGE_LABELS] and r["women"] == np.mean([x[5] == "Female" for x in own])
+    assert not any(t.inputFiles() for t in semantics.tables(spark, "/root/testdata/sf0.001"))
+    merchants, _, profile, prior = semantics.tables(spark, "/root/testdata/sf0.001")
+    # Options against every category tried on its own.
+    every = semantics.risk(prior).collect()
+    candidates = semantics.against(profile, prior).withColumns({"labeled": F.lit(1), "rate": F.lit(0.5), "dims": F.lit(1)}).orderBy("target").limit(12)
+    old = {r["target"]: r for r in candidates.withColumn("fit", semantics.fit_of()).collect()}
+    lists = {r["target"]: [(o["cross"], o["new_level1"], o["new_level2"]) for o in r["options"]] for r in semantics.options(candidates, prior).collect()}
+    risks = {(r["level1"], r["level2"]): r["risk"] for r in every}
+    plain = profile.join(F.broadcast(candidates.select("target")), "target").drop("level1", "level2").join(prior.select("level1", "level2"))
+    want: dict = {}
+    for r in semantics.against(plain, prior).withColumn("fit", semantics.fit_of()).collect():
+        was, now = old[r["target"]], (r["level1"], r["level2"])
+        gain, cross = round(risks[now] - risks[was["level1"], was["level2"]], 9), r["level1"] != was["level1"]
+        fine = r["fit"] >= round(was["fit"] + 0.05, 9) and risks[now] >= 0.65 if cross else r["fit"] >= round(was["fit"] - 0.08, 9)
+        if now != (was["level1"], was["level2"]) and gain >= 0.12 and fine:
+            want.setdefault(r["target"], []).append((int(cross), -round(r["fit"] + 0.35 * risks[now], 9), *now))
+    assert lists == {t: [(o[0], *o[2:]) for o in sorted(os)] for t, os in want.items()} and lists
