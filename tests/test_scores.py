@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import registry
 from ledgerloom.plans import loop
 
 LABELS = ["low", "low_to_medium", "medium", "high"]
@@ -186,3 +187,9 @@ def test_a_visit_is_one_row_whatever_values_its_user_has(spark):
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     totals = found.groupBy("source", "field").agg(F.sum("prob").alias("p"))
     assert totals.where("abs(p - 1) > 1e-6").isEmpty() and totals.count() == 3 * state.visits.select("source").distinct().count()
+
+
+def test_candidate_scores_have_all_terms(spark):
+    """Amounts and spread alone come to 1.1 at most; online share, hours and users' attributes add up to 3.35 more."""
+    got = registry.queries()["merchant_candidate_scores"](spark, "/root/testdata/sf0.001").agg(F.max("score")).first()[0]
+    assert 3.0 < got <= 4.45 + 0.35 * math.log(4)
