@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import registry
-from ledgerloom.plans import loop
+from ledgerloom.plans import loop, profiles
 
 LABELS = ["low", "low_to_medium", "medium", "high"]
 FIELDS = {"age": ["x", "y", "z"], "education": ["p", "q"], "occupation": ["m", "n", "o", "r"]}
@@ -193,3 +193,23 @@ def test_candidate_scores_have_all_terms(spark):
     """Amounts and spread alone come to 1.1 at most; online share, hours and users' attributes add up to 3.35 more."""
     got = registry.queries()["merchant_candidate_scores"](spark, "/root/testdata/sf0.001").agg(F.max("score")).first()[0]
     assert 3.0 < got <= 4.45 + 0.35 * math.log(4)
+
+
+def test_a_transaction_meets_its_merchant_once(spark):
+    """Shares of provinces among a user's merchants, as in a plain loop; no row a province is joined or shuffled on the way."""
+    rng = np.random.default_rng(5)
+    home = {s: "ABCD"[rng.integers(0, 4)] for s in range(30)}
+    facts = [(int(s), int(0 if rng.random() < 0.4 else rng.integers(1, 12)), home[int(s)]) for s in rng.integers(0, 30, 300)]
+    at = defaultdict(Counter)
+    for _, t, p in facts:
+        at[t][p] += 1
+    want = defaultdict(float)
+    for s, t, _ in facts:
+        for p, share in shares(at[t]).items():
+            want[s, p] += share / sum(f[0] == s for f in facts)
+    sums = profiles.visitor_sums(spark.createDataFrame(facts, "source long, target long, source_province string"), ["A", "B", "C", "D", "E"])
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {(r["source"], r["value"]): r["prob"] for r in profiles.sums_to_probs(sums, ["A", "B", "C", "D", "E"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert {(r["source"], r["old"], r["m"]) for r in sums.collect()} == {(s, home[s], len({f[1] for f in facts if f[0] == s})) for s in {f[0] for f in facts}}
